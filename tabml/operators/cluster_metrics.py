@@ -96,9 +96,8 @@ def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluste
     points = points.withColumn("id", F.xxhash64(F.to_json("x"), "cluster"))
     blocks = max(1, -(-points.count() // block_rows))
     points = points.withColumn("block", F.pmod("id", F.lit(blocks)))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    here = points.select("*", F.explode(every).cast("bigint").alias("other"))
-    there = points.select("*", F.explode(every).cast("bigint").alias("other"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("other")
+    here, there = points.select("*", every), points.select("*", every)
     sums = here.groupBy("block", "other").cogroup(
         there.select("*", F.col("block").alias("b2")).drop("block").withColumnRenamed("other", "o2").groupBy("o2", "b2")
     ).applyInPandas(_block_sums, "id bigint, cluster string, w bigint, other_cluster string, total double, size bigint")

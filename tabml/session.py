@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -18,6 +19,7 @@ def local_session(app: str = "tabml", cores: str | int = "*", memory: str = "8g"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -47,3 +49,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_json(path: str, value) -> None:
+    """A small driver-side value (settings, class lists) as a one-line text file."""
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(path)
+
+
+def read_json(path: str):
+    return json.loads(SparkSession.getActiveSession().read.text(path).first()["value"])
