@@ -90,9 +90,7 @@ class Prep:
         slots = [(f"numeric__{c}", c) for c in self.numeric]
         indexer = next((s for s in self.model.stages if isinstance(s, StringIndexerModel)), None)
         for i, c in enumerate(self.categorical):
-            levels = list(indexer.labelsArray[i])
-            kept = levels if indexer.getHandleInvalid() == "keep" else levels[:-1]
-            slots += [(f"categorical__{c}_{level}", c) for level in kept]
+            slots += [(f"categorical__{c}_{level}", c) for level in list(indexer.labelsArray[i])[:-1]]
         return slots + [(f"remainder__{c}", c) for c in self.passthrough]
 
     def save(self, path: str) -> None:
@@ -107,8 +105,8 @@ class Prep:
 def fit_prep(train: DataFrame, features: list[str], scale: bool = True, unseen: str = "error") -> Prep:
     """Fit the preparation on the training rows; the output vector column is ``features``.
 
-    ``unseen='keep'`` gives categories that training never saw an all-zero block instead of
-    an error (then no category is dropped from the block).
+    ``unseen='keep'`` gives categories that training never saw an all-zero block, like the
+    first category, instead of an error.
     """
     require_columns(train, features)
     part = train.select([col(f) for f in features])
@@ -138,13 +136,21 @@ def fit_prep(train: DataFrame, features: list[str], scale: bool = True, unseen:
     raw, codes, hots = ([f"_{kind}_{i}" for i in range(len(strings))] for kind in ("cat", "code", "hot"))
     passed = [f"_flag_{i}" for i in range(len(flags))]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(outputs)} FROM __THIS__")]
+    helpers = [*numbers, *raw, *codes, *hots, *passed]
     if strings:
         # codes run from the last category down, so dropping the last code drops the first category
-        stages += [StringIndexer(inputCols=raw, outputCols=codes, stringOrderType="alphabetDesc", handleInvalid=unseen),
-                   OneHotEncoder(inputCols=codes, outputCols=hots, dropLast=True, handleInvalid=unseen)]
-    helpers = ", ".join([*numbers, *raw, *codes, *hots, *passed])
+        indexer = StringIndexer(inputCols=raw, outputCols=codes, stringOrderType="alphabetDesc", handleInvalid=unseen)
+        stages = list(Pipeline(stages=[*stages, indexer]).fit(train).stages)
+        if unseen == "keep":
+            kept = [f"_kept_{i}" for i in range(len(strings))]
+            last = [len(levels) - 1.0 for levels in stages[-1].labelsArray]
+            moved = ", ".join(f"least({c}, CAST({n} AS DOUBLE)) AS {k}" for c, n, k in zip(codes, last, kept))
+            stages.append(SQLTransformer(statement=f"SELECT *, {moved} FROM __THIS__"))
+            codes = kept
+            helpers += kept
+        stages.append(OneHotEncoder(inputCols=codes, outputCols=hots, dropLast=True))
     stages += [VectorAssembler(inputCols=[*numbers, *hots, *passed], outputCol=FEATURES),
-               SQLTransformer(statement=f"SELECT * EXCEPT ({helpers}) FROM __THIS__")]
+               SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(helpers)}) FROM __THIS__")]
     return Prep(Pipeline(stages=stages).fit(train), numeric, strings, flags)
 
 

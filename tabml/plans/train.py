@@ -81,6 +81,16 @@ class Trained:
                 out.append(F.map_from_arrays(names, vector_to_array("probability")).alias("probabilities"))
         return scored.select(*out)
 
+    def output(self, df: DataFrame, class_index: int = 0) -> DataFrame:
+        """Adds ``output``: the predicted number, or the probability of one class (its 0/1
+        vote where the model has no probabilities)."""
+        scored = self.model.transform(self.prep.transform(df))
+        if self.labels is None:
+            return scored.withColumn("output", F.col("prediction").cast("double"))
+        if "probability" in scored.columns:
+            return scored.withColumn("output", vector_to_array("probability")[class_index])
+        return scored.withColumn("output", (F.col("prediction") == class_index).cast("double"))
+
     def info(self, spark: SparkSession) -> DataFrame:
         """(field, value) about the model."""
         last = self.model.stages[-1] if isinstance(self.model, PipelineModel) else self.model
@@ -230,6 +240,7 @@ def train_model(df: DataFrame, target: str, features: list[str], key: list[str],
         table = (table.unionByName(folds.select(F.format_string("cv_score_%d", F.col("fold") + 1).alias("metric"), F.col("score").alias("value")))
                  .unionByName(summary.select(F.lit("cv_mean").alias("metric"), F.col("mean").alias("value")))
                  .unionByName(summary.select(F.lit("cv_std").alias("metric"), F.col("std").alias("value"))))
+    ready.release()
     return trained, table.withColumn("value", F.round("value", 4)).select(F.lit(name).alias("model"), "metric", "value")
 
 
@@ -238,11 +249,16 @@ def auto_train(df: DataFrame, target: str, features: list[str], key: list[str],
     """Train a named model (aliases allowed); report scores, row counts and the test metrics."""
     ready = prepare(df, target, features, key, task)
     trained = fit_model(ready, resolve(name, task))
-    return trained, training_report(trained, ready)
+    report = training_report(trained, ready)
+    ready.release()
+    return trained, report
 
 
 def training_report(trained: Trained, ready: Prepared) -> DataFrame:
-    """(section, metric, value): training scores and sizes, then the metrics of the test rows."""
+    """(section, metric, value): training scores and sizes, then the metrics of the test rows.
+
+    The few rows are fetched, so the prepared rows may be released afterwards.
+    """
     scored = trained.model.transform(ready.rows)
     both = E.as_long(E.evaluate(scored, ready.task, by=["split"]), ["split"])
     sizes = ready.rows.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value"))
@@ -252,7 +268,8 @@ def training_report(trained: Trained, ready: Prepared) -> DataFrame:
         sizes.select(F.lit("training").alias("section"), F.concat("split", F.lit("_samples")).alias("metric"), "value"),
         both.filter("split = 'test'").select(F.lit("evaluation").alias("section"), "metric", "value"),
     ]
-    return reduce(DataFrame.unionByName, parts).select(F.lit(trained.name).alias("model"), "section", "metric", "value")
+    report = reduce(DataFrame.unionByName, parts).select(F.lit(trained.name).alias("model"), "section", "metric", "value")
+    return ready.rows.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
 def evaluation_report(trained: Trained, ready: Prepared) -> DataFrame:
