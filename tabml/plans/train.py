@@ -136,7 +136,13 @@ def split(df: DataFrame, key: list[str], target: str, task: str, test_size: floa
     return split_random(df, key, test_size)
 
 
-def _persist(df: DataFrame) -> DataFrame:
+ROWS_PER_TASK = 5_000      # iterative fits on fewer rows gain nothing from another task
+
+
+def keep(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Persist (spilling to disk); a small table of ``n`` rows is put into few partitions."""
+    if n is not None:
+        df = df.coalesce(max(1, -(-n // ROWS_PER_TASK)))
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -167,12 +173,15 @@ class Prepared:
 def prepare(df: DataFrame, target: str, features: list[str], key: list[str], task: str, scale: bool = True) -> Prepared:
     """Split, fit the preparation on the training rows, prepare all rows once."""
     require_columns(df, [*features, target])
-    known = labelled(df.select(*{*key, *features, target}), target)
+    known = keep(labelled(df.select(*{*key, *features, target}), target))    # several passes follow
+    n = known.count()
     parts = split(known, key, target, task)
     prep = fit_prep(parts.filter("split = 'train'"), features, scale, unseen="keep")
     labels = class_list(known, target) if is_classification(task) else None
-    rows = add_label(prep.transform(parts), target, labels).select(*key, "features", LABEL, "split")
-    return Prepared(prep, _persist(rows), labels, features, target, task, key)
+    rows = keep(add_label(prep.transform(parts), target, labels).select(*key, "features", LABEL, "split"), n)
+    rows.count()
+    known.unpersist()
+    return Prepared(prep, rows, labels, features, target, task, key)
 
 
 def fit_model(ready: Prepared, name: str, params: dict | None = None) -> Trained:
@@ -191,14 +200,16 @@ def scores_by_split(trained: Trained, ready: Prepared) -> dict[str, float]:
 def cross_validate(df: DataFrame, target: str, features: list[str], key: list[str], task: str, name: str,
                    params: dict | None = None, k: int = 5, scale: bool = True) -> DataFrame:
     """(fold, score): the preparation and the model are fitted anew for every fold."""
-    folds = _persist(kfold(labelled(df.select(*{*key, *features, target}), target), key, k))
+    known = labelled(df.select(*{*key, *features, target}), target)
+    folds = keep(kfold(known, key, k))
+    n = folds.count()
     labels = class_list(folds, target) if is_classification(task) else None
 
     def one(i: int):
         train = folds.filter(F.col("fold") != i)
         prep = fit_prep(train, features, scale, unseen="keep")
         ready = add_label(prep.transform(folds), target, labels).select(*key, "features", LABEL, "fold")
-        inner = _persist(ready.filter(F.col("fold") != i).drop("fold"))
+        inner = keep(ready.filter(F.col("fold") != i).drop("fold"), n)
         facts = training_facts(inner, classification=is_classification(task))
         model = build(name, facts, params).fit(inner)
         row = E.evaluate(model.transform(ready.filter(F.col("fold") == i)), task).first()

@@ -12,7 +12,7 @@ from tabml.operators import evaluate as E
 from tabml.operators.models import build, training_facts
 from tabml.operators.prep import LABEL, class_list, fit_prep
 from tabml.operators.split import SEED, kfold
-from tabml.plans.train import _persist, add_label, is_classification, labelled, main_metric, run_parallel
+from tabml.plans.train import add_label, is_classification, keep, labelled, main_metric, run_parallel
 
 GRIDS = {
     "LogisticRegression": {"C": [0.1, 1.0, 10.0]},
@@ -46,13 +46,14 @@ def tune(df: DataFrame, target: str, features: list[str], key: list[str], task:
     """(setting, params, mean, std, place): fold scores of every setting, best first."""
     spark = df.sparkSession
     options = settings(name, search, tries, grid)
-    folds = _persist(kfold(labelled(df.select(*{*key, *features, target}), target), key, cv_folds))
+    folds = keep(kfold(labelled(df.select(*{*key, *features, target}), target), key, cv_folds))
+    n = folds.count()
     labels = class_list(folds, target) if is_classification(task) else None
     prepared = {}
 
     def prepare_fold(i):
         prep = fit_prep(folds.filter(F.col("fold") != i), features, unseen="keep")
-        rows = _persist(add_label(prep.transform(folds), target, labels).select(*key, "features", LABEL, "fold"))
+        rows = keep(add_label(prep.transform(folds), target, labels).select(*key, "features", LABEL, "fold"), n)
         prepared[i] = rows, training_facts(rows.filter(F.col("fold") != i), classification=is_classification(task))
 
     def one(item):
