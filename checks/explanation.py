@@ -85,7 +85,7 @@ def _lime(spark, folder):
 def _report(spark, folder):
     docs = doc_quality(spark, folder)
     trained, ready = LOGISTIC(spark, folder)
-    return X.explain(docs, metadata(docs, "doc_id", target="quality").fillna({"confidence_score": 8.0}), trained, ready)
+    return X.explain(docs, metadata(docs, "doc_id", target="quality"), trained, ready)
 
 
 def _target_texts(spark, folder):

@@ -129,11 +129,14 @@ def ingest_summary(df: DataFrame, key: str | None = None) -> DataFrame:
 
 def metadata(df: DataFrame, key: str | None = None, target: str | None = None) -> DataFrame:
     """The one-row dataset record: target, features, task, counts, kinds, missing map, confidence."""
-    from tabml.operators.target import classify_task, detect_target
-
-    found = detect_target(df).select("target_column", F.col("confidence_score").cast("double")).first()
-    name = target or found["target_column"]
-    confidence = found["confidence_score"] if target is None else None
+    from tabml.operators.target import classify_task, detect_target, target_scores
+
+    if target is None:
+        found = detect_target(df).first()
+        name, confidence = found["target_column"], found["confidence_score"]
+    else:
+        found = target_scores(df).filter(F.col("column") == target).first()
+        name, confidence = target, found["score"] if found else 1
     features = [c for c in df.columns if c != name]
     task = classify_task(df, name, key)
     counted = df.agg(
