@@ -116,8 +116,7 @@ SQL = {
  CASE WHEN score >= 2 THEN 'Rule-based detection: ' || "column" || ' scored ' || score
  ELSE 'No clear target identified, using last column as fallback' END AS reason FROM best""",
     "task_type": TASK_SQL,
-    "class_labels": """SELECT row_number() OVER (ORDER BY l_returnflag) - 1 AS position, l_returnflag AS label
- FROM (SELECT DISTINCT l_returnflag FROM lineitem)""",
+    "class_labels": "SELECT DISTINCT l_returnflag AS label FROM lineitem",
     "task_type_ratio": RATIO_SQL,
     "select_model": f"""SELECT *, CASE WHEN task_type = 'regression' THEN 'RandomForestRegressor' WHEN n_classes > 10 THEN 'RandomForestClassifier'
  WHEN n_classes = 2 THEN 'LogisticRegression' ELSE 'KNeighborsClassifier' END AS selected_model,

@@ -23,6 +23,8 @@ from tabml.functions.columns import col, present
 ONE_PASS_ROWS = 2_000_000   # up to here one `percentile` aggregate holds all distinct values
 BRACKET_ROWS = 100_000      # rows looked at one by one around a wanted rank
 SKETCH_ACCURACY = 10_000    # percentile_approx: rank error at most n / accuracy
+BUCKET_ROWS = 1_000_000     # rows that one task of a running total orders
+MAX_BUCKETS = 5_000         # bucket totals that one task accumulates
 PREFIX_LENGTH = 4           # hex digits: at most 65 536 prefix counts
 
 
@@ -149,16 +151,23 @@ def group_hash_cutoffs(hashes: DataFrame, name: str, group: str, take: DataFrame
             .filter("place = k").select(group, F.col("h").alias("cutoff")))
 
 
-def running_totals(df: DataFrame, order: str, sums: list[str], by: list[str] = (), buckets: int = 256) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: list[str], by: list[str] = (), spread: DataFrame | None = None,
+                   bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``<s>_before``: the sum of ``s`` over rows of the same ``by`` with a smaller ``order``.
 
     ``df`` must hold one row per (by, order). Rows are bucketed by sketched quantiles of
-    ``order``; only bucket totals (at most ``buckets`` per group) are accumulated in one place.
+    ``order`` over ``spread`` (default ``df``; the rows before grouping save a second
+    shuffle), so a bucket holds about ``bucket_rows`` rows besides copies, which are one row
+    here. Only bucket totals, at most MAX_BUCKETS per group, are accumulated in one place.
     """
     by = list(by)
-    grid = [i / buckets for i in range(1, buckets)]
-    edges = df.agg(F.percentile_approx(col(order).cast("double"), grid, SKETCH_ACCURACY)).first()[0] or []
-    splits = [float("-inf"), *sorted({e for e in edges}), float("inf")]
+    spread = df if spread is None else spread
+    buckets = min(MAX_BUCKETS, -(-spread.count() // bucket_rows))
+    edges = []
+    if buckets > 1:
+        grid = [i / buckets for i in range(1, buckets)]
+        edges = spread.agg(F.percentile_approx(col(order).cast("double"), grid, SKETCH_ACCURACY)).first()[0] or []
+    splits = [float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")]      # two buckets at least
     bucketed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(
         df.withColumn("_order", col(order).cast("double")))
     keys = [*by, "_bucket"]

@@ -109,9 +109,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive=
     """(by…, roc_auc): exact area from average ranks over distinct scores; NULL with one class only."""
     by = list(by)
     is_positive = col(label) == F.lit(positive)
-    distinct = df.filter(col(score).isNotNull()).groupBy(*by, col(score).alias("_score")).agg(
-        F.count_if(is_positive).alias("pos"), F.count_if(~is_positive).alias("neg"))
-    below = running_totals(distinct, "_score", ["neg"], by)
+    scored = df.filter(col(score).isNotNull()).withColumn("_score", col(score))
+    distinct = scored.groupBy(*by, "_score").agg(F.count_if(is_positive).alias("pos"), F.count_if(~is_positive).alias("neg"))
+    below = running_totals(distinct, "_score", ["neg"], by, spread=scored.select("_score"))
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return below.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("roc_auc"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabml.functions.columns import col
@@ -37,15 +37,14 @@ def split_stratified(df: DataFrame, key: list[str], target: str, test_size: floa
     """Per class the same test share: floors first, then the largest remainders until ceil(test_size·n)."""
     h = row_hash(key, seed)
     labelled = df.filter(col(target).isNotNull())
+    total = labelled.count()
+    wanted = math.ceil(test_size * total)
     counts = labelled.groupBy(col(target).alias("_class")).agg(F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy(F.lit(0))
-    share = F.col("n") * F.ceil(F.lit(test_size) * F.col("total")) / F.col("total")
-    shares = (counts.withColumn("total", F.sum("n").over(total)).withColumn("share", share)
-              .withColumn("low", F.floor("share")))
-    left = F.ceil(F.lit(test_size) * F.col("total")) - F.sum("low").over(total)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.col("share") - F.col("low"), 9)), "_class")
-    take = (shares.withColumn("left", left).withColumn("place", F.row_number().over(order))
-            .select("_class", (F.col("low") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).alias("k")))
+    shares = counts.withColumn("share", F.col("n") * F.lit(float(wanted)) / F.lit(total)).withColumn("low", F.floor("share"))
+    left = wanted - (shares.agg(F.sum("low")).first()[0] or 0)
+    ahead = shares.orderBy(F.desc(F.round(F.col("share") - F.col("low"), 9)), "_class").limit(int(left))
+    take = shares.join(ahead.select("_class", F.lit(1).alias("one")), "_class", "left").select(
+        "_class", (F.col("low") + F.coalesce("one", F.lit(0))).alias("k"))
     hashes = labelled.select(col(target).alias("_class"), h.alias("h"))
     cutoffs = group_hash_cutoffs(hashes, "h", "_class", take)
     joined = df.join(cutoffs, col(target) == F.col("_class"), "left")

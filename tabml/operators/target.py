@@ -73,10 +73,8 @@ def classify_task(df: DataFrame, target: str, key: str | None = None) -> DataFra
 
 
 def class_labels(df: DataFrame, target: str) -> DataFrame:
-    """(position, label): the sorted distinct classes of the target."""
-    labels = df.select(present(df, target).alias("label")).filter("label IS NOT NULL").distinct()
-    return labels.agg(F.array_sort(F.collect_list("label")).alias("labels")).select(
-        F.posexplode("labels").alias("position", "label"))
+    """(label): the distinct classes of the target in order."""
+    return df.select(present(df, target).alias("label")).filter("label IS NOT NULL").distinct().orderBy("label")
 
 
 def classify_task_by_ratio(df: DataFrame, target: str) -> DataFrame:

@@ -148,10 +148,12 @@ def keep(df: DataFrame, n: int | None = None) -> DataFrame:
 
 @dataclass
 class Prepared:
-    """Prepared train and test rows (features, label, split), kept for several fits."""
+    """Prepared train and test rows (features, label, split), kept for several fits, and the raw
+    rows they come from."""
 
     prep: Prep
     rows: DataFrame
+    raw: DataFrame
     labels: list | None
     features: list[str]
     target: str
@@ -175,13 +177,13 @@ def prepare(df: DataFrame, target: str, features: list[str], key: list[str], tas
     require_columns(df, [*features, target])
     known = keep(labelled(df.select(*{*key, *features, target}), target))    # several passes follow
     n = known.count()
+    labels = class_list(known, target) if is_classification(task) else None
     parts = split(known, key, target, task)
     prep = fit_prep(parts.filter("split = 'train'"), features, scale, unseen="keep")
-    labels = class_list(known, target) if is_classification(task) else None
     rows = keep(add_label(prep.transform(parts), target, labels).select(*key, "features", LABEL, "split"), n)
     rows.count()
     known.unpersist()
-    return Prepared(prep, rows, labels, features, target, task, key)
+    return Prepared(prep, rows, parts, labels, features, target, task, key)
 
 
 def fit_model(ready: Prepared, name: str, params: dict | None = None) -> Trained:
@@ -245,8 +247,7 @@ def train_model(df: DataFrame, target: str, features: list[str], key: list[str],
     spark = df.sparkSession
     table = spark.createDataFrame(report, "metric string, value double")
     if cv:
-        train_keys = ready.train.select(*key)
-        folds = cross_validate(df.join(train_keys, key, "left_semi"), target, features, key, task, name, params, cv)
+        folds = cross_validate(ready.raw.filter("split = 'train'"), target, features, key, task, name, params, cv)
         summary = cv_summary(folds)
         table = (table.unionByName(folds.select(F.format_string("cv_score_%d", F.col("fold") + 1).alias("metric"), F.col("score").alias("value")))
                  .unionByName(summary.select(F.lit("cv_mean").alias("metric"), F.col("mean").alias("value")))

@@ -29,7 +29,8 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """Header row and typed columns; columns are matched by name over all workbooks."""
     books = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(
         F.lower("path").endswith(".xlsx")).select("path", "content")
-    books = books.repartition(books.select("path").distinct().count() or 1, "path")
+    tasks = min(max(1, books.select("path").count()), 4 * spark.sparkContext.defaultParallelism)
+    books = books.repartition(tasks)
     rows = materialize(books.mapInPandas(_parse_books, ROW_SCHEMA), "xlsx")       # the XML is parsed once
     header = rows.filter("row_no = 0").orderBy("book").limit(1).select(F.explode("cells").alias("place", "cell")).select(
         F.col("place").cast("int").alias("place"), "cell.v").orderBy("place").collect()
