@@ -29,13 +29,16 @@ PREFIX_LENGTH = 4           # hex digits: at most 65 536 prefix counts
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                    one_pass_rows: int = ONE_PASS_ROWS) -> dict[str, list[float | None]]:
-    """{column: [quantile per probability]}, linear interpolation, missing values ignored."""
+                    one_pass_rows: int = ONE_PASS_ROWS, at_most: int | None = None) -> dict[str, list[float | None]]:
+    """{column: [quantile per probability]}, linear interpolation, missing values ignored.
+
+    ``at_most`` is a known upper bound of the row count, which saves counting.
+    """
     if not columns:
         return {}
     values = df.select([present(df, c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     names = values.columns
-    if df.count() <= one_pass_rows:
+    if (df.count() if at_most is None else at_most) <= one_pass_rows:
         grid = F.array([F.lit(float(p)) for p in probabilities])
         row = values.agg(*[F.percentile(n, grid).alias(n) for n in names]).first()
         return {c: list(row[n]) if row[n] is not None else [None] * len(probabilities)
@@ -74,23 +77,29 @@ def _values_at_ranks(values: DataFrame, sizes: dict[str, int], targets: list[tup
         if not wide:
             break
         margin = 2.0 / SKETCH_ACCURACY
-        sketches = []
-        for i, t in enumerate(wide):
-            a, b, below, inside = bracket[t]
-            at = (t[1] - below + 0.5) / inside
-            inner = F.when(col(t[0]).between(a, b), col(t[0]))
-            ends_at = F.array(F.lit(max(0.0, at - margin)), F.lit(min(1.0, at + margin)))
-            sketches.append(F.percentile_approx(inner, ends_at, SKETCH_ACCURACY).alias(f"s{i}"))
-        narrowed = values.agg(*sketches).first()
+        shared: dict = {}                # one sketch per bracket serves all ranks inside it
+        for t in wide:
+            shared.setdefault((t[0], *bracket[t]), []).append(t)
+        sketches, ends = [], {}
+        for i, ((name, a, b, below, inside), inner) in enumerate(shared.items()):
+            grid = []
+            for t in inner:
+                at = (t[1] - below + 0.5) / inside
+                ends[t] = (f"s{i}", len(grid))
+                grid += [max(0.0, at - margin), min(1.0, at + margin)]
+            values_in = F.when(col(name).between(a, b), col(name))
+            sketches.append(F.percentile_approx(values_in, grid, SKETCH_ACCURACY).alias(f"s{i}"))
+        row = values.agg(*sketches).first()
+        narrowed = {t: tuple(row[s][k:k + 2]) for t, (s, k) in ends.items()}
         counts = []
         for i, t in enumerate(wide):
-            lo, hi = narrowed[f"s{i}"]
+            lo, hi = narrowed[t]
             counts.append(F.count_if(col(t[0]) < lo).alias(f"b{i}"))
             counts.append(F.count_if(col(t[0]).between(lo, hi)).alias(f"n{i}"))
         counted = values.agg(*counts).first()
         for i, t in enumerate(wide):
             a, b, below, inside = bracket[t]
-            lo, hi = narrowed[f"s{i}"]
+            lo, hi = narrowed[t]
             n_below, n_inside = counted[f"b{i}"], counted[f"n{i}"]
             if not n_below <= t[1] < n_below + n_inside or n_inside >= inside:
                 stuck.add(t)            # keep the last good bracket, finish from value counts
@@ -99,12 +108,13 @@ def _values_at_ranks(values: DataFrame, sizes: dict[str, int], targets: list[tup
     found = {t: a for t, (a, b, _, _) in bracket.items() if a == b}
     rest = [t for t in targets if t not in found]
     if rest:
-        picks = []
+        picks, near = [], F.lit(False)
         for i, t in enumerate(rest):
             a, b, below, _ = bracket[t]
+            near = near | col(t[0]).between(a, b)
             picks.append(F.when(col(t[0]).between(a, b),
                                 F.struct(F.lit(i).alias("i"), F.lit(t[1] - below).alias("k"), col(t[0]).alias("v"))))
-        each = values.select(F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("s")).select("s.*")
+        each = values.filter(near).select(F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("s")).select("s.*")
         counted = each.groupBy("i", "k", "v").agg(F.count(F.lit(1)).alias("n"))
         upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
         rows = (counted.withColumn("upto", upto)

@@ -60,8 +60,9 @@ def _inside(df: DataFrame, name: str, q1: float, q3: float):
 def iqr_filter(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Drop rows outside the quartile fences, column after column: each column's quartiles
     come from the rows that the columns before it left over."""
+    n = df.count()
     for c in numeric_columns(df, exclude) if columns is None else columns:
-        q1, q3 = exact_quantiles(df, [c], [0.25, 0.75])[c]
+        q1, q3 = exact_quantiles(df, [c], [0.25, 0.75], at_most=n)[c]
         df = df.filter(_inside(df, c, q1, q3)) if q1 is not None else df.filter(F.lit(False))
     return df
 

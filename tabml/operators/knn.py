@@ -13,19 +13,31 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabml.functions.columns import col
 from tabml.operators.cluster_metrics import as_array
 from tabml.session import materialize
 
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1_024
+CELL_ROWS = 500             # aimed-at training points per cell while there are few
 BLOCK_ROWS = 4_000          # training points or queries per searched block
 CHUNK_CELLS = 4_000_000     # doubles held at once while comparing
+ROUNDING = 1e-10            # relative error allowed to the matrix product before exact measuring
 SLACK = 1e-9                # relative room for rounding when cells are ruled out
 
 
+def point(df: DataFrame, features: str) -> Column:
+    """The feature values as an array; adding zero makes -0.0 and 0.0 the same point."""
+    return F.transform(as_array(df, features), lambda v: v + 0.0)
+
+
+def point_id(x: Column | str) -> dict[str, Column]:
+    """128 bits that stand for a point where the point itself would be carried through a shuffle."""
+    return {"q1": F.xxhash64(x), "q2": F.xxhash64(F.lit("second"), x)}
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty((len(a), len(b)))
     step = max(1, CHUNK_CELLS // max(1, len(b) * b.shape[1]))
@@ -35,23 +47,54 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest rows of b, ties to the earlier row of b.
+
+    A matrix product sorts out far rows; everything within its rounding error of the k-th
+    distance is measured again exactly, so the result does not depend on the shortcut.
+    """
+    size_a, size_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    found = []
+    step = max(1, CHUNK_CELLS // len(b))
+    for s in range(0, len(a), step):
+        part = a[s:s + step]
+        rough = size_a[s:s + step, None] + size_b[None, :] - 2 * (part @ b.T)
+        near = np.full(len(part), np.inf)
+        if len(b) > k:
+            near = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        slack = ROUNDING * (size_a[s:s + step] + size_b.max())
+        rows, columns = np.nonzero(rough <= (near + slack)[:, None])
+        distance = np.empty(len(rows))
+        piece = max(1, CHUNK_CELLS // a.shape[1])
+        for i in range(0, len(rows), piece):
+            gap = part[rows[i:i + piece]] - b[columns[i:i + piece]]
+            distance[i:i + piece] = np.sqrt((gap * gap).sum(axis=1))
+        order = np.lexsort((columns, distance, rows))
+        rows, columns, distance = rows[order], columns[order], distance[order]
+        first = np.searchsorted(rows, np.arange(len(part)))
+        keep = np.arange(len(rows)) - first[rows] < k
+        found.append((rows[keep] + s, columns[keep], distance[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, features: str = "features", label: str = "label",
                block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(x, label, distance, votes): the k nearest training rows of every distinct query point x.
+    """(q1, q2, label, distance, votes): the k nearest training rows of every distinct query point.
 
-    A training point that occurs several times has several votes; the votes of a query sum to k.
+    q1, q2 are the ``point_id`` of the query point. A training point that occurs several times
+    has several votes; the votes of a query sum to k.
     """
     spark = train.sparkSession
     label_type = train.schema[label].dataType.simpleString()
-    points = train.filter(col(label).isNotNull()).groupBy(as_array(train, features).alias("x"), col(label).alias("label")).agg(
+    points = train.filter(col(label).isNotNull()).groupBy(point(train, features).alias("x"), col(label).alias("label")).agg(
         F.count(F.lit(1)).alias("w"))
-    asked = queries.select(as_array(queries, features).alias("x")).distinct()
+    asked = queries.select(point(queries, features).alias("x")).distinct()
 
     points = materialize(points, "knn-points")          # read for pivots, cell sizes and the search
     n = points.count()
     if n == 0:
         raise ValueError("No training rows with a label")
-    n_pivots = int(min(MAX_PIVOTS, max(1, n // (2 * block_rows) + 1)))
+    n_pivots = int(min(MAX_PIVOTS, n // CELL_ROWS + 1))
     rows = points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(n_pivots).collect()
     pivots = np.array([r["x"] for r in rows])
 
@@ -88,46 +131,43 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, features: str =
     def numbers(count):
         return F.sequence(F.lit(0), F.col(count) - 1).cast("array<bigint>")
 
-    left = (searched.join(F.broadcast(plan), "cell").withColumn("q", F.pmod(F.xxhash64("x"), F.col("q_blocks")))
-            .select("x", "cell", "q", F.explode(numbers("t_blocks")).alias("t")))
+    left = (searched.withColumns(point_id("x")).join(F.broadcast(plan), "cell").withColumn("q", F.pmod("q1", F.col("q_blocks")))
+            .select("q1", "q2", "x", "cell", "q", F.explode(numbers("t_blocks")).alias("t")))
     right = (celled.join(F.broadcast(plan), "cell").withColumn("t", F.pmod(F.xxhash64("x", "label"), F.col("t_blocks")))
              .select("x", "label", "w", "cell", "t", F.explode(numbers("q_blocks")).alias("q")))
 
     def search(asked_block: pd.DataFrame, train_block: pd.DataFrame) -> pd.DataFrame:
         if asked_block.empty or train_block.empty:
-            return pd.DataFrame({"x": [], "label": [], "distance": [], "w": []})
+            return pd.DataFrame({"q1": [], "q2": [], "label": [], "distance": [], "w": []})
         ordered = train_block.sort_values("label", kind="stable")
         b, labels, w = np.stack(ordered["x"].to_numpy()), ordered["label"].to_numpy(), ordered["w"].to_numpy()
-        xs = asked_block["x"].to_numpy()
-        d = _distances(np.stack(xs), b)
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        take = np.repeat(np.arange(len(xs)), order.shape[1])
-        flat = order.ravel()
-        return pd.DataFrame({"x": xs[take], "label": labels[flat], "distance": d[take, flat], "w": w[flat]})
+        asked_rows, train_rows, distance = _nearest(np.stack(asked_block["x"].to_numpy()), b, k)
+        return pd.DataFrame({"q1": asked_block["q1"].to_numpy()[asked_rows], "q2": asked_block["q2"].to_numpy()[asked_rows],
+                             "label": labels[train_rows], "distance": distance, "w": w[train_rows]})
 
     found = left.groupBy("cell", "t", "q").cogroup(right.groupBy("cell", "t", "q")).applyInPandas(
-        search, f"x array<double>, label {label_type}, distance double, w bigint")
-    ranked = Window.partitionBy("x").orderBy("distance", "label")
+        search, f"q1 bigint, q2 bigint, label {label_type}, distance double, w bigint")
+    ranked = Window.partitionBy("q1", "q2").orderBy("distance", "label")
     nearest = found.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k)
     before = F.coalesce(F.sum("w").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return nearest.withColumn("before", before).filter(F.col("before") < k).select(
-        "x", "label", "distance", F.least(F.col("w"), k - F.col("before")).alias("votes"))
+        "q1", "q2", "label", "distance", F.least(F.col("w"), k - F.col("before")).alias("votes"))
 
 
 def knn_classify(train: DataFrame, queries: DataFrame, k: int = 5, features: str = "features", label: str = "label") -> DataFrame:
     """Adds ``prediction``: the majority label of the k nearest training rows, ties to the smallest label."""
-    votes = neighbours(train, queries, k, features, label).groupBy("x", "label").agg(F.sum("votes").alias("votes"))
-    best = votes.groupBy("x").agg(F.min_by("label", F.struct((-F.col("votes")).alias("v"), "label")).alias("prediction"))
+    votes = neighbours(train, queries, k, features, label).groupBy("q1", "q2", "label").agg(F.sum("votes").alias("votes"))
+    best = votes.groupBy("q1", "q2").agg(F.min_by("label", F.struct((-F.col("votes")).alias("v"), "label")).alias("prediction"))
     return _attach(queries, best, features)
 
 
 def knn_regress(train: DataFrame, queries: DataFrame, k: int = 5, features: str = "features", label: str = "label") -> DataFrame:
     """Adds ``prediction``: the mean label of the k nearest training rows."""
-    means = neighbours(train, queries, k, features, label).groupBy("x").agg(
+    means = neighbours(train, queries, k, features, label).groupBy("q1", "q2").agg(
         (F.sum(F.col("label") * F.col("votes")) / F.sum("votes")).alias("prediction"))
     return _attach(queries, means, features)
 
 
 def _attach(queries: DataFrame, predicted: DataFrame, features: str) -> DataFrame:
-    keyed = queries.withColumn("_x", as_array(queries, features))
-    return keyed.join(predicted.withColumnRenamed("x", "_x"), "_x", "left").drop("_x")
+    keyed = queries.withColumns(point_id(point(queries, features)))
+    return keyed.join(predicted, ["q1", "q2"], "left").drop("q1", "q2")

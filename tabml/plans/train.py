@@ -136,16 +136,26 @@ def split(df: DataFrame, key: list[str], target: str, task: str, test_size: floa
     return split_random(df, key, test_size)
 
 
-ROWS_PER_TASK = 5_000      # iterative fits on fewer rows gain nothing from another task
+ROWS_PER_TASK = 2_000      # iterative fits on fewer rows gain nothing from another task
 
 
-def keep(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Persist (spilling to disk); a small table of ``n`` rows is put into few partitions."""
-    if n is not None:
-        df = df.coalesce(max(1, -(-n // ROWS_PER_TASK)))
+def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def keep_balanced(df: DataFrame, n: int, key: list[str]) -> DataFrame:
+    """Persist ``n`` rows for iterative fits: few partitions for a small table, and no fewer than
+    there are cores for a table that came in one piece. A large table stays as it is."""
+    now = df.rdd.getNumPartitions()
+    useful = max(1, -(-n // ROWS_PER_TASK))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if now > useful:
+        df = df.coalesce(useful)
+    elif now < min(useful, cores):
+        df = df.repartition(min(useful, cores), *[col(k) for k in key])
+    return keep(df)
+
+
 @dataclass
 class Prepared:
     """Prepared train and test rows (features, label, split), kept for several fits, and the raw
@@ -180,7 +190,7 @@ def prepare(df: DataFrame, target: str, features: list[str], key: list[str], tas
     labels = class_list(known, target) if is_classification(task) else None
     parts = split(known, key, target, task)
     prep = fit_prep(parts.filter("split = 'train'"), features, scale, unseen="keep")
-    rows = keep(add_label(prep.transform(parts), target, labels).select(*key, "features", LABEL, "split"), n)
+    rows = keep_balanced(add_label(prep.transform(parts), target, labels).select(*key, "features", LABEL, "split"), n, key)
     rows.count()
     known.unpersist()
     return Prepared(prep, rows, parts, labels, features, target, task, key)
@@ -211,7 +221,7 @@ def cross_validate(df: DataFrame, target: str, features: list[str], key: list[st
         train = folds.filter(F.col("fold") != i)
         prep = fit_prep(train, features, scale, unseen="keep")
         ready = add_label(prep.transform(folds), target, labels).select(*key, "features", LABEL, "fold")
-        inner = keep(ready.filter(F.col("fold") != i).drop("fold"), n)
+        inner = keep_balanced(ready.filter(F.col("fold") != i).drop("fold"), n, key)
         facts = training_facts(inner, classification=is_classification(task))
         model = build(name, facts, params).fit(inner)
         row = E.evaluate(model.transform(ready.filter(F.col("fold") == i)), task).first()

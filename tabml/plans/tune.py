@@ -12,7 +12,7 @@ from tabml.operators import evaluate as E
 from tabml.operators.models import build, training_facts
 from tabml.operators.prep import LABEL, class_list, fit_prep
 from tabml.operators.split import SEED, kfold
-from tabml.plans.train import add_label, is_classification, keep, labelled, main_metric, run_parallel
+from tabml.plans.train import add_label, is_classification, keep, keep_balanced, labelled, main_metric, run_parallel
 
 GRIDS = {
     "LogisticRegression": {"C": [0.1, 1.0, 10.0]},
@@ -53,7 +53,7 @@ def tune(df: DataFrame, target: str, features: list[str], key: list[str], task:
 
     def prepare_fold(i):
         prep = fit_prep(folds.filter(F.col("fold") != i), features, unseen="keep")
-        rows = keep(add_label(prep.transform(folds), target, labels).select(*key, "features", LABEL, "fold"), n)
+        rows = keep_balanced(add_label(prep.transform(folds), target, labels).select(*key, "features", LABEL, "fold"), n, key)
         prepared[i] = rows, training_facts(rows.filter(F.col("fold") != i), classification=is_classification(task))
 
     def one(item):

@@ -19,8 +19,9 @@ def brute(train, labels, queries, k):
 
 
 @pytest.mark.parametrize("block_rows", [4000, 20])
-def test_neighbours_equal_brute_force_with_a_hot_point(spark, block_rows):
+def test_neighbours_equal_brute_force_with_a_hot_point(spark, monkeypatch, block_rows):
     """A third of the training rows are copies of one point; small blocks force pruning and splitting."""
+    monkeypatch.setattr(knn, "CELL_ROWS", block_rows)
     rng = np.random.RandomState(1)
     train = rng.normal(size=(300, 2)) * 5
     train[:100] = [1.0, 1.0]
