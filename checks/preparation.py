@@ -17,7 +17,7 @@ def _filled(spark, folder):
     cells = model.transform(dirty)
     names = F.lit([n for n, _ in model.slots()])
     long = cells.select(F.posexplode(P.vector_to_array("features")).alias("slot", "value"))
-    return long.groupBy(F.element_at(names, F.col("slot") + 1).alias("name"), "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy(F.try_element_at(names, F.col("slot") + 1).alias("name"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _scaled(spark, folder):

@@ -32,8 +32,8 @@ def _mixed_scores(df: DataFrame, key: list[str], features: list[str], output, ma
     place = F.col("_s") + 1
     replaced = {}
     for j, f in enumerate(features):
-        own = F.element_at(F.lit([bool(m) for m in masks[:, j]]), place)
-        other = F.element_at(F.lit([b[j] for b in background]).cast(f"array<{df.schema[f].dataType.simpleString()}>"), place)
+        own = F.try_element_at(F.lit([bool(m) for m in masks[:, j]]), place)
+        other = F.try_element_at(F.lit([b[j] for b in background]).cast(f"array<{df.schema[f].dataType.simpleString()}>"), place)
         replaced[f] = F.when(own, col(f)).otherwise(other)
     return output(mixed.withColumns(replaced)).select(*key, "_s", "output")
 
@@ -43,7 +43,7 @@ def _combine(scores: DataFrame, key: list[str], features: list[str], weights: np
     place = F.col("_s") + 1
 
     def total(w):
-        return F.sum(F.col("output") * F.element_at(F.lit([float(x) for x in w]), place))
+        return F.sum(F.col("output") * F.try_element_at(F.lit([float(x) for x in w]), place))
 
     sums = scores.groupBy(*key).agg(*[total(weights[:, j]).alias(f"_w{j}") for j in range(len(features))], total(base).alias("_base"))
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_w{j}").alias(value)) for j, f in enumerate(features)])
@@ -87,8 +87,8 @@ def shapley_linear(prepared: DataFrame, key: list[str], coefficients: list[float
     base = intercept + sum(c * x for c, x in zip(coefficients, means))
     cells = prepared.select(*key, F.posexplode(vector_to_array("features")).alias("_i", "_x"))
     place = F.col("_i") + 1
-    return cells.select(*key, F.element_at(F.lit(names), place).alias("feature"),
-                        (F.element_at(w, place) * (F.col("_x") - F.element_at(m, place))).alias("contribution"),
+    return cells.select(*key, F.try_element_at(F.lit(names), place).alias("feature"),
+                        (F.try_element_at(w, place) * (F.col("_x") - F.try_element_at(m, place))).alias("contribution"),
                         F.lit(float(base)).alias("base_value"))
 
 

@@ -172,7 +172,7 @@ def matrix_cells(prepared: DataFrame, prep: Prep, key: str) -> DataFrame:
     """(key, name, value): the prepared matrix in long form."""
     names = F.lit([n for n, _ in prep.slots()])
     return prepared.select(key, F.posexplode(vector_to_array(FEATURES)).alias("slot", "value")).select(
-        key, F.element_at(names, F.col("slot") + 1).alias("name"), "value")
+        key, F.try_element_at(names, F.col("slot") + 1).alias("name"), "value")
 
 
 def class_list(df: DataFrame, target: str) -> list:
@@ -186,9 +186,10 @@ def class_list(df: DataFrame, target: str) -> list:
 def encode(df: DataFrame, target: str, labels: list, output: str = LABEL) -> DataFrame:
     """Class codes 0..k-1 by position in ``labels``; rows of unknown class get NULL."""
     known = F.lit(labels).cast(T.ArrayType(df.schema[target].dataType))
-    return df.withColumn(output, F.nullif(F.array_position(known, col(target)).cast("double") - 1, F.lit(-1.0)))
+    place = F.array_position(known, col(target))
+    return df.withColumn(output, F.when(place > 0, place - 1).cast("double"))
 
 
 def decode(df: DataFrame, labels: list, prediction: str = "prediction", output: str = "predicted_label") -> DataFrame:
-    """Class codes back to class values."""
-    return df.withColumn(output, F.element_at(F.lit(labels), col(prediction).cast("int") + 1))
+    """Class codes back to class values; no code, no value (plain element_at would return one)."""
+    return df.withColumn(output, F.try_element_at(F.lit(labels), col(prediction).cast("int") + 1))

@@ -43,7 +43,7 @@ class WardModel:
 
     def transform(self, prepared: DataFrame) -> DataFrame:
         coded = self.micro.transform(prepared)
-        return coded.withColumn("prediction", F.element_at(F.lit(self.groups), F.col("prediction") + 1))
+        return coded.withColumn("prediction", F.try_element_at(F.lit(self.groups), F.col("prediction") + 1))
 
     def save(self, path: str) -> None:
         self.micro.save(f"{path}/micro")

@@ -75,7 +75,7 @@ class Trained:
         if self.labels is None:
             out.append(F.col("prediction"))
         else:
-            out.append(F.element_at(F.lit(self.labels), F.col("prediction").cast("int") + 1).alias("prediction"))
+            out.append(F.try_element_at(F.lit(self.labels), F.col("prediction").cast("int") + 1).alias("prediction"))
             if probabilities and "probability" in scored.columns:
                 names = F.lit([str(x) for x in self.labels])
                 out.append(F.map_from_arrays(names, vector_to_array("probability")).alias("probabilities"))
