@@ -29,8 +29,8 @@ def split_random(df: DataFrame, key: list[str], test_size: float = 0.2, seed: in
 
 def split_hashed(df: DataFrame, key: list[str], test_size: float = 0.2, seed: int = SEED) -> DataFrame:
     """The one-scan form: every row decides alone, so the share is only close to test_size."""
-    share = F.pmod(F.xxhash64(*[col(k) for k in key], F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("split", F.when(share < int(test_size * 1_000_000), "test").otherwise("train"))
+    cutoff = f"{round(test_size * 16 ** 8):08x}" if test_size < 1 else "g"      # hex digits end at f
+    return df.withColumn("split", F.when(F.substring(row_hash(key, seed), 1, 8) < cutoff, "test").otherwise("train"))
 
 
 def split_stratified(df: DataFrame, key: list[str], target: str, test_size: float = 0.2, seed: int = SEED) -> DataFrame:

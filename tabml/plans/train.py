@@ -185,7 +185,7 @@ class Prepared:
 def prepare(df: DataFrame, target: str, features: list[str], key: list[str], task: str, scale: bool = True) -> Prepared:
     """Split, fit the preparation on the training rows, prepare all rows once."""
     require_columns(df, [*features, target])
-    known = keep(labelled(df.select(*{*key, *features, target}), target))    # several passes follow
+    known = keep(labelled(df.select(*dict.fromkeys([*key, *features, target])), target))    # several passes follow
     n = known.count()
     labels = class_list(known, target) if is_classification(task) else None
     parts = split(known, key, target, task)
@@ -212,7 +212,7 @@ def scores_by_split(trained: Trained, ready: Prepared) -> dict[str, float]:
 def cross_validate(df: DataFrame, target: str, features: list[str], key: list[str], task: str, name: str,
                    params: dict | None = None, k: int = 5, scale: bool = True) -> DataFrame:
     """(fold, score): the preparation and the model are fitted anew for every fold."""
-    known = labelled(df.select(*{*key, *features, target}), target)
+    known = labelled(df.select(*dict.fromkeys([*key, *features, target])), target)
     folds = keep(kfold(known, key, k))
     n = folds.count()
     labels = class_list(folds, target) if is_classification(task) else None

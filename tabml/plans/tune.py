@@ -46,7 +46,7 @@ def tune(df: DataFrame, target: str, features: list[str], key: list[str], task:
     """(setting, params, mean, std, place): fold scores of every setting, best first."""
     spark = df.sparkSession
     options = settings(name, search, tries, grid)
-    folds = keep(kfold(labelled(df.select(*{*key, *features, target}), target), key, cv_folds))
+    folds = keep(kfold(labelled(df.select(*dict.fromkeys([*key, *features, target])), target), key, cv_folds))
     n = folds.count()
     labels = class_list(folds, target) if is_classification(task) else None
     prepared = {}
