@@ -36,7 +36,7 @@ def _segments(block: int):
     def run(batches: Iterator) -> Iterator:
         """Blocks are cut from a partition as it comes, so no row moves to build the index."""
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
         from pyspark import TaskContext
 
         first, count, held = TaskContext.get().partitionId() << 32, 0, []
@@ -55,11 +55,12 @@ def _segments(block: int):
             for level in sorted(set(np.unique(levels)) - {0}, reverse=True):
                 row, dim = np.nonzero(levels == level)
                 out.append((at, int(level), width, row.astype(np.int32).tobytes(), dim.astype(np.int32).tobytes(), v[row, dim].tobytes()))
-            return pd.DataFrame(out, columns=["block", "level", "width", "rows", "dims", "impacts"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["block", "level", "width", "rows", "dims", "impacts"])
 
-        for pdf in batches:
-            for id, v in zip(pdf["id"], pdf["v"]):
-                held.append((None if pd.isna(id) else int(id), v))
+        for batch in batches:
+            for id, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append((id, v.values.to_numpy(zero_copy_only=False)))
                 if len(held) == block:
                     yield index(held)
                     held, count = [], count + 1
@@ -72,7 +73,7 @@ def build_index(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """Posting segments of (id, v): for each block of rows and each impact level, highest first,
     the rows, dimensions and signed impacts of that level. Level -1 holds the block's ids."""
     schema = "block long, level int, width int, rows binary, dims binary, impacts binary"
-    return materialize(vectors.mapInPandas(_segments(block), schema), "impact-index")
+    return materialize(vectors.mapInArrow(_segments(block), schema), "impact-index")
 
 
 def _best(q, ids, known, width, segments, own, k):
@@ -153,7 +154,8 @@ def _search(k: int):
                             for a, b, c in zip(parts["rows"], parts["dims"], parts["impacts"])]
                 for j, row, score in _best(q, ids, known, int(head["width"]), segments, own, k):
                     out.append((serial[j], own[j], ids[row] if known[row] else None, score))
-        return pd.DataFrame(out, columns=["query", "query_id", "id", "score"]).astype({"id": "Int64"})
+        columns = zip(*out) if out else [()] * 4
+        return pd.DataFrame({n: pd.array(list(c), "Int64") for n, c in zip(("query", "query_id", "id", "score"), columns)})
     return run
 
 

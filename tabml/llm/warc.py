@@ -7,6 +7,7 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabml.llm.common import spread_join
 from tabml.llm.files import open_folder
@@ -233,14 +234,17 @@ def _parse(raw: bytes) -> tuple:
             _page_of(fields.get("WARC-Refers-To")))
 
 
-def _reader(folder: str, payloads: bool):
+def _reader(folder: str, payloads: bool, schema):
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         store, path = open_folder(folder)
-        columns = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to", "file", "offset"]
-        for pdf in batches:
-            for name in pdf["name"]:
+
+        def batch_of(rows: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     rows, held = [], 0
                     for offset, raw in _members(stream):
@@ -248,26 +252,27 @@ def _reader(folder: str, payloads: bool):
                         rows.append((page, url, kind, payload if payloads else None, size, digest, origin, name, offset))
                         held += len(raw) if payloads else 200
                         if held > 4 << 20:
-                            yield _typed(pd.DataFrame(rows, columns=columns))
+                            yield batch_of(rows)
                             rows, held = [], 0
                     if rows:
-                        yield _typed(pd.DataFrame(rows, columns=columns))
+                        yield batch_of(rows)
     return run
 
 
-def _typed(pdf):
-    return pdf.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
 def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to, file, offset) of the
     records in a manifest's files, each file read by one task as a stream. Digests are checked; revisits
     have no payload, but its size and digest."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     files = manifest.select("name")
     spread = files.repartition(max(1, files.count()), "name")
-    schema = ("page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, "
-              "refers_to long, file string, offset long")
-    return spread.mapInPandas(_reader(folder, payloads), schema)
+    schema = T.StructType([
+        T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()),
+        T.StructField("payload", T.BinaryType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
+        T.StructField("refers_to", T.LongType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType())])
+    return spread.mapInArrow(_reader(folder, payloads, pa.schema(to_arrow_schema(schema))), schema)
 
 
 def archive(df: DataFrame, **settings) -> tuple[DataFrame, str]:
