@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.tables import (
@@ -53,16 +56,32 @@ def _split_scores(spark, folder):
 def _dispatch(spark, folder):
     parts = [E.as_long(E.evaluate(rule_predictions(spark, folder), "binary_classification", score="score")),
              E.as_long(E.evaluate(flag_predictions(spark, folder), "multiclass_classification")),
-             E.as_long(E.evaluate(rule_regression(spark, folder), "regression"))]
-    tasks = ["binary_classification", "multiclass_classification", "regression"]
+             E.as_long(E.evaluate(rule_regression(spark, folder), "regression")),
+             E.as_long(E.evaluate(_clusters(spark, folder), "clustering"))]
+    tasks = ["binary_classification", "multiclass_classification", "regression", "clustering"]
     parts = [p.select(F.lit(t).alias("task"), "*") for t, p in zip(tasks, parts)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _clusters(spark, folder):
+    return table(spark, folder, "embeddings").select(F.col("embedding").alias("features"), F.col("label").alias("prediction"))
 
 
 def _verdicts(spark, folder):
     reg = E.verdict(E.eval_regression(rule_regression(spark, folder)), "regression")
     bin_ = E.verdict(E.eval_binary(rule_predictions(spark, folder)).drop("pos_label"), "binary_classification")
-    return reg.unionByName(bin_)
+    many = E.verdict(E.eval_multiclass(flag_predictions(spark, folder)), "multiclass_classification")
+    exact, squared = (E.verdict(E.evaluate(_clusters(spark, folder), "clustering", silhouette_form=form), "clustering")
+                      for form in ("silhouette_score", "silhouette_squared"))
+    tasks = ["regression", "binary", "multiclass", "clustering", "clustering squared"]
+    return reduce(DataFrame.unionByName, [p.withColumn("task", F.lit(t)) for t, p in zip(tasks, [reg, bin_, many, exact, squared])])
+
+
+def _gappy(spark, folder):
+    """Scores with NULL and NaN, which count as missing."""
+    rows = table(spark, folder, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), F.when(F.col("l_orderkey") % 7 == 0, float("nan")).when(
+        F.col("l_orderkey") % 11 != 0, F.col("l_quantity") / 50).alias("score"))
+    return rounded(E.roc_auc(rows), 6)
 
 
 EMB = """emb AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"""
@@ -75,6 +94,7 @@ QUERIES = {
     "confusion_matrix": lambda s, f: E.confusion_matrix(flag_predictions(s, f)),
     "classification_report": lambda s, f: rounded(E.classification_report(flag_predictions(s, f))),
     "roc_auc": lambda s, f: rounded(E.roc_auc(rule_predictions(s, f)), 6),
+    "roc_auc_gaps": _gappy,
     "roc_auc_by_group": lambda s, f: rounded(E.roc_auc(rule_predictions(s, f), by=["l_linenumber"]), 6),
     "eval_regression": lambda s, f: rounded(E.eval_regression(rule_regression(s, f))),
     "eval_dispatch": _dispatch,
@@ -92,24 +112,54 @@ def _long(names, source):
 
 
 def _texts():
+    several = {
+        "accuracy": "printf('The model correctly predicts %.1f%% of all samples', round(accuracy * 100, 1))",
+        "precision": "printf('Weighted precision of %.1f%% across all classes', round(\"precision\" * 100, 1))",
+        "recall": "printf('Weighted recall of %.1f%% across all classes', round(recall * 100, 1))",
+        "f1_score": "printf('Weighted F1 score of %.4f across all classes', f1_score)"}
+    shape = {
+        "calinski_harabasz_score": "printf('Calinski-Harabasz score of %.4f indicates cluster separation', calinski_harabasz_score)",
+        "n_clusters": "printf('Model identified %.0f clusters', CAST(n_clusters AS DOUBLE))"}
     rows = {
         ("mse", "reg_m"): "NULL", ("rmse", "reg_m"): "printf('Average prediction error is %.4f units', rmse)",
         ("mae", "reg_m"): "printf('Mean absolute error is %.4f units', mae)",
-        ("r2_score", "reg_m"): "printf('The model explains %.1f%% of the variance in the target', r2_score * 100)",
-        ("accuracy", "b"): "printf('The model correctly predicts %.1f%% of all samples', accuracy * 100)",
-        ("precision", "b"): "printf('Of samples predicted as positive, %.1f%% are actually positive', \"precision\" * 100)",
-        ("recall", "b"): "printf('The model correctly identifies %.1f%% of all positive samples', recall * 100)",
+        ("r2_score", "reg_m"): "printf('The model explains %.1f%% of the variance in the target', round(r2_score * 100, 1))",
+        ("accuracy", "b"): "printf('The model correctly predicts %.1f%% of all samples', round(accuracy * 100, 1))",
+        ("precision", "b"): "printf('Of samples predicted as positive, %.1f%% are actually positive', round(\"precision\" * 100, 1))",
+        ("recall", "b"): "printf('The model correctly identifies %.1f%% of all positive samples', round(recall * 100, 1))",
         ("f1_score", "b"): "printf('F1 score of %.4f provides balanced precision-recall measure', f1_score)",
     }
-    parts = [f"SELECT '{m}' AS metric, round(\"{m}\", 4) AS \"value\", {t} AS \"text\" FROM {src}" for (m, src), t in rows.items()]
-    parts.append("SELECT 'overall', round(r2_score, 4), CASE WHEN r2_score > 0.7 THEN 'Good fit' ELSE 'Needs improvement' END FROM reg_m")
-    parts.append("SELECT 'overall', round(accuracy, 4), CASE WHEN accuracy > 0.8 THEN 'Good performance' ELSE 'Needs improvement' END FROM b")
+    tasks = {"reg_m": "regression", "b": "binary", "mc": "multiclass"}
+    rows |= {(m, "mc"): t for m, t in several.items()}
+    rows = {(m, src, tasks[src]): t for (m, src), t in rows.items()}
+    for name, task in (("silhouette_score", "clustering"), ("silhouette_squared", "clustering squared")):
+        rows |= {(m, "km", task): t for m, t in {**shape, name: f"printf('Silhouette score of %.4f indicates cluster quality', {name})"}.items()}
+    parts = [f"SELECT '{k}' AS task, '{m}' AS metric, round(\"{m}\", 4) AS \"value\", {t} AS \"text\" FROM {src}" for (m, src, k), t in rows.items()]
+    overall = [("regression", "r2_score", 0.7, "Good fit", "Needs improvement", "reg_m"), ("binary", "accuracy", 0.8, "Good performance", "Needs improvement", "b"),
+               ("multiclass", "accuracy", 0.8, "Good performance", "Needs improvement", "mc"),
+               ("clustering", "silhouette_score", 0.5, "Good clustering", "Clusters may need refinement", "km"),
+               ("clustering squared", "silhouette_squared", 0.5, "Good clustering", "Clusters may need refinement", "km")]
+    parts += [f"SELECT '{k}', 'overall', round({m}, 4), CASE WHEN {m} > {limit} THEN '{good}' ELSE '{poor}' END FROM {src}"
+              for k, m, limit, good, poor, src in overall]
     return "\nUNION ALL\n".join(parts)
 
 
 WEIGHTED = """sum(tp) / sum(support) AS accuracy, sum("precision" * support) / sum(support) AS "precision",
  sum(recall * support) / sum(support) AS recall, sum(f1_score * support) / sum(support) AS f1_score"""
 RULE_B = BINARY_SQL.format(by="", source="rule", group="")
+CLUSTER_SQL = f"""{EMB}, {CELLS},
+g AS (SELECT d, avg(v) AS m FROM cells_of GROUP BY d),
+ch AS (SELECT label, d, avg(v) AS m, count(*) AS n, var_pop(v) * count(*) AS w FROM cells_of GROUP BY label, d),
+dist AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS total, sum(list_distance(a.x, b.x) ** 2) AS squares, count(*) AS size
+ FROM emb a, emb b GROUP BY a.vec_id, a.label, b.label),
+ab AS (SELECT vec_id, max(size) FILTER (WHERE label = other) AS n,
+ max(total / greatest(size - 1, 1)) FILTER (WHERE label = other) AS a, min(total / size) FILTER (WHERE label <> other) AS b,
+ max(squares / greatest(size - 1, 1)) FILTER (WHERE label = other) AS a2, min(squares / size) FILTER (WHERE label <> other) AS b2 FROM dist GROUP BY vec_id),
+km AS (SELECT (SELECT count(DISTINCT label) FROM emb) AS n_clusters,
+ (SELECT (sum(n * (ch.m - g.m) ** 2) / (SELECT count(DISTINCT label) - 1 FROM emb)) / (sum(w) / (SELECT count(*) - count(DISTINCT label) FROM emb))
+  FROM ch JOIN g USING (d)) AS calinski_harabasz_score,
+ (SELECT avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) FROM ab) AS silhouette_score,
+ (SELECT avg(CASE WHEN n = 1 THEN 0 ELSE (b2 - a2) / greatest(a2, b2) END) FROM ab) AS silhouette_squared)""".replace("cells AS", "cells_of AS")
 SHOW = 'round(accuracy, 4) AS accuracy, round("precision", 4) AS "precision", round(recall, 4) AS recall, round(f1_score, 4) AS f1_score'
 
 SQL = {
@@ -133,11 +183,12 @@ SELECT l_linenumber, round(roc_auc, 6) AS roc_auc FROM auc""",
     "eval_regression": f"""WITH {REGRESSION_SQL}, m AS (SELECT {REG_METRICS} FROM reg)
 SELECT round(mse, 4) AS mse, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(r2_score, 4) AS r2_score FROM m""",
     "eval_dispatch": f"""WITH {RULE_SQL}, {RULE_B}, {AUC_SQL.format(by='', source='rule', part='', group='')}, {CLASS_SQL},
-mc AS (SELECT {WEIGHTED} FROM cls), {REGRESSION_SQL}, rm AS (SELECT {REG_METRICS} FROM reg)
+mc AS (SELECT {WEIGHTED} FROM cls), {REGRESSION_SQL}, rm AS (SELECT {REG_METRICS} FROM reg), {CLUSTER_SQL}
 SELECT 'binary_classification' AS task, * FROM ({_long(['accuracy', 'precision', 'recall', 'f1_score'], 'b')}
  UNION ALL SELECT 'roc_auc', round(roc_auc, 4) FROM auc)
 UNION ALL SELECT 'multiclass_classification', * FROM ({_long(['accuracy', 'precision', 'recall', 'f1_score'], 'mc')})
-UNION ALL SELECT 'regression', * FROM ({_long(['mse', 'rmse', 'mae', 'r2_score'], 'rm')})""",
+UNION ALL SELECT 'regression', * FROM ({_long(['mse', 'rmse', 'mae', 'r2_score'], 'rm')})
+UNION ALL SELECT 'clustering', * FROM ({_long(['n_clusters', 'calinski_harabasz_score', 'silhouette_score'], 'km')})""",
     "cluster_sizes": "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label",
     "silhouette": f"""WITH {EMB},
 dist AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS total, count(*) AS size
@@ -158,7 +209,9 @@ g AS (SELECT d, avg(v) AS m FROM cells GROUP BY d),
 c AS (SELECT label, d, avg(v) AS m, count(*) AS n, var_pop(v) * count(*) AS w FROM cells GROUP BY label, d)
 SELECT round((sum(n * (c.m - g.m) ** 2) / (SELECT count(DISTINCT label) - 1 FROM emb)) /
  (sum(w) / (SELECT count(*) - count(DISTINCT label) FROM emb)), 6) AS calinski_harabasz_score FROM c JOIN g USING (d)""",
-    "eval_verdict": f"WITH {RULE_SQL}, {RULE_B}, {REGRESSION_SQL}, reg_m AS (SELECT {REG_METRICS} FROM reg) {_texts()}",
+    "eval_verdict": f"WITH {RULE_SQL}, {RULE_B}, {CLASS_SQL}, mc AS (SELECT {WEIGHTED} FROM cls), {REGRESSION_SQL}, reg_m AS (SELECT {REG_METRICS} FROM reg), {CLUSTER_SQL} {_texts()}",
+    "roc_auc_gaps": f"""WITH gaps AS (SELECT CAST(l_returnflag = 'R' AS INT) AS label, l_quantity / 50 AS score FROM lineitem WHERE l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0),
+ {AUC_SQL.format(by='', source='gaps', part='', group='')} SELECT round(roc_auc, 6) AS roc_auc FROM auc""",
     "overfit_flag": f"""WITH s AS (SELECT CASE WHEN row_number() OVER (ORDER BY md5(o_orderkey || '|42')) <= ceil(0.2::DOUBLE * count(*) OVER ())
  THEN 'test' ELSE 'train' END AS split, o_orderstatus = 'F' AS label, o_totalprice > 200000 AS prediction FROM orders),
 a AS (SELECT avg(CAST(label = prediction AS INT)) FILTER (WHERE split = 'train') AS train_score,

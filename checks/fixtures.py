@@ -49,8 +49,9 @@ def workbook(pdf: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
-def write_workbooks(df: DataFrame, key: str, rows_per_book: int = 500) -> str:
-    """One workbook per block of keys, written by the tasks to the shared folder."""
+def write_workbooks(df: DataFrame, key: str, rows_per_book: int = 500, sparse: bool = False) -> str:
+    """One workbook per block of keys, written by the tasks to the shared folder; ``sparse``
+    workbooks leave out columns in which they have no values."""
     folder = scratch_path(df.sparkSession, "books")
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +61,8 @@ def write_workbooks(df: DataFrame, key: str, rows_per_book: int = 500) -> str:
         system.create_dir(path, recursive=True)
         name = f"part-{pdf['_book'].iloc[0]}.xlsx"
         with system.open_output_stream(f"{path}/{name}") as out:
-            out.write(workbook(pdf.drop(columns="_book")))
+            pdf = pdf.drop(columns="_book")
+            out.write(workbook(pdf.dropna(axis=1, how="all") if sparse else pdf))
         return pd.DataFrame({"name": [name]})
 
     blocks = df.withColumn("_book", F.floor(F.col(key) / rows_per_book))

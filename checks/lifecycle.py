@@ -19,26 +19,37 @@ from tabml.streaming import jobs as J
 
 # --- readers ---
 
-DIRTY_COLUMNS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
-
-
 def _csv(spark, folder):
-    return S.load(spark, W.write_csv(dirty_lineitem(spark, folder).select(DIRTY_COLUMNS), ".csv", ","))
+    return S.load(spark, W.write_csv(dirty_lineitem(spark, folder), ".csv", ","))
 
 
 def _csv_text(spark, folder):
     """Texts with line breaks, quotes and commas."""
-    return S.load(spark, W.write_csv(table(spark, folder, "documents").select("doc_id", "text", "lang"), ".csv", ","))
+    return S.load(spark, W.write_csv(table(spark, folder, "documents"), ".csv", ","))
 
 
 def _tsv(spark, folder):
-    return S.load(spark, W.write_csv(table(spark, folder, "orders").drop("o_orderdate"), ".tsv", "\t"))
+    return S.load(spark, W.write_csv(table(spark, folder, "orders"), ".tsv", "\t"))
 
 
 def _json(spark, folder):
     return S.load(spark, W.write_json_arrays(table(spark, folder, "customer"), "c_custkey"))
 
 
+def _json_lines(spark, folder):
+    path = scratch_path(spark, "lines") + ".json"
+    S.save(table(spark, folder, "orders"), path)
+    return S.load(spark, path)
+
+
+def _xlsx_mixed(spark, folder):
+    """Every other workbook lacks the balance, the rest the segment."""
+    odd = F.floor(F.col("c_custkey") / 50) % 2 == 1
+    customers = table(spark, folder, "customer").withColumn("c_acctbal", F.when(odd, F.col("c_acctbal"))).withColumn(
+        "c_mktsegment", F.when(~odd, F.col("c_mktsegment")))
+    return S.load(spark, W.write_workbooks(customers, "c_custkey", rows_per_book=50, sparse=True) + "/*.xlsx")
+
+
 def _xlsx(spark, folder):
     customers = table(spark, folder, "customer").withColumn("rich", F.col("c_acctbal") > 5000)
     return S.load(spark, W.write_workbooks(customers, "c_custkey") + "/*.xlsx")
@@ -151,6 +162,26 @@ def _marked(action):
     return run
 
 
+def _loaded(spark, folder):
+    """Save a fitted line as a version, load it by id, score the table; the version is active then."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    trained = fitted_line(orders)
+    registry, models = scratch_path(spark, "registry"), scratch_path(spark, "models")
+    for version in ("v1", "v2"):
+        number = G.save_version(trained, registry, models, "line", version, tags="a, b", n_samples=orders.count())
+    loaded = G.load_version(spark, registry, number - 1)
+    active = G.list_models(G.read_events(spark, registry)).filter("is_active").select("version", F.to_json("tags").alias("tags"))
+    return rounded(loaded.predict(orders), 2).withColumn("version", active.select("version").scalar()).withColumn(
+        "tags", active.select("tags").scalar())
+
+
+def fitted_line(orders):
+    prep = R.fit_prep(orders, ["o_custkey"])
+    rows = R.add_label(prep.transform(orders), "o_totalprice", None)
+    model = R.build("LinearRegression", R.training_facts(rows, classification=False)).fit(rows)
+    return R.Trained("LinearRegression", "regression", "o_totalprice", ["o_custkey"], None, prep, model, {})
+
+
 def _expired(spark, folder):
     events = registry_events(spark, folder)
     return G.expired(events, events.agg(F.max("created_at")).scalar(), days=1).select("id", "model_name", "version")
@@ -177,7 +208,7 @@ def _drained(spark, stream):
 
 
 def _stream(spark, folder):
-    return _drained(spark, _event_stream(spark, folder).select("event_id", "user_id", "event_type", "value"))
+    return _drained(spark, _event_stream(spark, folder))
 
 
 def _predict_stream(spark, folder):
@@ -190,6 +221,18 @@ def _predict_stream(spark, folder):
     return rounded(_drained(spark, J.score_stream(trained, _event_stream(spark, folder).select("event_id", "user_id", "value"))))
 
 
+def _predict_stream_knn(spark, folder):
+    """Nearest neighbours score a stream: the key itself is the feature, so one neighbour is the row itself."""
+    parts = table(spark, folder, "events").select("event_id", "value")
+    prep = R.fit_prep(parts, ["event_id"])
+    rows = R.add_label(prep.transform(parts), "value", None)
+    model = R.build("KNeighborsRegressor", R.training_facts(rows, classification=False), {"n_neighbors": 1}).fit(rows)
+    trained = R.Trained("KNeighborsRegressor", "regression", "value", ["event_id"], None, prep, model, {})
+    path = scratch_path(spark, "stream")
+    J.score_available(trained, _event_stream(spark, folder).select("event_id", "value"), path, scratch_path(spark, "progress"))
+    return rounded(spark.read.parquet(path).drop("batch"))
+
+
 def _rule(events):
     return events.select("ts", (F.col("event_type") == "purchase").cast("int").alias("label"), (F.col("value") > 30).cast("int").alias("prediction"))
 
@@ -227,7 +270,9 @@ QUERIES = {
     "io_csv_text": _csv_text,
     "io_tsv": _tsv,
     "io_json": _json,
+    "io_json_lines": _json_lines,
     "io_xlsx": _xlsx,
+    "io_xlsx_mixed": _xlsx_mixed,
     "io_snapshot": _snapshot,
     "task_log": _task_log,
     "task_status": lambda s, f: T.task_status(_tasks(s, f), "task-77"),
@@ -239,6 +284,8 @@ QUERIES = {
     "registry_delete": _marked(G.delete),
     "registry_deploy": _marked(G.deploy),
     "registry_expired": _expired,
+    "registry_load": _loaded,
+    "predict_stream_knn": _predict_stream_knn,
     "monitor_threshold": _threshold,
     "predict_stream": _predict_stream,
     "monitor_quality": _quality_batch,
@@ -246,6 +293,7 @@ QUERIES = {
     "monitor_drift": _drift_stream,
 }
 
+STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%S.%g')"
 TASKS_SQL = """t AS (SELECT 'task-' || event_id AS task_id, * FROM events)"""
 LIST_SQL = """
 last AS (SELECT id, created_at FROM reg WHERE event = 'activate' AND id IN (SELECT id FROM reg WHERE event = 'save') {also}
@@ -254,9 +302,12 @@ MARK_SQL = """SELECT model_name, count(*) AS n, count(*) FILTER (WHERE {deployed
  FROM live {where} GROUP BY model_name"""
 
 SQL = {
-    "io_csv": f"WITH {DIRTY_SQL} SELECT {', '.join(DIRTY_COLUMNS)} FROM dirty",
-    "io_csv_text": "SELECT doc_id, text, lang FROM documents",
-    "io_tsv": "SELECT * EXCLUDE (o_orderdate) FROM orders",
+    "io_csv": f"WITH {DIRTY_SQL} SELECT * REPLACE ({STAMP.format('l_shipdate')} AS l_shipdate) FROM dirty",
+    "io_csv_text": "SELECT * FROM documents",
+    "io_tsv": f"SELECT * REPLACE ({STAMP.format('o_orderdate')} AS o_orderdate) FROM orders",
+    "io_json_lines": f"SELECT * REPLACE ({STAMP.format('o_orderdate')} AS o_orderdate) FROM orders",
+    "io_xlsx_mixed": """SELECT * REPLACE (CASE WHEN c_custkey // 50 % 2 = 1 THEN c_acctbal END AS c_acctbal,
+ CASE WHEN c_custkey // 50 % 2 = 0 THEN c_mktsegment END AS c_mktsegment) FROM customer""",
     "io_json": "SELECT * FROM customer",
     "io_xlsx": "SELECT *, c_acctbal > 5000 AS rich FROM customer",
     "io_snapshot": "SELECT * FROM orders",
@@ -269,7 +320,7 @@ SQL = {
  FROM t WHERE event_id % 2 = 0
 UNION ALL SELECT task_id, 'regression', 'model_a', 'training_time', user_id / 4, NULL FROM t WHERE event_id % 2 = 0
 UNION ALL SELECT task_id, 'regression', 'model_b', NULL, NULL, 'no rows' FROM t WHERE event_id % 2 = 0""",
-    "io_stream": "SELECT event_id, user_id, event_type, value FROM events",
+    "io_stream": "SELECT * FROM events",
     "registry_save": f"""WITH {REGISTRY_SQL},
 c AS (SELECT 'model_' || user_id % 20 AS model_name, CASE event_id % 3 WHEN 1 THEN 'v' || (event_id - 1) WHEN 2 THEN 'c' || event_id % 30
  ELSE 'v' || strftime(ts, '%Y%m%d_%H%M%S') END AS version, ts, CASE WHEN event_id % 2 = 0 AND value <> 0 THEN value ELSE value / 2 END AS accuracy,
@@ -288,6 +339,9 @@ SELECT id = (SELECT id FROM best) AS is_active, count(*) AS n, max(accuracy) AS
         deployed="id IN (SELECT id FROM reg WHERE event = 'deploy')", where="WHERE id % 5 <> 0"),
     "registry_deploy": f"WITH {REGISTRY_SQL} " + MARK_SQL.format(
         deployed="id % 5 = 0 OR id IN (SELECT id FROM reg WHERE event = 'deploy')", where=""),
+    "registry_load": """SELECT o_orderkey, o_custkey, round(a + b * o_custkey, 2) AS prediction, 'v1' AS version, '["a","b"]' AS tags FROM orders,
+ (SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a FROM orders)""",
+    "predict_stream_knn": "SELECT event_id, round(value, 4) AS prediction FROM events",
     "registry_expired": f"""WITH {REGISTRY_SQL} SELECT id, model_name, version FROM live
  WHERE created_at < (SELECT max(created_at) FROM reg) - INTERVAL 1 DAY""",
     "monitor_threshold": """WITH s AS (SELECT l_suppkey, round(avg(CAST((l_returnflag = 'R') = (l_quantity > 45) AS INT)), 4) AS test_score

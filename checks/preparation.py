@@ -20,6 +20,22 @@ def _filled(spark, folder):
     return long.groupBy(F.try_element_at(names, F.col("slot") + 1).alias("name"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _filled_new(spark, folder):
+    """Fitted on rows without gaps, applied to rows with some."""
+    model = P.fit_prep(table(spark, folder, "lineitem"), DIRTY_FEATURES, scale=False)
+    cells = model.transform(dirty_lineitem(spark, folder))
+    names = F.lit([n for n, _ in model.slots()])
+    long = cells.select(F.posexplode(P.vector_to_array("features")).alias("slot", "value"))
+    return long.groupBy(F.try_element_at(names, F.col("slot") + 1).alias("name"), "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _constant(spark, folder):
+    """A category that never varies gives no column."""
+    orders = table(spark, folder, "orders").withColumn("shop", F.lit("one"))
+    model = P.fit_prep(orders, ["shop", "o_orderstatus", "o_custkey"], scale=False)
+    return P.matrix_cells(model.transform(orders), model, "o_orderkey")
+
+
 def _scaled(spark, folder):
     orders = table(spark, folder, "orders")
     model = P.fit_prep(orders, ["o_totalprice", "o_custkey"])
@@ -63,6 +79,8 @@ def _decoded(spark, folder):
 
 QUERIES = {
     "prep_impute": _filled,
+    "prep_impute_new_rows": _filled_new,
+    "prep_onehot_constant": _constant,
     "prep_scale": _scaled,
     "prep_onehot": _onehot,
     "prep_matrix": _matrix,
@@ -80,6 +98,15 @@ f AS (SELECT coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM di
 SELECT 'numeric__l_quantity' AS name, q AS "value", count(*) AS n FROM f GROUP BY q
 UNION ALL SELECT 'categorical__l_returnflag_N', CAST(r = 'N' AS INT), count(*) FROM f GROUP BY CAST(r = 'N' AS INT)
 UNION ALL SELECT 'categorical__l_returnflag_R', CAST(r = 'R' AS INT), count(*) FROM f GROUP BY CAST(r = 'R' AS INT)""",
+    "prep_impute_new_rows": f"""WITH {DIRTY_SQL},
+f AS (SELECT coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM lineitem)) AS q,
+ coalesce(l_returnflag, (SELECT l_returnflag FROM lineitem GROUP BY l_returnflag ORDER BY count(*) DESC, l_returnflag LIMIT 1)) AS r FROM dirty)
+SELECT 'numeric__l_quantity' AS name, q AS "value", count(*) AS n FROM f GROUP BY q
+UNION ALL SELECT 'categorical__l_returnflag_N', CAST(r = 'N' AS INT), count(*) FROM f GROUP BY CAST(r = 'N' AS INT)
+UNION ALL SELECT 'categorical__l_returnflag_R', CAST(r = 'R' AS INT), count(*) FROM f GROUP BY CAST(r = 'R' AS INT)""",
+    "prep_onehot_constant": """WITH s AS (SELECT DISTINCT o_orderstatus AS level FROM orders WHERE o_orderstatus <> (SELECT min(o_orderstatus) FROM orders))
+SELECT o_orderkey, 'numeric__o_custkey' AS name, CAST(o_custkey AS DOUBLE) AS "value" FROM orders
+UNION ALL SELECT o_orderkey, 'categorical__o_orderstatus_' || level, CAST(o_orderstatus = level AS INT) FROM orders, s""",
     "prep_scale": """WITH s AS (SELECT avg(o_totalprice) AS ma, stddev_pop(o_totalprice) AS sa, avg(o_custkey) AS mb,
  stddev_pop(o_custkey) AS sb FROM orders)
 SELECT o_orderkey, 'numeric__o_totalprice' AS name, round((o_totalprice - ma) / sa, 4) AS "value" FROM orders, s

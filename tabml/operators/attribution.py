@@ -2,9 +2,10 @@
 
 Both sampled Shapley values (Štrumbelj & Kononenko 2014) and local surrogates (LIME, Ribeiro
 et al. 2016) score mixtures of a row with background rows and combine the scores linearly.
-The mixtures and the combination weights are drawn once and are the same for every row, so
-either method is: replicate each row by the number of mixtures, score, and take weighted sums
-per row. The replicas of a row lie in one partition, so the sums are taken before the shuffle.
+The mixtures and the combination weights are drawn once and are the same for every row. They
+form a small plan table (one row per mixture: mask, background values, weights), broadcast once,
+so plans stay small however many features and samples there are: each row meets every mixture,
+is scored, and weighted sums are taken per row, most of them before the shuffle.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabml.functions.columns import col
 from tabml.functions.ranks import row_hash
 
-BACKGROUND_ROWS = 100    # fixed value: rows that stand for "the feature is unknown"
+BACKGROUND_ROWS = 100    # fixed value: rows that stand for "the feature is unknown", unless told otherwise
+MAX_PLAN_CELLS = 20_000_000     # mixtures times features of a plan, which bounds the broadcast
 
 
 def background_rows(df: DataFrame, key: list[str], features: list[str], rows: int = BACKGROUND_ROWS, seed: int = 42) -> list:
@@ -25,29 +28,33 @@ def background_rows(df: DataFrame, key: list[str], features: list[str], rows: in
     return df.orderBy(row_hash(key, seed)).limit(rows).select([col(f) for f in features]).collect()
 
 
-def _mixed_scores(df: DataFrame, key: list[str], features: list[str], output, masks: np.ndarray, background: list) -> DataFrame:
-    """key…, _s (number of the mixture), output: row values where the mask is set, else background values."""
-    rows = df.select(*[col(k) for k in key], *[col(f) for f in features if f not in key])
-    mixed = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("_s"))
-    place = F.col("_s") + 1
-    replaced = {}
-    for j, f in enumerate(features):
-        own = F.try_element_at(F.lit([bool(m) for m in masks[:, j]]), place)
-        other = F.try_element_at(F.lit([b[j] for b in background]).cast(f"array<{df.schema[f].dataType.simpleString()}>"), place)
-        replaced[f] = F.when(own, col(f)).otherwise(other)
-    return output(mixed.withColumns(replaced)).select(*key, "_s", "output")
-
+def _plan(df: DataFrame, features: list[str], masks: np.ndarray, background: list, weights: np.ndarray, base: np.ndarray) -> DataFrame:
+    """(_s, _mask, _other, _weights, _base): one row per mixture."""
+    if masks.size > MAX_PLAN_CELLS:
+        raise ValueError(f"{masks.shape[0]} mixtures of {masks.shape[1]} features exceed {MAX_PLAN_CELLS} cells; ask for fewer samples")
+    other = T.StructType([T.StructField(f"f{j}", df.schema[f].dataType) for j, f in enumerate(features)])
+    schema = T.StructType([T.StructField("_s", T.IntegerType()), T.StructField("_mask", T.ArrayType(T.BooleanType())), T.StructField("_other", other),
+                           T.StructField("_weights", T.ArrayType(T.DoubleType())), T.StructField("_base", T.DoubleType())])
+    rows = [(s, m.tolist(), tuple(b), w.tolist(), float(x)) for s, (m, b, w, x) in enumerate(zip(masks, background, weights, base))]
+    return df.sparkSession.createDataFrame(rows, schema)
 
-def _combine(scores: DataFrame, key: list[str], features: list[str], weights: np.ndarray, base: np.ndarray, value: str) -> DataFrame:
-    """(key…, feature, value, base_value): weighted sums of the scores of a row's mixtures."""
-    place = F.col("_s") + 1
 
-    def total(w):
-        return F.sum(F.col("output") * F.try_element_at(F.lit([float(x) for x in w]), place))
-
-    sums = scores.groupBy(*key).agg(*[total(weights[:, j]).alias(f"_w{j}") for j in range(len(features))], total(base).alias("_base"))
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_w{j}").alias(value)) for j, f in enumerate(features)])
-    return sums.select(*key, F.explode(cells).alias("_c"), F.col("_base").alias("base_value")).select(*key, "_c.*", "base_value")
+def _explained(df: DataFrame, key: list[str], features: list[str], output, plan: DataFrame, mixtures: int, value: str) -> DataFrame:
+    """(key…, feature, value, base_value): weighted sums of the scores of a row's mixtures, in
+    which the row's values stand where the mask is set and background values elsewhere."""
+    rows = df.select(*[col(k) for k in key], *[col(f) for f in features if f not in key])
+    asked = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(mixtures - 1))))
+    mixed = asked.join(F.broadcast(plan), "_s")
+    mixed = mixed.withColumns({f: F.when(F.get("_mask", F.lit(j)), col(f)).otherwise(F.col(f"_other.f{j}")) for j, f in enumerate(features)})
+    scores = output(mixed.drop("_mask", "_other")).select(*key, "_weights", "_base", "output")
+    cells = F.posexplode(F.concat("_weights", F.array("_base")))
+    sums = scores.select(*key, "output", cells.alias("_j", "_w")).groupBy(*key, "_j").agg(F.sum(F.col("output") * F.col("_w")).alias("_v"))
+    whole = sums.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_j", "_v"))).alias("_sums"))
+    names = F.lit(list(features))
+    each = F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda j: F.struct(
+        F.get(names, j).alias("feature"), F.try_element_at("_sums", j).alias(value)))
+    return whole.select(*key, F.explode(each).alias("_c"), F.try_element_at("_sums", F.lit(len(features))).alias("base_value")).select(
+        *key, "_c.*", "base_value")
 
 
 def shapley_plan(n_features: int, n_background: int, samples: int, seed: int):
@@ -75,9 +82,10 @@ def shapley_sampled(df: DataFrame, key: list[str], features: list[str], output,
                     samples: int = 50, seed: int = 42) -> DataFrame:
     """(key…, feature, contribution, base_value) for any model; contributions of a row and the
     base value add up to its output. ``output(df)`` adds ``output`` to rows of feature columns."""
+    samples = max(samples, len(background))         # every background row takes part
     masks, numbers, weights, base = shapley_plan(len(features), len(background), samples, seed)
-    scores = _mixed_scores(df, key, features, output, masks, [background[i] for i in numbers])
-    return _combine(scores, key, features, weights, base, "contribution")
+    plan = _plan(df, features, masks, [background[i] for i in numbers], weights, base)
+    return _explained(df, key, features, output, plan, len(masks), "contribution")
 
 
 def shapley_linear(prepared: DataFrame, key: list[str], coefficients: list[float], intercept: float,
@@ -123,7 +131,7 @@ def surrogate_local(df: DataFrame, key: list[str], features: list[str], output,
     """(key…, feature, weight, place, base_value): per row the features with the largest weights in
     a linear model fitted around the row."""
     masks, numbers, weights, base = surrogate_plan(len(features), len(background), samples, seed)
-    scores = _mixed_scores(df, key, features, output, masks, [background[i] for i in numbers])
-    long = _combine(scores, key, features, weights, base, "weight")
+    plan = _plan(df, features, masks, [background[i] for i in numbers], weights, base)
+    long = _explained(df, key, features, output, plan, len(masks), "weight")
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.abs("weight")), "feature"))
     return long.withColumn("place", place).filter(F.col("place") <= num_features)

@@ -19,7 +19,6 @@ from tabml.functions.columns import col
 
 BLOCK_ROWS = 2_000          # points per block of the exact silhouette
 CHUNK_CELLS = 4_000_000     # doubles held at once while comparing two blocks
-EXACT_ROWS = 50_000         # up to here `evaluate_clusters` uses the exact silhouette
 
 
 def as_array(df: DataFrame, features: str) -> Column:
@@ -128,14 +127,15 @@ def _block_sums(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def evaluate_clusters(df: DataFrame, features: str = "features", cluster: str = "cluster") -> DataFrame:
-    """(n_clusters, calinski_harabasz_score, silhouette_score or silhouette_squared).
+def evaluate_clusters(df: DataFrame, features: str = "features", cluster: str = "cluster",
+                      silhouette_form: str = "silhouette_score") -> DataFrame:
+    """(n_clusters, calinski_harabasz_score, and the chosen silhouette under its own name).
 
-    Above EXACT_ROWS rows the linear squared form is used, under its own name.
+    ``silhouette_form`` is silhouette_score (Euclidean, quadratic work) or silhouette_squared (linear
+    work); the choice is the caller's at every size.
     """
     known = df.filter(col(cluster).isNotNull())
-    exact = known.count() <= EXACT_ROWS
-    middle = silhouette(known, features, cluster) if exact else silhouette_squared(known, features, cluster)
+    forms = {"silhouette_score": silhouette, "silhouette_squared": silhouette_squared}
     return (known.agg(F.count_distinct(col(cluster)).alias("n_clusters"))
             .withColumn("calinski_harabasz_score", calinski_harabasz(known, features, cluster).scalar())
-            .withColumn("silhouette_score" if exact else "silhouette_squared", middle.scalar()))
+            .withColumn(silhouette_form, forms[silhouette_form](known, features, cluster).scalar()))

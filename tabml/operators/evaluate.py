@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabml.functions.columns import col
+from tabml.functions.columns import col, present
 from tabml.functions.ranks import running_totals
 
 OVERFIT_GAP = 0.1     # fixed value
+MAX_LABELS = 5_000    # a full matrix has the square of this many cells
 
 
 def pair_counts(df: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] = ()) -> DataFrame:
@@ -86,6 +87,8 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     """(label, prediction, n) for every pair of known labels, zeros included."""
     counts = pair_counts(df, label, prediction)
     sides = counts.select(F.explode(F.array("label", "prediction")).alias("label")).filter("label IS NOT NULL").distinct()
+    if sides.count() > MAX_LABELS:
+        raise ValueError(f"A confusion matrix over more than {MAX_LABELS} labels has too many cells; use pair_counts")
     known = sides.agg(F.collect_list("label")).scalar()
     grid = sides.select("label", F.explode(known).alias("prediction"))
     return grid.join(counts, ["label", "prediction"], "left").select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
@@ -106,10 +109,11 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive=1, by: list[str] = ()) -> DataFrame:
-    """(by…, roc_auc): exact area from average ranks over distinct scores; NULL with one class only."""
+    """(by…, roc_auc): exact area from average ranks over distinct scores; NULL with one class only.
+    Rows without a score or label (NULL or NaN) take no part."""
     by = list(by)
     is_positive = col(label) == F.lit(positive)
-    scored = df.filter(col(score).isNotNull()).withColumn("_score", col(score))
+    scored = df.withColumn("_score", present(df, score)).filter(F.col("_score").isNotNull() & present(df, label).isNotNull())
     distinct = scored.groupBy(*by, "_score").agg(F.count_if(is_positive).alias("pos"), F.count_if(~is_positive).alias("neg"))
     below = running_totals(distinct, "_score", ["neg"], by, spread=scored.select("_score"))
     wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
@@ -136,7 +140,7 @@ def as_long(metrics: DataFrame, by: list[str] = (), digits: int | None = 4) -> D
 
 
 def evaluate(df: DataFrame, task: str, label: str = "label", prediction: str = "prediction",
-             score: str | None = None, by: list[str] = ()) -> DataFrame:
+             score: str | None = None, by: list[str] = (), silhouette_form: str = "silhouette_score") -> DataFrame:
     """Wide metrics for the task type."""
     if task == "binary_classification":
         metrics = eval_binary(df, label, prediction, by)
@@ -152,12 +156,14 @@ def evaluate(df: DataFrame, task: str, label: str = "label", prediction: str = "
         return eval_regression(df, label, prediction, by)
     if task == "clustering":
         from tabml.operators.cluster_metrics import evaluate_clusters
-        return evaluate_clusters(df, "features", prediction)
+        return evaluate_clusters(df, "features", prediction, silhouette_form)
     raise ValueError(f"Unknown task type: {task}")
 
 
 def verdict(metrics: DataFrame, task: str) -> DataFrame:
-    """(metric, value, text): rounded metrics with the sentence that reads them."""
+    """(metric, value, text): rounded metrics with the sentence that reads them. Clusters are read by
+    the silhouette that the metrics hold."""
+    shape = "silhouette_squared" if "silhouette_squared" in metrics.columns else "silhouette_score"
     percent, four = "%.1f%%", "%.4f"
     # fixed values: sentences and limits of the reports
     sentences = {
@@ -179,7 +185,7 @@ def verdict(metrics: DataFrame, task: str) -> DataFrame:
             "mae": f"Mean absolute error is {four} units",
         },
         "clustering": {
-            "silhouette_score": f"Silhouette score of {four} indicates cluster quality",
+            shape: f"Silhouette score of {four} indicates cluster quality",
             "calinski_harabasz_score": f"Calinski-Harabasz score of {four} indicates cluster separation",
             "n_clusters": "Model identified %.0f clusters",
         },
@@ -188,7 +194,7 @@ def verdict(metrics: DataFrame, task: str) -> DataFrame:
         "binary_classification": ("accuracy", 0.8, "Good performance", "Needs improvement"),
         "multiclass_classification": ("accuracy", 0.8, "Good performance", "Needs improvement"),
         "regression": ("r2_score", 0.7, "Good fit", "Needs improvement"),
-        "clustering": ("silhouette_score", 0.5, "Good clustering", "Clusters may need refinement"),
+        "clustering": (shape, 0.5, "Good clustering", "Clusters may need refinement"),
     }[task]
     long = as_long(metrics.select([m for m in metrics.columns if m in sentences or m == "mse"]), digits=None)
     text = F.lit(None).cast("string")

@@ -11,7 +11,7 @@ from tabml.functions.ranks import row_hash
 from tabml.operators import evaluate as E
 
 TOP = 5                     # fixed value: features listed in a report
-SHUFFLE_ROWS = 100_000      # rows that trade values with each other
+SHUFFLE_ROWS = 100_000      # rows of a range of the hash order, about; the result does not depend on it
 
 
 def _last(model):
@@ -63,17 +63,25 @@ def permuted(df: DataFrame, key: list[str], features: list[str], seed: int = 42,
              shuffle_rows: int = SHUFFLE_ROWS) -> DataFrame:
     """All rows once as they are (feature NULL) and once per feature with that column shuffled.
 
-    Rows are dealt at random into groups of about ``shuffle_rows``; inside a group every row
-    takes the value of the next row in an order drawn anew for the feature. That is a random
-    shuffle that never orders the whole table.
+    In an order drawn anew for each feature (by a hash of the key) every row takes the value of the
+    next row, the last one that of the first. The order is cut into ranges of about ``shuffle_rows``
+    rows; the last row of a range takes the first value of the next range that has rows, so the
+    result is the same however many ranges there are and no task orders the whole table.
     """
-    groups = max(1, -(-df.count() // shuffle_rows))
-    dealt = df.withColumn("_group", F.pmod(F.xxhash64(*[col(k) for k in key], F.lit(seed)), F.lit(groups)))
+    ranges = max(1, -(-df.count() // shuffle_rows))
+    dealt = df
     for i, f in enumerate(features):
-        order = Window.partitionBy("_group").orderBy(row_hash(key, f"{seed}|{f}"))
-        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        dealt = dealt.withColumn("_hash", row_hash(key, f"{seed}|{f}"))
+        share = F.conv(F.substring("_hash", 1, 12), 16, 10).cast("double") / float(16 ** 12)
+        dealt = dealt.withColumn("_range", F.floor(share * ranges))
+        order = Window.partitionBy("_range").orderBy("_hash")
         value = F.struct(col(f).alias("v"))
-        dealt = dealt.withColumn(f"_next_{i}", F.coalesce(F.lead(value).over(order), F.first(value).over(whole))["v"])
+        firsts = dealt.groupBy("_range").agg(F.min_by(value, "_hash").alias("_first"))     # one row per range
+        along = Window.orderBy("_range")
+        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        following = firsts.select("_range", F.coalesce(F.lead("_first").over(along), F.first("_first").over(whole)).alias("_after"))
+        dealt = dealt.withColumn("_own", F.lead(value).over(order)).join(following, "_range")
+        dealt = dealt.withColumn(f"_next_{i}", F.coalesce("_own", "_after")["v"]).drop("_hash", "_range", "_own", "_after")
     keep = [c for c in df.columns if c not in features]
     versions = [F.struct(F.lit(None).cast("string").alias("_feature"), *[col(f).alias(f) for f in features])]
     for i, f in enumerate(features):

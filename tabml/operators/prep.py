@@ -1,7 +1,6 @@
 """Feature preparation as one fitted ``PipelineModel``.
 
-Numeric block: median fill (only where the training rows have gaps), then population
-standardisation. Categorical block: most-frequent fill, then one-hot without the first
+Numeric block: median fill, then population standardisation. Categorical block: most-frequent fill, then one-hot without the first
 category. Booleans pass through. All statistics are aggregates; the fitted stages are
 plain Spark stages, so the model saves, loads and scores batch and streaming alike.
 """
@@ -20,13 +19,12 @@ from pyspark.sql import types as T
 from tabml.functions.columns import (
     categorical_columns, col, columns_of_kind, numeric_columns, present, require_columns,
 )
-from tabml.operators.clean import medians, missing_columns, modes
+from tabml.operators.clean import medians, modes
 from tabml.session import read_json, write_json
 
 FEATURES = "features"
 LABEL = "label"
-MAX_LEVELS = 100_000     # the category lists live in the model, on every executor
-MAX_CLASSES = 1_000      # the class list is a literal of the scoring plan
+FEW_LABELS = 100         # up to here a row looks its class up in a list, beyond in a joined table
 
 
 def _quote(name: str) -> str:
@@ -51,20 +49,11 @@ def scale_statistics(df: DataFrame, columns: list[str], fill: dict[str, float])
 
 
 def fill_values(df: DataFrame, features: list[str]) -> tuple[dict[str, float], dict[str, str]]:
-    """Medians and modes of the feature columns that miss values."""
+    """Medians and modes of all feature columns, also of those without gaps: rows that come later
+    may have some. Columns without any value have none."""
     part = df.select([col(f) for f in features])
-    numbers = missing_columns(part, numeric_columns(part))
-    strings = missing_columns(part, categorical_columns(part))
-    return medians(part, numbers), modes(part, strings)
-
-
-def _check_levels(df: DataFrame, columns: list[str]) -> None:
-    if not columns:
-        return
-    row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    wide = [c for i, c in enumerate(columns) if row[f"d{i}"] > MAX_LEVELS]
-    if wide:
-        raise ValueError(f"Too many categories to one-hot encode, leave out or group: {wide}")
+    found = medians(part, numeric_columns(part)), modes(part, categorical_columns(part))
+    return tuple({c: v for c, v in values.items() if v is not None} for values in found)
 
 
 @dataclass
@@ -114,7 +103,6 @@ def fit_prep(train: DataFrame, features: list[str], scale: bool = True, unseen:
     flags = columns_of_kind(part, "boolean")
     if not numeric and not strings and not flags:
         raise ValueError("No features to preprocess")
-    _check_levels(part, strings)
     fill, common = fill_values(part, features)
     statistics = scale_statistics(part, numeric, fill) if scale else {}
 
@@ -141,6 +129,7 @@ def fit_prep(train: DataFrame, features: list[str], scale: bool = True, unseen:
         # codes run from the last category down, so dropping the last code drops the first category
         indexer = StringIndexer(inputCols=raw, outputCols=codes, stringOrderType="alphabetDesc", handleInvalid=unseen)
         stages = list(Pipeline(stages=[*stages, indexer]).fit(train).stages)
+        several = [i for i, levels in enumerate(stages[-1].labelsArray) if len(levels) > 1]     # one level, no slot
         if unseen == "keep":
             kept = [f"_kept_{i}" for i in range(len(strings))]
             last = [len(levels) - 1.0 for levels in stages[-1].labelsArray]
@@ -148,7 +137,10 @@ def fit_prep(train: DataFrame, features: list[str], scale: bool = True, unseen:
             stages.append(SQLTransformer(statement=f"SELECT *, {moved} FROM __THIS__"))
             codes = kept
             helpers += kept
-        stages.append(OneHotEncoder(inputCols=codes, outputCols=hots, dropLast=True))
+        codes, hots = [codes[i] for i in several], [hots[i] for i in several]
+        if hots:
+            stages.append(OneHotEncoder(inputCols=codes, outputCols=hots, dropLast=True))
+    helpers = [h for h in helpers if not h.startswith("_hot_") or h in hots]
     stages += [VectorAssembler(inputCols=[*numbers, *hots, *passed], outputCol=FEATURES),
                SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(helpers)}) FROM __THIS__")]
     return Prep(Pipeline(stages=stages).fit(train), numeric, strings, flags)
@@ -176,18 +168,21 @@ def matrix_cells(prepared: DataFrame, prep: Prep, key: str) -> DataFrame:
 
 
 def class_list(df: DataFrame, target: str) -> list:
-    """The distinct non-missing classes in their own order; a target with too many is refused."""
-    rows = df.select(present(df, target).alias("c")).filter("c IS NOT NULL").distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"Target column '{target}' has more than {MAX_CLASSES} classes")
-    return sorted(r["c"] for r in rows)
+    """The distinct non-missing classes in their own order; they become part of the model."""
+    return sorted(r["c"] for r in df.select(present(df, target).alias("c")).filter("c IS NOT NULL").distinct().collect())
 
 
 def encode(df: DataFrame, target: str, labels: list, output: str = LABEL) -> DataFrame:
     """Class codes 0..k-1 by position in ``labels``; rows of unknown class get NULL."""
+    if not labels:
+        return df.withColumn(output, F.lit(None).cast("double"))
     known = F.lit(labels).cast(T.ArrayType(df.schema[target].dataType))
-    place = F.array_position(known, col(target))
-    return df.withColumn(output, F.when(place > 0, place - 1).cast("double"))
+    if len(labels) <= FEW_LABELS:
+        place = F.array_position(known, col(target))
+        return df.withColumn(output, F.when(place > 0, place - 1).cast("double"))
+    codes = df.sparkSession.range(1).select(F.posexplode(known).alias("_code", "_label"))
+    joined = df.join(codes, col(target) == F.col("_label"), "left")
+    return joined.withColumn(output, F.col("_code").cast("double")).drop("_code", "_label")
 
 
 def decode(df: DataFrame, labels: list, prediction: str = "prediction", output: str = "predicted_label") -> DataFrame:

@@ -6,7 +6,8 @@ the current state is an aggregate over them. One writer at a time is assumed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabml.functions.ranks import running_totals
@@ -123,3 +124,46 @@ def expired(events: DataFrame, as_of, days: int = KEEP_DAYS) -> DataFrame:
 
 def append(events: DataFrame, path: str) -> None:
     events.select("id", "event", *VERSION).write.mode("append").parquet(path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The event table at ``path``; empty before the first event."""
+    try:
+        return spark.read.schema(SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
+
+
+def save_version(trained, events_path: str, models_dir: str, model_name: str, version: str | None = None, tags: str = "",
+                 description: str = "", metrics: dict[str, float] | None = None, n_samples: int | None = None) -> int:
+    """Write the model below ``models_dir`` and append its save event; returns the new id. A version
+    that exists is refused."""
+    spark = SparkSession.getActiveSession()
+    events = read_events(spark, events_path)
+    names = [f"{p}_{m}" for p in ("training", "evaluation") for m in ("accuracy", "f1_score", "r2_score")]
+    values = [float(metrics[m]) if metrics and metrics.get(m) is not None else None for m in ("accuracy", "f1_score", "r2_score")] + [None] * 3
+    facts = spark.createDataFrame(
+        [(model_name, version, tags, description, trained.task, trained.target, *values, n_samples, len(trained.features), trained.name)],
+        "model_name string, version string, tags string, description string, task_type string, target_column string, "
+        + ", ".join(f"{n} double" for n in names) + ", n_samples bigint, n_features bigint, model_type string")
+    new = save_versions(events, facts.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")), models_dir).collect()
+    if not new:
+        raise ValueError(f"Version {version} of {model_name} exists")
+    trained.save(new[0]["file_path"])
+    append(spark.createDataFrame(new, SCHEMA), events_path)
+    return new[0]["id"]
+
+
+def load_version(spark: SparkSession, events_path: str, model_id: int):
+    """The model behind a living version, which becomes the active one."""
+    from tabml.plans.train import load_trained
+    events = read_events(spark, events_path)
+    row = living(events).filter(F.col("id") == model_id).first()
+    if row is None:
+        raise ValueError(f"Model {model_id} not found")
+    trained = load_trained(spark, row["file_path"])
+    ids = spark.createDataFrame([(model_id,)], "id bigint")
+    append(activate(events, ids, F.current_timestamp().cast("timestamp_ntz")), events_path)
+    return trained

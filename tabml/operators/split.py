@@ -1,6 +1,7 @@
 """Train/test splits and folds, decided by comparing a row hash with a few cutoffs.
 
-The wide rows are never sorted or shuffled. ``key`` must identify a row; copies of a key
+The wide rows are never sorted or shuffled (beyond FEW_CLASSES classes the stratified split joins
+them with the cutoffs). ``key`` must identify a row; copies of a key
 share a hash and so stay on the same side.
 """
 
@@ -10,11 +11,13 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabml.functions.columns import col
 from tabml.functions.ranks import group_hash_cutoffs, hash_cutoffs, row_hash
 
 SEED = 42
+FEW_CLASSES = 1_000     # so many cutoffs go into the plan
 
 
 def split_random(df: DataFrame, key: list[str], test_size: float = 0.2, seed: int = SEED) -> DataFrame:
@@ -47,6 +50,13 @@ def split_stratified(df: DataFrame, key: list[str], target: str, test_size: floa
         "_class", (F.col("low") + F.coalesce("one", F.lit(0))).alias("k"))
     hashes = labelled.select(col(target).alias("_class"), h.alias("h"))
     cutoffs = group_hash_cutoffs(hashes, "h", "_class", take)
+    if cutoffs.count() <= FEW_CLASSES:
+        known = cutoffs.filter("cutoff IS NOT NULL").collect()
+        if not known:
+            return df.withColumn("split", F.lit("train"))
+        classes = F.lit([r["_class"] for r in known]).cast(T.ArrayType(df.schema[target].dataType))
+        cutoff = F.get(F.lit([r["cutoff"] for r in known]), F.array_position(classes, col(target)).cast("int") - 1)
+        return df.withColumn("split", F.when(h <= cutoff, "test").otherwise("train"))
     joined = df.join(cutoffs, col(target) == F.col("_class"), "left")
     return joined.withColumn("split", F.when(h <= F.col("cutoff"), "test").otherwise("train")).drop("_class", "cutoff")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabml.functions.columns import categorical_columns, numeric_columns, present
 from tabml.operators import importance as I
 from tabml.operators.attribution import (
-    background_rows, shapley_global, shapley_linear, shapley_sampled, surrogate_local,
+    BACKGROUND_ROWS, background_rows, shapley_global, shapley_linear, shapley_sampled, surrogate_local,
 )
 from tabml.operators.evaluate import overfit_flag
 from tabml.plans.train import Prepared, Trained, is_classification, scores_by_split
@@ -119,7 +119,8 @@ def explain(df: DataFrame, record: DataFrame, trained: Trained, ready: Prepared)
     return reduce(DataFrame.unionByName, [p.select(F.lit(s).alias("section"), "item", "text") for s, p in sections.items()])
 
 
-def shap_local(trained: Trained, df: DataFrame, key: list[str], background: DataFrame, samples: int = 50, class_index: int = 0) -> DataFrame:
+def shap_local(trained: Trained, df: DataFrame, key: list[str], background: DataFrame, samples: int = 50, class_index: int = 0,
+               background_size: int = BACKGROUND_ROWS) -> DataFrame:
     """(key…, feature, contribution, base_value) of every row: exact for linear regression, sampled for the rest."""
     if trained.name in ("LinearRegression", "Ridge"):
         from pyspark.ml.stat import Summarizer
@@ -127,20 +128,21 @@ def shap_local(trained: Trained, df: DataFrame, key: list[str], background: Data
         names = [n for n, _ in trained.prep.slots()]
         return shapley_linear(trained.prep.transform(df), key, list(trained.model.coefficients), trained.model.intercept,
                               names, list(mean))
-    rows = background_rows(background, key, trained.features)
+    rows = background_rows(background, key, trained.features, background_size)
     return shapley_sampled(df, key, trained.features, lambda d: trained.output(d, class_index), rows, samples)
 
 
-def shap_global(trained: Trained, df: DataFrame, key: list[str], background: DataFrame, samples: int = 50) -> DataFrame:
+def shap_global(trained: Trained, df: DataFrame, key: list[str], background: DataFrame, samples: int = 50,
+                background_size: int = BACKGROUND_ROWS) -> DataFrame:
     """(feature, importance): mean absolute contribution; a tree model answers with its importances."""
     last = trained.model.stages[-1] if hasattr(trained.model, "stages") else trained.model
     if hasattr(last, "featureImportances"):
         return I.importance_tree(df.sparkSession, trained.model, trained.prep.slots(), top=None).select("feature", "importance")
-    return shapley_global(shap_local(trained, df, key, background, samples))
+    return shapley_global(shap_local(trained, df, key, background, samples, background_size=background_size))
 
 
 def lime_local(trained: Trained, df: DataFrame, key: list[str], background: DataFrame, num_features: int = 10,
-               samples: int = 200, class_index: int = 0) -> DataFrame:
+               samples: int = 200, class_index: int = 0, background_size: int = BACKGROUND_ROWS) -> DataFrame:
     """(key…, feature, weight, place, base_value): the local surrogate of every row."""
-    rows = background_rows(background, key, trained.features)
+    rows = background_rows(background, key, trained.features, background_size)
     return surrogate_local(df, key, trained.features, lambda d: trained.output(d, class_index), rows, num_features, samples)

@@ -40,8 +40,15 @@ def is_classification(task: str) -> bool:
     return task.endswith("classification")
 
 
-def main_metric(task: str) -> str:
-    return {"regression": "r2_score", "clustering": "silhouette_score"}.get(task, "accuracy")
+def main_metric(task: str, silhouette_form: str = "silhouette_score") -> str:
+    return {"regression": "r2_score", "clustering": silhouette_form}.get(task, "accuracy")
+
+
+def measured(scored: DataFrame, task: str, by: list[str] = ()) -> DataFrame:
+    """Metrics of scored rows, with the ROC AUC of a binary model that has probabilities."""
+    if task == "binary_classification" and "probability" in scored.columns:
+        return E.evaluate(scored.withColumn("_p", vector_to_array("probability")[1]), task, score="_p", by=by)
+    return E.evaluate(scored, task, by=by)
 
 
 @dataclass
@@ -129,7 +136,7 @@ def labelled(df: DataFrame, target: str) -> DataFrame:
     return df.filter(present(df, target).isNotNull())
 
 
-def split(df: DataFrame, key: list[str], target: str, task: str, test_size: float = 0.2) -> DataFrame:
+def split(df: DataFrame, key: list[str], target: str | None, task: str, test_size: float = 0.2) -> DataFrame:
     """Stratified for classification, plain for the rest."""
     if is_classification(task):
         return split_stratified(df, key, target, test_size)
@@ -137,6 +144,7 @@ def split(df: DataFrame, key: list[str], target: str, task: str, test_size: floa
 
 
 ROWS_PER_TASK = 2_000      # iterative fits on fewer rows gain nothing from another task
+PIECES_PER_CORE = 100      # tables with more rows per core come in enough pieces
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -144,15 +152,14 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def keep_balanced(df: DataFrame, n: int, key: list[str]) -> DataFrame:
-    """Persist ``n`` rows for iterative fits: few partitions for a small table, and no fewer than
-    there are cores for a table that came in one piece. A large table stays as it is."""
-    now = df.rdd.getNumPartitions()
+    """Persist ``n`` rows for iterative fits: few partitions for a small table, one per core for a
+    middling one, which may have come in one piece. A large table stays as it is."""
     useful = max(1, -(-n // ROWS_PER_TASK))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if now > useful:
+    if useful < cores:
         df = df.coalesce(useful)
-    elif now < min(useful, cores):
-        df = df.repartition(min(useful, cores), *[col(k) for k in key])
+    elif useful < PIECES_PER_CORE * cores:
+        df = df.repartition(cores, *[col(k) for k in key])
     return keep(df)
 
 
@@ -166,7 +173,7 @@ class Prepared:
     raw: DataFrame
     labels: list | None
     features: list[str]
-    target: str
+    target: str | None
     task: str
     keys: list[str]
 
@@ -182,15 +189,19 @@ class Prepared:
         self.rows.unpersist()
 
 
-def prepare(df: DataFrame, target: str, features: list[str], key: list[str], task: str, scale: bool = True) -> Prepared:
-    """Split, fit the preparation on the training rows, prepare all rows once."""
-    require_columns(df, [*features, target])
-    known = keep(labelled(df.select(*dict.fromkeys([*key, *features, target])), target))    # several passes follow
+def prepare(df: DataFrame, target: str | None, features: list[str], key: list[str], task: str, scale: bool = True) -> Prepared:
+    """Split, fit the preparation on the training rows, prepare all rows once. Without a target
+    (clustering) every row takes part."""
+    named = [target] if target is not None else []
+    require_columns(df, [*features, *named])
+    known = df.select(*dict.fromkeys([*key, *features, *named]))
+    known = keep(labelled(known, target) if named else known)    # several passes follow
     n = known.count()
     labels = class_list(known, target) if is_classification(task) else None
     parts = split(known, key, target, task)
     prep = fit_prep(parts.filter("split = 'train'"), features, scale, unseen="keep")
-    rows = keep_balanced(add_label(prep.transform(parts), target, labels).select(*key, "features", LABEL, "split"), n, key)
+    ready = add_label(prep.transform(parts), target, labels) if named else prep.transform(parts)
+    rows = keep_balanced(ready.select(*key, "features", *([LABEL] if named else []), "split"), n, key)
     rows.count()
     known.unpersist()
     return Prepared(prep, rows, parts, labels, features, target, task, key)
@@ -282,7 +293,7 @@ def training_report(trained: Trained, ready: Prepared) -> DataFrame:
     The few rows are fetched, so the prepared rows may be released afterwards.
     """
     scored = trained.model.transform(ready.rows)
-    both = E.as_long(E.evaluate(scored, ready.task, by=["split"]), ["split"])
+    both = E.as_long(measured(scored, ready.task, by=["split"]), ["split"])
     sizes = ready.rows.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value"))
     parts = [
         both.filter(F.col("metric") == main_metric(ready.task)).select(
@@ -295,11 +306,25 @@ def training_report(trained: Trained, ready: Prepared) -> DataFrame:
 
 
 def evaluation_report(trained: Trained, ready: Prepared) -> DataFrame:
-    """The full report (section, field, value): task, target, model, training scores, metrics, settings."""
+    """The full report (section, field, value): task, target, model, training scores, metrics of the
+    test rows with their sentences, for classes the confusion matrix and class report, and settings."""
     spark = ready.rows.sparkSession
     facts = [("task_type", ready.task), ("target_column", ready.target), ("model_name", trained.name)]
     head = spark.createDataFrame(facts, "field string, value string").select(F.lit("dataset").alias("section"), "field", "value")
     body = training_report(trained, ready).select("section", F.col("metric").alias("field"), F.col("value").cast("string"))
+    scored = trained.model.transform(ready.test)
+    sentences = E.verdict(E.evaluate(scored, ready.task), ready.task).filter("text IS NOT NULL")
+    body = body.unionByName(sentences.select(F.lit("verdict").alias("section"), F.col("metric").alias("field"), F.col("text").alias("value")))
+    if is_classification(ready.task):
+        names = F.lit([str(x) for x in trained.labels])
+        name = lambda c: F.get(names, F.col(c).cast("int"))
+        matrix = E.confusion_matrix(scored).select(F.lit("confusion_matrix").alias("section"), F.concat(
+            name("label"), F.lit(" as "), name("prediction")).alias("field"), F.col("n").cast("string").alias("value"))
+        classes = E.classification_report(scored.select(name("label").alias("label"), name("prediction").alias("prediction")))
+        cells = F.array(*[F.struct(F.concat("name", F.lit(f" {m}")).alias("field"), F.round(m, 4).cast("string").alias("value"))
+                          for m in ("precision", "recall", "f1_score", "support")])
+        report = classes.select(F.lit("class_report").alias("section"), F.inline(cells))
+        body = body.unionByName(matrix).unionByName(report)
     return head.unionByName(body).unionByName(trained.info(spark).select(F.lit("model").alias("section"), "field", "value"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabml.operators import evaluate as E
@@ -22,6 +22,9 @@ GRIDS = {
     "DecisionTreeRegressor": {"max_depth": [3, 5, 10]},
     "KNeighborsClassifier": {"n_neighbors": [3, 5, 7, 9]},
     "KNeighborsRegressor": {"n_neighbors": [3, 5, 7, 9]},
+    "GradientBoostingClassifier": {"max_depth": [3, 5], "learning_rate": [0.1, 0.3]},
+    "GaussianNB": {},
+    "MultinomialNB": {"alpha": [0.1, 1.0, 10.0]},
     "Ridge": {"alpha": [0.1, 1.0, 10.0, 100.0]},
     "SVC": {"C": [0.1, 1.0, 10.0]},
     "SVR": {"alpha": [0.1, 1.0, 10.0]},
@@ -32,7 +35,9 @@ GRIDS = {
 
 def settings(name: str, search: str = "grid", tries: int = 5, grid: dict | None = None, seed: int = SEED) -> list[dict]:
     """All settings of the grid, or a seeded sample of them."""
-    grid = GRIDS.get(name, {}) if grid is None else grid
+    if grid is None and name not in GRIDS:
+        raise ValueError(f"No grid for {name}; give one")
+    grid = GRIDS[name] if grid is None else grid
     every = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     if search == "grid":
         return every
@@ -73,4 +78,5 @@ def tune(df: DataFrame, target: str, features: list[str], key: list[str], task:
     table = spark.createDataFrame(scores, "setting int, fold int, score double")
     texts = spark.createDataFrame([(i, str(o)) for i, o in enumerate(options)], "setting int, params string")
     means = table.groupBy("setting").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
-    return means.join(texts, "setting").orderBy(F.desc("mean"), "setting").select("setting", "params", "mean", "std")
+    place = F.row_number().over(Window.orderBy(F.desc("mean"), "setting"))      # one row per setting
+    return means.join(texts, "setting").select("setting", "params", "mean", "std", place.alias("place")).orderBy("place")

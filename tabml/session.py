@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -26,14 +29,16 @@ def local_session(app: str = "tabml", cores: str | int = "*", memory: str = "8g"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only for a local session that names none."""
+    """The cluster's checkpoint folder; a local session that names none gets a folder of its own,
+    which goes when Python ends."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tabml-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return context.getCheckpointDir().rstrip("/")
 

@@ -55,9 +55,23 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multiline: bool | N
     return typed(strings)
 
 
-def read_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """A JSON array of records per file (``multiline=False``: one array or record per line)."""
-    return spark.read.json(path, multiLine=multiline)
+def read_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """Records from JSON files: lines of one record or array each, or one array or record per file.
+
+    Unless ``multiline`` is given, each file is told by its lines: where every line with text is a
+    whole value the file is read by lines (and stays splittable), else as one value. Columns are
+    those of all files.
+    """
+    if multiline is not None:
+        return spark.read.json(path, multiLine=multiline)
+    line = F.trim("value")
+    whole = line.rlike(r"^[\[{]") & F.try_parse_json(line).isNotNull()
+    lines = spark.read.text(path).filter(F.length(line) > 0).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(whole).alias("by_line"))
+    kinds = {r["by_line"]: r["n"] for r in lines.groupBy("by_line").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(kinds) < 2:
+        return spark.read.json(path, multiLine=False in kinds)
+    parts = [spark.read.json([r["file"] for r in lines.filter(F.col("by_line") == kind).collect()], multiLine=not kind) for kind in (True, False)]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def read_records(spark: SparkSession, records: dict | list[dict]) -> DataFrame:

@@ -22,19 +22,20 @@ RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships
 # fixed values: built-in number formats that show dates or times
 DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 BATCH_ROWS = 10_000
-ROW_SCHEMA = "book string, row_no bigint, cells map<string, struct<v: string, t: string>>"
+ROW_SCHEMA = "book string, row_no bigint, cells map<string, struct<v: string, t: string, p: int>>"
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """Header row and typed columns; columns are matched by name over all workbooks."""
+    """Header row and typed columns, those of all workbooks, matched by name: the first workbook's
+    in their order, then what later ones add. Repeated names get a number, empty ones their place."""
     books = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(
         F.lower("path").endswith(".xlsx")).select("path", "content")
     tasks = min(max(1, books.select("path").count()), 4 * spark.sparkContext.defaultParallelism)
     books = books.repartition(tasks)
     rows = materialize(books.mapInPandas(_parse_books, ROW_SCHEMA), "xlsx")       # the XML is parsed once
-    header = rows.filter("row_no = 0").orderBy("book").limit(1).select(F.explode("cells").alias("place", "cell")).select(
-        F.col("place").cast("int").alias("place"), "cell.v").orderBy("place").collect()
-    names = [r["v"] for r in header]
+    header = rows.select("book", F.explode("cells").alias("name", "cell")).groupBy("name").agg(
+        F.min(F.struct("book", "cell.p")).alias("first")).orderBy("first").collect()
+    names = [r["name"] for r in header]
     body = rows.filter("row_no > 0").select([F.col("cells")[n].alias(n) for n in names])
 
     def cell(n):
@@ -67,10 +68,11 @@ def _parse_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, rows = None, []
             for number, cells in enumerate(_sheet_rows(bytes(content))):
                 if names is None:
-                    names = {place: value for place, (value, _) in cells.items()}
-                    row = {str(place): {"v": value, "t": "s"} for place, (value, _) in cells.items()}
-                else:
-                    row = {names[p]: {"v": v, "t": t} for p, (v, t) in cells.items() if p in names}
+                    names = _names({place: value for place, (value, _) in cells.items()})
+                    cells = {place: (None, "s") for place in names}
+                for place in cells.keys() - names.keys():
+                    names[place] = f"Unnamed: {place}"
+                row = {names[p]: {"v": v, "t": t, "p": p} for p, (v, t) in cells.items()}
                 rows.append((path, number, row))
                 if len(rows) == BATCH_ROWS:
                     yield pd.DataFrame(rows, columns=["book", "row_no", "cells"])
@@ -79,6 +81,20 @@ def _parse_books(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=["book", "row_no", "cells"])
 
 
+def _names(header: dict[int, str]) -> dict[int, str]:
+    """Column names by place: a repeated one gets .1, .2 and so on."""
+    names, seen = {}, set()
+    for place in range(max(header, default=-1) + 1):
+        name = base = header.get(place) or f"Unnamed: {place}"
+        number = 0
+        while name in seen:
+            number += 1
+            name = f"{base}.{number}"
+        seen.add(name)
+        names[place] = name
+    return names
+
+
 def _sheet_rows(content: bytes) -> Iterator[dict[int, tuple[str, str]]]:
     """Per row {column number: (text, kind)}; kinds: n number, s text, b truth value, d date."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:

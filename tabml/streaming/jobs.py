@@ -30,10 +30,20 @@ def event_time(stream: DataFrame, time: str, delay: str = "10 minutes") -> DataF
 
 
 def score_stream(trained, stream: DataFrame) -> DataFrame:
-    """Predictions for an unbounded table, by the code that scores batches."""
+    """Predictions for an unbounded table, by the code that scores batches. Models that compare rows
+    with stored rows (neighbours) can't be part of a stream's plan: see ``score_available``."""
     return trained.predict(stream)
 
 
+def score_available(trained, stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Score everything that has arrived, micro-batch by micro-batch, with any model, and stop. A
+    batch that is repeated after a failure overwrites its own folder."""
+    def one(batch: DataFrame, number: int) -> None:
+        trained.predict(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def quality_stream(scored: DataFrame, time: str, label: str = "label", prediction: str = "prediction",
                    delay: str = "10 minutes", every: str = EVERY) -> DataFrame:
     return windowed_quality(event_time(scored, time, delay), time, label, prediction, every)
