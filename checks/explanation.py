@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.evaluation import rounded
-from checks.modelling import DOC, NB_SQL, PART, gaussian_nb, vector
+from checks.modelling import DOC, NB_SQL, PART, gaussian_nb, line_orders, vector
 from checks.tables import DIRTY_SQL, dirty_lineitem, doc_quality, part_price, table
 from tabml.operators import attribution as A
 from tabml.operators import importance as I
@@ -70,6 +70,33 @@ def _linear_contributions(spark, folder):
     return A.shapley_linear(vector(parts, ["key_mod", "p_size"]), ["p_partkey"], [0.1, 0.05], 900.0, ["key_mod", "p_size"], list(means))
 
 
+def _fitted_line(spark, folder):
+    orders = line_orders(spark, folder)
+    prep = R.fit_prep(orders, ["o_custkey"])
+    rows = R.add_label(prep.transform(orders), "o_totalprice", None)
+    model = R.build("LinearRegression", R.training_facts(rows, classification=False)).fit(rows)
+    return R.Trained("LinearRegression", "regression", "o_totalprice", ["o_custkey"], None, prep, model, {}), orders
+
+
+def _shap_line(spark, folder):
+    trained, orders = _fitted_line(spark, folder)
+    return rounded(X.shap_local(trained, orders, ["o_orderkey"], orders), 2)
+
+
+def _shap_line_global(spark, folder):
+    trained, orders = _fitted_line(spark, folder)
+    return rounded(X.shap_global(trained, orders, ["o_orderkey"], orders), 2)
+
+
+def _shap_sampled_linear(spark, folder):
+    """Any scorer may be sampled; of a line the result is known: weight times distance from the mean of the drawn rows."""
+    parts = part_price(spark, folder).select("p_partkey", "key_mod", F.col("p_size").cast("double").alias("p_size"))
+    features = ["key_mod", "p_size"]
+    drawn = A.background_rows(parts, ["p_partkey"], features, rows=100)
+    line = lambda d: d.withColumn("output", 900 + 0.1 * F.col("key_mod") + 0.05 * F.col("p_size"))
+    return rounded(A.shapley_sampled(parts, ["p_partkey"], features, line, drawn, samples=100))
+
+
 def _shap_sampled(spark, folder):
     trained, ready = TREE(spark, folder)
     docs = doc_quality(spark, folder)
@@ -117,10 +144,13 @@ def _predict_labels(spark, folder):
 
 
 def _probabilities(spark, folder):
-    scored = gaussian_nb(spark, folder)
-    names = F.lit(["0", "1"])
-    with_map = scored.select("doc_id", F.map_from_arrays(names, vector_to_array("probability")).alias("p"))
-    return with_map.select("doc_id", F.explode("p").alias("class", "value")).withColumn("value", F.round("value", 4))
+    docs = doc_quality(spark, folder)
+    features = ["letter_share", "n_chars"]
+    prep = R.fit_prep(docs, features, scale=False)
+    rows = R.add_label(prep.transform(docs), "quality", [0, 1])
+    model = R.build("GaussianNB", R.training_facts(rows, classification=True)).fit(rows)
+    scored = R.Trained("GaussianNB", "binary_classification", "quality", features, [0, 1], prep, model, {}).predict(docs)
+    return scored.select("doc_id", F.explode("probabilities").alias("class", "value")).withColumn("value", F.round("value", 4))
 
 
 def _model_info(spark, folder):
@@ -136,6 +166,9 @@ QUERIES = {
     "importance_permutation": _permutation,
     "shap_global": lambda s, f: rounded(A.shapley_global(_linear_contributions(s, f))),
     "shap_local": lambda s, f: rounded(_linear_contributions(s, f)),
+    "shap_line": _shap_line,
+    "shap_line_global": _shap_line_global,
+    "shap_sampled_linear": _shap_sampled_linear,
     "shap_local_sampled": _shap_sampled,
     "lime_local": _lime,
     "explain_target": _target_texts,
@@ -171,6 +204,14 @@ SELECT p_partkey, feature, round(contribution, 4) AS contribution, round(base_va
     "shap_global": """WITH m AS (SELECT avg(p_partkey % 1000) AS a, avg(p_size) AS b FROM part)
 SELECT 'key_mod' AS feature, round(avg(abs(0.1::DOUBLE * (p_partkey % 1000 - a))), 4) AS importance FROM part, m
 UNION ALL SELECT 'p_size', round(avg(abs(0.05::DOUBLE * (p_size - b))), 4) FROM part, m""",
+    "shap_line": """WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS b, avg(o_custkey) AS m, avg(o_totalprice) AS base FROM orders)
+SELECT o_orderkey, 'numeric__o_custkey' AS feature, round(b * (o_custkey - m), 2) AS contribution, round(base, 2) AS base_value FROM orders, f""",
+    "shap_line_global": """WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS b, avg(o_custkey) AS m FROM orders)
+SELECT 'numeric__o_custkey' AS feature, round(avg(abs(b * (o_custkey - m))), 2) AS importance FROM orders, f""",
+    "shap_sampled_linear": """WITH p AS (SELECT p_partkey, CAST(p_partkey % 1000 AS DOUBLE) AS k, CAST(p_size AS DOUBLE) AS s FROM part),
+d AS (SELECT avg(k) AS mk, avg(s) AS ms FROM (SELECT * FROM p ORDER BY md5(p_partkey || '|42') LIMIT 100))
+SELECT p_partkey, 'key_mod' AS feature, round(0.1::DOUBLE * (k - mk), 4) AS contribution, round(900 + 0.1::DOUBLE * mk + 0.05::DOUBLE * ms, 4) AS base_value FROM p, d
+UNION ALL SELECT p_partkey, 'p_size', round(0.05::DOUBLE * (s - ms), 4), round(900 + 0.1::DOUBLE * mk + 0.05::DOUBLE * ms, 4) FROM p, d""",
     "explain_target": """WITH s AS (SELECT CASE WHEN count(DISTINCT l_linestatus) = 2 THEN 10.0 ELSE 6.0 END AS score FROM lineitem)
 SELECT 'target_column' AS item, 'l_linestatus' AS "text" UNION ALL SELECT 'confidence_score', printf('%.1f', score) FROM s
 UNION ALL SELECT 'explanation', printf('The target column ''l_linestatus'' was identified with %.1f%% confidence using intelligent analysis.', score) FROM s

@@ -102,6 +102,35 @@ def _auto_trained(spark, folder):
     return R.auto_train(part_price(spark, folder), *PART, name="RandomForest")[1]
 
 
+LINE = ("o_totalprice", ["o_custkey"], ["o_orderkey"], "regression")
+
+
+def line_orders(spark, folder):
+    """One feature and a target: whatever is fitted here has a closed form."""
+    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def _trained_line(spark, folder):
+    return R.train_model(line_orders(spark, folder), *LINE, name="LinearRegression", params={}, cv=0)[1]
+
+
+def _auto_trained_line(spark, folder):
+    return R.auto_train(line_orders(spark, folder), *LINE, name="LinearRegression")[1]
+
+
+def _line_board(spark, folder):
+    board = L.benchmark(R.prepare(line_orders(spark, folder), *LINE), ["LinearRegression", "NoSuchModel"])[0]
+    return board.filter("metric <> 'training_time' OR metric IS NULL").select(
+        "position", "model", "metric", "value", F.col("error").isNotNull().alias("failed"))
+
+
+def _tuned_line(search, **more):
+    def run(spark, folder):
+        grid = {"alpha": [0.5, 100.0, 10_000.0]}
+        return rounded(U.tune(line_orders(spark, folder), *LINE, "Ridge", search, grid=grid, **more)).select("setting", "mean", "std", "place")
+    return run
+
+
 def _cross_validated(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return rounded(R.cross_validate(orders, "o_totalprice", ["o_custkey"], ["o_orderkey"], "regression", "LinearRegression"))
@@ -172,6 +201,10 @@ QUERIES = {
     "fit_hierarchical": clusterer("AgglomerativeClustering"),
     "train_model": _trained,
     "auto_train": _auto_trained,
+    "train_line": _trained_line,
+    "auto_train_line": _auto_trained_line,
+    "benchmark_line": _line_board,
+    "tune_grid_line": _tuned_line("grid"),
     "cross_validate": _cross_validated,
     "tune_grid": _tuned("LogisticRegression", "grid", doc_quality, DOC),
     "tune_random": _tuned("Ridge", "random", part_price, PART, tries=3),
@@ -214,7 +247,30 @@ f AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM s),
 board AS (SELECT position, model, unnest(['accuracy', 'precision', 'recall', 'f1_score']) AS metric,
       unnest([round(accuracy, 4), round(pr, 4), round(re, 4), round(f1, 4)]) AS val FROM f WHERE re > 0)"""
 
+LINE_SPLIT = """
+o AS (SELECT o_custkey AS x, o_totalprice AS y, row_number() OVER (ORDER BY md5(o_orderkey || '|42')) <= ceil(0.2::DOUBLE * count(*) OVER ()) AS test FROM orders),
+fit AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM o WHERE NOT test),
+sc AS (SELECT test, count(*) AS n, avg((y - a - b * x) ** 2) AS mse, avg(abs(y - a - b * x)) AS mae, 1 - avg((y - a - b * x) ** 2) / var_pop(y) AS r2
+       FROM o, fit GROUP BY test)"""
+TEST_METRICS = """SELECT {0}'mse' AS metric, round(mse, 4) AS "value"{1} FROM sc WHERE test UNION ALL SELECT {0}'rmse', round(sqrt(mse), 4){1} FROM sc WHERE test
+UNION ALL SELECT {0}'mae', round(mae, 4){1} FROM sc WHERE test UNION ALL SELECT {0}'r2_score', round(r2, 4){1} FROM sc WHERE test"""
+
 SQL = {
+    "train_line": f"""WITH {LINE_SPLIT} SELECT 'LinearRegression' AS model, CASE WHEN test THEN 'test_score' ELSE 'train_score' END AS metric, round(r2, 4) AS "value" FROM sc
+UNION ALL SELECT 'LinearRegression', CASE WHEN test THEN 'test_samples' ELSE 'train_samples' END, n FROM sc""",
+    "auto_train_line": f"""WITH {LINE_SPLIT} SELECT 'LinearRegression' AS model, 'training' AS "section", CASE WHEN test THEN 'test_score' ELSE 'train_score' END AS metric, round(r2, 4) AS "value" FROM sc
+UNION ALL SELECT 'LinearRegression', 'training', CASE WHEN test THEN 'test_samples' ELSE 'train_samples' END, n FROM sc
+UNION ALL SELECT 'LinearRegression', 'evaluation', metric, "value" FROM ({TEST_METRICS.format('', '')})""",
+    "benchmark_line": f"""WITH {LINE_SPLIT} {TEST_METRICS.format("1 AS position, 'LinearRegression' AS model, ", ", FALSE AS failed")}
+UNION ALL SELECT 2, 'NoSuchModel', NULL, NULL, TRUE""",
+    "tune_grid_line": """WITH o AS (SELECT o_custkey AS x, o_totalprice AS y, row_number() OVER (ORDER BY md5(o_orderkey || '|42')) - 1 AS r, count(*) OVER () AS n FROM orders),
+k AS (SELECT x, y, CASE WHEN r < (n % 5) * (n // 5 + 1) THEN r // (n // 5 + 1) ELSE n % 5 + (r - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM o),
+m AS (SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, regr_sxy(y, x) AS sxy
+      FROM k JOIN (SELECT DISTINCT fold FROM k) f ON k.fold <> f.fold GROUP BY f.fold),
+g AS (SELECT unnest([0, 1, 2]) AS setting, unnest([0.5, 100.0, 10000.0]::DOUBLE[]) AS alpha),
+s AS (SELECT setting, k.fold, 1 - avg((y - my - sxy / sx / (n + alpha) * (x - mx) / sx) ** 2) / var_pop(y) AS score FROM k JOIN m ON k.fold = m.fold, g GROUP BY setting, k.fold),
+a AS (SELECT setting, avg(score) AS mean, stddev_pop(score) AS std FROM s GROUP BY setting)
+SELECT setting, round(mean, 4) AS mean, round(std, 4) AS std, row_number() OVER (ORDER BY mean DESC, setting) AS place FROM a""",
     "fit_linear": """SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope,
  round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem""",
     "fit_ridge": """SELECT round(b, 3) AS slope, round(my - b * mx, 3) AS intercept FROM (
