@@ -164,10 +164,12 @@ def profile(df: DataFrame, key: str | None = None) -> DataFrame:
         return part.select(F.lit(section).alias("section"), F.col("column"), F.explode(F.array(*cells)).alias("c")).select(
             "section", "column", "c.stat", "c.value")
 
-    record = metadata(df, key)
+    found = metadata(df, key)
+    fact = found.first()
+    record = df.sparkSession.createDataFrame([fact], found.schema)      # computed once
     facts = record.select(F.lit(None).cast("string").alias("column"), "n_samples", "n_features", "target_column",
                           "task_type", "task_reason", "n_classes", "confidence_score")
-    target = record.first()["target_column"]
+    target = fact["target_column"]
     kinds = feature_types(df, target)
     stats = describe(df, numeric_columns(df, (target,)))
     numbers = ["mean", "std", "min", "p25", "p50", "p75", "max"]

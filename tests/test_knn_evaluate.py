@@ -120,8 +120,10 @@ def test_silhouette_in_blocks_with_copies_and_a_singleton(spark, block_rows):
     assert abs(K.silhouette(df, block_rows=block_rows).first()[0] - silhouette(x, c)) < 1e-9
 
 
-def test_linear_forms_are_used_for_many_rows(spark, monkeypatch):
+def test_the_caller_chooses_the_silhouette(spark):
+    from tabml.operators.evaluate import evaluate, verdict
     df = spark.range(100).select(F.array((F.col("id") % 10).cast("double")).alias("features"), (F.col("id") % 10 > 4).cast("int").alias("cluster"))
-    assert "silhouette_score" in K.evaluate_clusters(df).columns
-    monkeypatch.setattr(K, "EXACT_ROWS", 10)
-    assert "silhouette_squared" in K.evaluate_clusters(df).columns
+    for form in ("silhouette_score", "silhouette_squared"):
+        metrics = evaluate(df, "clustering", prediction="cluster", silhouette_form=form)
+        texts = {r["metric"]: r["text"] for r in verdict(metrics, "clustering").collect()}
+        assert form in metrics.columns and texts["overall"] == "Good clustering" and texts[form].startswith("Silhouette score of")
