@@ -11,91 +11,125 @@ from pyspark.sql import types as T
 
 #: a piece may leave this share of its slot empty; else it is cut to the next smaller slot
 TOLERANCE = 1 / 32
-#: words whose ids a worker remembers
-KNOWN_WORDS = 500_000
+#: words whose ids a worker remembers, and bytes of text that are looked up at once
+KNOWN_WORDS, LOOKUP_BYTES = 800_000, 1 << 20
 #: bytes of ids that are sent back at once
 BATCH_BYTES = 4 << 20
-#: letters that normalisation leaves alone, then punctuation that starts no contraction
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?*#$%&()]+)?")
+#: a line: letters that normalisation leaves alone but for their case, then punctuation that starts no
+#: contraction; or anything else
+PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()|]*)|(.*))$", re.MULTILINE)
+
+
+class _Ragged:
+    """Growing arrays of ids, one after the other."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.count = self.used = 0
+        self.starts, self.lengths, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+
+    def extend(self, lengths, ids) -> None:
+        import numpy as np
+
+        def room(a, n):
+            return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+        n, m = self.count + len(lengths), self.used + len(ids)
+        self.starts, self.lengths, self.ids = room(self.starts, n), room(self.lengths, n), room(self.ids, m)
+        self.starts[self.count:n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.count:n], self.ids[self.used:m] = lengths, ids
+        self.count, self.used = n, m
+
+    def take(self, places):
+        """(ids of the places in a row, length of each)."""
+        import numpy as np
+
+        lengths = self.lengths[places]
+        stops = np.cumsum(lengths)
+        total = int(stops[-1]) if len(places) else 0
+        return self.ids[np.arange(total) + np.repeat(self.starts[places] - (stops - lengths), lengths)], lengths
 
 
 class WordIds:
     """Token ids of texts, by word. The tokenizer drops white space and never looks across it,
-    so ids of a text are the ids of its words in a row, and each word is encoded once."""
+    so ids of a text are the ids of its words in a row, and each word is encoded once.
+
+    Most words are letters and punctuation: their lower-case letter runs are encoded many at a time
+    without the tokenizer's normalisation, which would not change them. Other words go through the
+    whole tokenizer, and so do all if a probe shows that the short way gives other ids.
+    """
 
     def __init__(self, path: str):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.short = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.short.normalizer = normalizers.Sequence([])
+        self.short.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.final[i] = token.endswith("</w>")
+        probe = "Plain, ÀÉÿß words! Of### unequal LENGTH, x and internationalisation;"
+        self.plain, self.run_ids, self.run_places = True, _Ragged(), {}
+        self.forget()
+        self.plain = self.encode([probe.encode()], 1)[0].tolist() == [*self._whole(probe), 1]
         self.forget()
 
     def forget(self) -> None:
-        import numpy as np
-
         self.places: dict[bytes, int] = {}
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.words, self.run_ids, self.run_places = _Ragged(), _Ragged(), {"": 0}
+        self.run_ids.extend([0], [])
+
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _add(self, word: bytes, ids) -> None:
+    def _add_runs(self, runs: list[str]) -> None:
         import numpy as np
 
-        n, place = len(ids), len(self.places)
-        if place >= len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.starts[place], self.lengths[place] = self.used, n
-        self.ids[self.used:self.used + n] = ids
-        self.used += n
-        self.places[word] = place
+        for start in range(0, len(runs), 256):
+            part = runs[start:start + 256]
+            ids = np.array(self.short.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self.run_ids.extend(np.diff(ends, prepend=0), ids)
+            else:                                                   # not told apart by word ends: one by one
+                each = [self._whole(r) for r in part]
+                self.run_ids.extend([len(e) for e in each], [i for e in each for i in e])
+            self.run_places.update(zip(part, range(len(self.run_places), len(self.run_places) + len(part))))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Plain words are encoded many at a time and told apart by their word-end tokens."""
         import numpy as np
 
-        plain, odd = [], []
-        for raw in words:
-            word = raw.decode()
-            if m := PLAIN.fullmatch(word):
-                plain.append((raw, word, 1 + (m[1] is not None)))
-            else:
-                odd.append((raw, word))
-        for start in range(0, len(plain), 4096):
-            part = plain[start:start + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(p[1] for p in part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.final[ids]) + 1
-            parts = np.cumsum([p[2] for p in part])
-            if len(ends) != parts[-1] or ends[-1] != len(ids):      # not told apart: one by one
-                odd += [p[:2] for p in part]
-                continue
-            stops = ends[parts - 1]
-            for (raw, _, _), a, b in zip(part, [0, *stops[:-1].tolist()], stops.tolist()):
-                self._add(raw, ids[a:b])
-        for raw, word in odd:
-            self._add(raw, self.tokenizer.encode(word, add_special_tokens=False).ids)
-
-    def encode(self, text: bytes, end: int):
-        """Ids of a UTF-8 text as unsigned 32-bit numbers, then ``end``."""
+        parts = [(a.lower(), b, c) if self.plain else ("", "", a + b + c) for a, b, c in PLAIN.findall(b"\n".join(words).decode())]
+        known = self.run_places
+        self._add_runs(list(dict.fromkeys(r for a, b, c in parts if not c for r in (a, b) if r not in known)))
+        odd = [c for _, _, c in parts if c]
+        each = [self._whole(c) for c in odd]
+        first = self.run_ids.count
+        self.run_ids.extend([len(e) for e in each], [i for e in each for i in e])
+        known.update(zip(map("\n".__add__, odd), range(first, first + len(odd))))     # no run has a line break
+        pairs = np.array([(known["\n" + c], 0) if c else (known[a], known[b]) for a, b, c in parts], np.int64)
+        ids, lengths = self.run_ids.take(pairs.ravel())
+        self.places.update(zip(words, range(self.words.count, self.words.count + len(words))))
+        self.words.extend(lengths.reshape(-1, 2).sum(axis=1), ids)
+
+    def encode(self, texts: list[bytes], end: int) -> list:
+        """Ids of UTF-8 texts as arrays of unsigned 32-bit numbers, each with ``end`` after it."""
         import numpy as np
 
-        words = text.split()                                        # bytes: at ASCII white space
+        split = [t.split() for t in texts]                          # bytes: at ASCII white space
         if len(self.places) > KNOWN_WORDS:
             self.forget()
-        get = self.places.get
-        at = [get(w) for w in words]
+        words = [w for t in split for w in t]
+        at = list(map(self.places.get, words))
         if None in at:
             self._learn(list(dict.fromkeys(w for w, p in zip(words, at) if p is None)))
-            at = [self.places[w] for w in words]
-        at = np.array(at, np.int64)
-        lengths = self.lengths[at]
-        stops = np.cumsum(lengths)
-        total = int(stops[-1]) if len(at) else 0
-        take = np.arange(total) + np.repeat(self.starts[at] - (stops - lengths), lengths)
-        return np.append(self.ids[take], np.uint32(end))
+            at = list(map(self.places.get, words))
+        ids, lengths = self.words.take(np.array(at, np.int64))
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        stops = sums[np.cumsum([len(t) for t in split])].tolist()
+        return [np.append(ids[a:b], np.uint32(end)) for a, b in zip([0, *stops[:-1]], stops)]
 
 
 def cut_lengths(length: int, capacity: int, tolerance: float = TOLERANCE) -> list[int]:
@@ -164,11 +198,23 @@ def _packer(path: str, capacity: int, end: int, schema):
         def batch_of(rows: list[tuple]):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        rows, held = [], 0
-        for batch in batches:
+        def groups(batch):
+            """Documents of a batch, a bounded number of bytes at a time (a longer text alone)."""
+            held, size = [], 0
             for id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-                ids = words.encode(text.as_py() or b"", end)
-                start, id = 0, id.as_py()
+                text = text.as_py() or b""
+                if held and size + len(text) > LOOKUP_BYTES:
+                    yield held
+                    held, size = [], 0
+                held.append((id.as_py(), text))
+                size += len(text)
+            if held:
+                yield held
+
+        rows, held = [], 0
+        for group in (g for batch in batches for g in groups(batch)):
+            for (id, _), ids in zip(group, words.encode([t for _, t in group], end)):
+                start = 0
                 for length in cut_lengths(len(ids), capacity):
                     rows += bins.put((id, start, ids[start:start + length], len(ids)))
                     start += length
