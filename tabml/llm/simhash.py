@@ -80,16 +80,21 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def groups(df: DataFrame, id: str, text: str, shingle: int, radius: int) -> DataFrame:
-    """(id, mark, fingerprint, root, component) per row; root names the group by a fingerprint."""
-    prints = materialize(fingerprints(df, id, text, shingle), "simhash")
-    classes = materialize(prints.groupBy("fingerprint").agg(F.min("id").alias("least")), "simhash-classes")
-    edges = materialize(links(classes.select("fingerprint"), radius), "simhash-links")
-    linked = classes.join(components(edges).withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    linked = linked.withColumn("root", F.coalesce("root", "fingerprint"))
+def _grouped(rows: DataFrame, links_of) -> DataFrame:
+    """(id, mark, node, root, component) from materialized (id, mark, node): ``links_of`` gives links
+    between the classes (node, least: the smallest id of the class), root names the group by a node."""
+    classes = materialize(rows.groupBy("node").agg(F.min("id").alias("least")), "simhash-classes")
+    edges = materialize(links_of(classes), "simhash-links")
+    linked = classes.join(components(edges).withColumnRenamed("root", "found"), "node", "left")
+    linked = linked.withColumn("root", F.coalesce("found", "node"))
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    labels = materialize(spread_join(linked, least, ["root"]).select("fingerprint", "root", "component"), "simhash-labels")
-    return spread_join(prints, labels, ["fingerprint"])
+    labels = materialize(spread_join(linked, least, ["root"]).select("node", "root", "component"), "simhash-labels")
+    return spread_join(rows.select("id", "mark", "node"), labels, ["node"])
+
+
+def _by_fingerprint(df: DataFrame, id: str, text: str, shingle: int, radius: int) -> DataFrame:
+    rows = materialize(fingerprints(df, id, text, shingle).withColumnRenamed("fingerprint", "node"), "simhash")
+    return _grouped(rows, lambda classes: links(classes.select(F.col("node").alias("fingerprint")), radius))
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -103,16 +108,120 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     NULL id and is never the smallest; a group of only NULL ids has component NULL. Repeated
     rows: each is returned. No rows: no rows. Other columns are not looked at.
     """
-    return groups(df, id, text, shingle, radius).select("id", "fingerprint", "component")
+    return _by_fingerprint(df, id, text, shingle, radius).select("id", F.col("node").alias("fingerprint"), "component")
+
+
+#: fingerprints per text of the search for similar texts, and bits of each
+TABLES, BITS = 5, 40
+#: smallest shingle hashes kept of a text, and the share below the wanted similarity that their
+#: sampling error may cost
+SKETCH, ERROR = 128, 0.05
+MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+
+
+def _search_keys(raw: bytes | None, shingle: int) -> tuple:
+    """(hash of the words in order, fingerprints of the set of words, sketch of the shingles)."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (raw or b"").lower().split()
+    if not words:
+        return 0, [0] * TABLES, []
+    own = np.fromiter((xxh64_intdigest(w, SEED) for w in dict.fromkeys(words)), np.uint64)
+    ones = np.zeros((TABLES, BITS), np.int64)
+    turns = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(MIXERS[0])
+    for start in range(0, len(own), SLICE):
+        mixed = (own[start:start + SLICE, None] ^ turns[None, :]) * np.uint64(MIXERS[1])
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(MIXERS[0])
+        raw_bits = (mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, TABLES, 8)[:, :, :BITS // 8]
+        ones += np.unpackbits(raw_bits, axis=2, bitorder="little").sum(axis=0, dtype=np.int64)
+    prints = ((2 * ones > len(own)) @ (1 << np.arange(BITS, dtype=np.int64))).tolist()
+    size, sketch = min(shingle, len(words)), np.zeros(0, np.int64)
+    for start in range(0, len(words) - size + 1, SLICE):
+        part = words[start:start + SLICE + size - 1]
+        hashes = np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(part[i:] for i in range(size)))), np.uint64)
+        sketch = np.unique(np.concatenate([sketch, hashes.view(np.int64)]))[:SKETCH]
+    return int(np.uint64(xxh64_intdigest(b" ".join(words), SEED)).view(np.int64)), prints, sketch.tolist()
+
+
+def _keys(shingle: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [_search_keys(x.as_py(), shingle) for x in batch.column(2).cast(pa.binary())]
+            nodes, prints, sketches = zip(*found) if found else ((), (), ())
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, longs),
+                                              pa.array(sketches, longs)], ["id", "mark", "node", "prints", "sketch"])
+    return run
+
+
+def _similar_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a > b: links between nodes of ``texts`` (node, least, prints, sketch), whose shingles
+    overlap enough by their sketches.
+
+    In each table, texts of one fingerprint meet the one with the smallest id among them, and these
+    meet by balls of one bit as in ``links``, so pairs within two bits of any table are candidates,
+    each with the smallest id of its bucket. What their sketches do not confirm is dropped.
+    """
+    first = F.struct(F.col("least").isNull().alias("none"), "least", "node")
+    rows = texts.select("node", first.alias("first"), F.posexplode("prints").alias("table", "print"))
+    heads = materialize(rows.groupBy("table", "print").agg(F.min("first").alias("head"), F.count("*").alias("n")), "simhash-heads")
+    same = spread_join(rows, heads.where("n > 1"), ["table", "print"]).select("node", F.col("head.node").alias("other"))
+    masks = F.array(*[F.lit(m) for m in (0, *(1 << b for b in range(BITS)))])
+    variants = heads.select("table", "head", F.col("print"), F.explode(masks).alias("mask")).select(
+        "table", "head", F.col("print").bitwiseXOR(F.col("mask")).alias("variant"))
+    near = variants.withColumn("first", F.min("head").over(Window.partitionBy("table", "variant"))).where("head <> first").select(
+        F.col("head.node").alias("node"), F.col("first.node").alias("other"))
+    pairs = same.union(near).where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    pairs = materialize(pairs, "simhash-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = materialize(texts.select("node", "sketch").join(ends, "node", "left_semi"), "simhash-sketches")
+    a, b = sketches.toDF("a", "x"), sketches.toDF("b", "y")
+    both = pairs.join(a, "a").join(b, "b")
+    lowest = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect("x", "y"), lowest))
+    return both.where(shared >= (similarity - ERROR) * F.size(lowest)).select("a", "b")
+
+
+def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    rows = df.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()),
+                           T.StructField("prints", longs), T.StructField("sketch", longs)])
+    rows = materialize(rows.mapInArrow(_keys(shingle), schema), "simhash")
+
+    def links_of(classes: DataFrame) -> DataFrame:
+        # one row of each class: that with its smallest id; the few that share the id are equal in what follows
+        key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+        own = classes.select("node", "least", key("least").alias("key"))
+        texts = rows.withColumn("key", key("id")).join(own, ["node", "key"]).select("node", "least", "prints", "sketch")
+        return _similar_links(texts, similarity)
+    return _grouped(rows, links_of)
+
+
+def similar_texts(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) per row: groups of texts whose word shingles overlap by ``similarity`` or more.
+
+    A SimHash of shingles moves by many bits when a few words change, more than balls can reach. So
+    candidates come from balls around several short SimHashes of the set of words, which moves
+    little, and each candidate pair is held against sketches of the shingles: exact for texts of up
+    to SKETCH shingles, else with a sampling error, for which ERROR is allowed. Texts that differ
+    only in case (A-Z) and white space are one from the start.
+
+    Edge cases are those of ``near_duplicates``; wordless texts are equal to each other.
+    """
+    return _by_similarity(df, id, text, shingle, similarity).select("id", "component")
 
 
-def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``df`` with all their columns, of which exactly one per group stays: that with
-    the smallest id, NULL last; of texts that share this id the one with the smallest hash, and
-    one of fully repeated rows."""
+def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` with all their columns, of which exactly one per group of similar texts
+    stays: that with the smallest id, NULL last; of texts that share this id the one with the
+    smallest hash, and one of fully repeated rows."""
     order = F.struct(F.col("id").isNull().alias("none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "mark")
     ranked = F.struct(F.col("id").isNull().alias("none"), "id", "mark", order.alias("at"))
-    first = groups(df, id, text, shingle, radius).groupBy("root").agg(F.min(ranked).alias("first")).select("first.at.*")
+    first = _by_similarity(df, id, text, shingle, similarity).groupBy("root").agg(F.min(ranked).alias("first")).select("first.at.*")
     none, key, mark, turn = fresh(df.columns, "none", "key", "mark", "turn")
     rows = df.withColumns({none: F.col(id).isNull(), key: F.coalesce(F.col(id).cast("string"), F.lit("")), mark: F.xxhash64(F.col(text))})
     kept = rows.join(first.toDF(none, key, mark), [none, key, mark], "left_semi")

@@ -62,6 +62,23 @@ def near_duplicates(docs, size=3, radius=2):
     return [(doc, p, least.get(find(p))) for (doc, _), p in zip(docs, prints)]
 
 
+def similar_groups(docs, least, size=5):
+    """doc → smallest doc of its group, by comparing the shingle sets of all texts."""
+    sets, root = {}, {d: d for d, _ in docs}
+    for d, text in docs:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[d] = frozenset(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1)))
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) and find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in root}
+
+
 def base_rules(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = text or ""

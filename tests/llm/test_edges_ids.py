@@ -60,14 +60,18 @@ def test_components_of_a_long_path(spark):
 
 
 def test_one_row_of_each_group_stays(spark, docs):
-    kept = simhash.representatives(frame(spark, docs))
-    assert kept.columns == frame(spark, docs).columns
+    pick = random.Random(8)
+    base = [f"w{pick.randint(0, 400)}" for _ in range(120)]
+    near = [(500 + i, " ".join([*base[:i], f"new{i}", *base[i + 1:]]).title(), "s") for i in range(20, 60)]
+    every = docs + near + [(499, " ".join(base), "s"), (600, " ".join(reversed(base)), "s")]
+    kept = simhash.representatives(frame(spark, every))
+    assert kept.columns == frame(spark, every).columns
     rows = kept.collect()
-    groups = {}
-    for (doc, text), (_, p, c) in zip([d[:2] for d in docs], plain.near_duplicates([d[:2] for d in docs])):
-        groups.setdefault((c, p if c is None else 0), set()).add((doc, text))
-    assert len(rows) == len(groups)
-    assert {r.doc_id for r in rows if r.doc_id is not None} == {c for c, _ in groups if c is not None}
+    ids = [r.doc_id for r in rows if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and {499, 600} <= set(ids) and not set(range(520, 560)) & set(ids)
+    groups = plain.similar_groups([(d, t) for d, t, _ in every if d is not None], 0.8)
+    assert set(ids) == set(groups.values())
+    assert sorted(r.text for r in rows if r.doc_id is None) == ["lonely words of no id"]
 
 
 def test_nothing_in_nothing_out(spark):
@@ -93,7 +97,10 @@ def test_word_ids_equal_the_tokenizer_on_odd_texts():
            "<|endoftext|> a<|startoftext|>b", "!!! ... wow... (yes)", "日本語 한국어", "\U0001F600\U0001F3FD ok", "Ω Σίσυφος ΣΑΣ", "a" * 3000, "﻿bom", "x,y;z"]
     odd.append(" ".join(odd))
     for text in odd + invented(30, seed=9):
-        assert words.encode(text.encode(), 1).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1], text
+        assert words.plain and words.encode([text.encode()], 1)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1], text
+    words.forget()
+    words.plain = False
+    assert [x.tolist() for x in words.encode([t.encode() for t in odd], 1)] == [tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in odd]
 
 
 @pytest.mark.parametrize("capacity", [8, 100, 2048])
