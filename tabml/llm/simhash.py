@@ -112,7 +112,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 
 
 #: fingerprints per text of the search for similar texts, and bits of each
-TABLES, BITS = 5, 40
+TABLES, BITS = 7, 40
 #: smallest shingle hashes kept of a text, and the share below the wanted similarity that their
 #: sampling error may cost
 SKETCH, ERROR = 128, 0.05
