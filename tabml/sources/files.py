@@ -44,15 +44,20 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, sep: str = ",", multiline: bool | None = None) -> DataFrame:
     """Header row, quoted fields, NA words, inferred types.
 
-    Files stay splittable unless a line holds an odd number of quotes, which is how a line
-    break inside a field shows; that is looked up once unless ``multiline`` is given.
+    A file stays splittable unless one of its lines holds an odd number of quotes, which is how a
+    line break inside a field shows; that is looked up once per file unless ``multiline`` is given.
     """
-    if multiline is None:
-        lines = spark.read.text(path)
-        odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-        multiline = not lines.filter(odd).isEmpty()
-    strings = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=multiline, inferSchema=False)
-    return typed(strings)
+    def strings(paths, broken: bool) -> DataFrame:
+        return spark.read.csv(paths, sep=sep, header=True, quote='"', escape='"', multiLine=broken, inferSchema=False)
+
+    if multiline is not None:
+        return typed(strings(path, multiline))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_or(odd).alias("broken"))
+    kinds = {r["broken"]: r["files"] for r in files.groupBy("broken").agg(F.collect_list("file").alias("files")).collect()}
+    if len(kinds) < 2:
+        return typed(strings(path, True in kinds))
+    return typed(strings(kinds[False], False).unionByName(strings(kinds[True], True), allowMissingColumns=True))
 
 
 def read_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:

@@ -34,6 +34,13 @@ def test_json_lines_arrays_and_single_values(spark, tmp_path):
     assert both.count() == 32 and set(both.columns) == {"a", "b", "t"}
 
 
+def test_csv_files_with_and_without_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,t\n1,"x\ny"\n2,z\n')
+    (tmp_path / "b.csv").write_text('k,t\n3,plain\n4,"quo""ted"\n')
+    rows = sorted(tuple(r) for r in files.load(spark, str(tmp_path / "*.csv")).collect())
+    assert rows == [(1, "x\ny"), (2, "z"), (3, "plain"), (4, 'quo"ted')]
+
+
 def test_workbooks_with_other_columns_repeated_and_empty_names(spark, tmp_path):
     import pandas as pd
     a = pd.DataFrame([[1, "p", 2.5, 9]], columns=["k", "x", "x", ""])
