@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.evaluation import rounded
-from checks.modelling import DOC, NB_SQL, PART, gaussian_nb, line_orders, vector
+from checks.modelling import DOC, NB_SQL, PART, line_orders, settled, vector
 from checks.tables import DIRTY_SQL, dirty_lineitem, doc_quality, part_price, table
 from tabml.operators import attribution as A
 from tabml.operators import importance as I
@@ -31,12 +30,14 @@ SHORT = ("p_retailprice", ["key_mod", "p_size"], ["p_partkey"], "regression")
 
 
 def _importance_tree(spark, folder):
-    trained, _ = FOREST(spark, folder)
+    trained, ready = FOREST(spark, folder)
+    ready.release()
     return rounded(I.importance_tree(spark, trained.model, trained.prep.slots()))
 
 
 def _importance_source(spark, folder):
-    trained, _ = FOREST(spark, folder)
+    trained, ready = FOREST(spark, folder)
+    ready.release()
     return rounded(I.importance_tree(spark, trained.model, trained.prep.slots(), by_source=True))
 
 
@@ -51,7 +52,8 @@ def _importance_coef(spark, folder):
 
 
 def _importance(spark, folder):
-    trained, _ = LOGISTIC(spark, folder)
+    trained, ready = LOGISTIC(spark, folder)
+    ready.release()
     return rounded(I.importance(spark, trained.model, trained.prep.slots()))
 
 
@@ -99,12 +101,14 @@ def _shap_sampled_linear(spark, folder):
 
 def _shap_sampled(spark, folder):
     trained, ready = TREE(spark, folder)
+    ready.release()
     docs = doc_quality(spark, folder)
     return rounded(X.shap_local(trained, docs, ["doc_id"], docs, samples=20))
 
 
 def _lime(spark, folder):
-    trained, _ = TREE(spark, folder)
+    trained, ready = TREE(spark, folder)
+    ready.release()
     docs = doc_quality(spark, folder)
     return rounded(X.lime_local(trained, docs, ["doc_id"], docs, num_features=10, samples=100))
 
@@ -112,7 +116,7 @@ def _lime(spark, folder):
 def _report(spark, folder):
     docs = doc_quality(spark, folder)
     trained, ready = LOGISTIC(spark, folder)
-    return X.explain(docs, metadata(docs, "doc_id", target="quality"), trained, ready)
+    return settled(X.explain(docs, metadata(docs, "doc_id", target="quality"), trained, ready), ready)
 
 
 def _target_texts(spark, folder):
@@ -121,7 +125,7 @@ def _target_texts(spark, folder):
 
 def _evaluation_report(spark, folder):
     trained, ready = LOGISTIC(spark, folder)
-    return R.evaluation_report(trained, ready)
+    return settled(R.evaluation_report(trained, ready), ready)
 
 
 def _predict(spark, folder):
@@ -139,6 +143,7 @@ def _predict(spark, folder):
 def _predict_labels(spark, folder):
     ready = R.prepare(doc_quality(spark, folder), *DOC)
     trained = R.fit_model(ready, "RandomForestClassifier")
+    ready.release()
     scored = trained.predict(doc_quality(spark, folder))
     return scored.select("doc_id", "prediction", F.round(F.col("probabilities")["1"], 4).alias("p_good"))
 
@@ -154,7 +159,8 @@ def _probabilities(spark, folder):
 
 
 def _model_info(spark, folder):
-    trained, _ = LOGISTIC(spark, folder)
+    trained, ready = LOGISTIC(spark, folder)
+    ready.release()
     return trained.info(spark)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import classification as C
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.evaluation import rounded
@@ -22,13 +21,20 @@ DOC = ("quality", ["letter_share", "n_chars", "lang", "source"], ["doc_id"], "bi
 PART = ("p_retailprice", ["key_mod", "p_size", "p_type"], ["p_partkey"], "regression")
 
 
+def settled(df, ready):
+    """The few rows of a result, fetched so that the prepared rows can be released."""
+    rows = df.sparkSession.createDataFrame(df.collect(), df.schema)
+    ready.release()
+    return rows
+
+
 def classifier(name, params=None):
     """Test metrics of one classifier on the labelled documents."""
     def run(spark, folder):
         ready = R.prepare(doc_quality(spark, folder), *DOC)
         trained = R.fit_model(ready, name, params)
         out = rounded(E.as_long(E.evaluate(trained.model.transform(ready.test), ready.task)))
-        return out.select(F.lit(name).alias("model"), "metric", "value")
+        return settled(out.select(F.lit(name).alias("model"), "metric", "value"), ready)
     return run
 
 
@@ -38,7 +44,7 @@ def regressor(name, params=None):
         ready = R.prepare(part_price(spark, folder), *PART)
         trained = R.fit_model(ready, name, params)
         out = rounded(E.as_long(E.evaluate(trained.model.transform(ready.test), ready.task)))
-        return out.select(F.lit(name).alias("model"), "metric", "value")
+        return settled(out.select(F.lit(name).alias("model"), "metric", "value"), ready)
     return run
 
 
@@ -47,7 +53,7 @@ def clusterer(name):
     def run(spark, folder):
         ready = R.prepare(part_price(spark, folder), "p_retailprice", ["key_mod", "p_size"], ["p_partkey"], "regression")
         model = build(name, Facts(0)).fit(ready.rows)
-        return model.transform(ready.rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+        return settled(model.transform(ready.rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n")), ready)
     return run
 
 
@@ -119,7 +125,8 @@ def _auto_trained_line(spark, folder):
 
 
 def _line_board(spark, folder):
-    board = L.benchmark(R.prepare(line_orders(spark, folder), *LINE), ["LinearRegression", "NoSuchModel"])[0]
+    ready = R.prepare(line_orders(spark, folder), *LINE)
+    board = settled(L.benchmark(ready, ["LinearRegression", "NoSuchModel"])[0], ready)
     return board.filter("metric <> 'training_time' OR metric IS NULL").select(
         "position", "model", "metric", "value", F.col("error").isNotNull().alias("failed"))
 
@@ -143,11 +150,12 @@ def _tuned(name, search, data, spec, **more):
 def _board(data, spec, names=None, task=None):
     def run(spark, folder):
         target, features, key, known = spec
-        if names is None and task is None:
-            return L.run_benchmark(data(spark, folder), target, features, key)[1]
-        if task:
-            return L.run_benchmark(data(spark, folder), target, features, key, task)[1]
-        return L.benchmark(R.prepare(data(spark, folder), target, features, key, known), names)[0]
+        if names is None:
+            _, board, _, ready = L.run_benchmark(data(spark, folder), target, features, key, task)
+        else:
+            ready = R.prepare(data(spark, folder), target, features, key, known)
+            board = L.benchmark(ready, names)[0]
+        return settled(board, ready)
     return run
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabml.functions.columns import col
+from tabml.session import materialize
 
 BLOCK_ROWS = 2_000          # points per block of the exact silhouette
 CHUNK_CELLS = 4_000_000     # doubles held at once while comparing two blocks
@@ -92,7 +93,7 @@ def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluste
     Equal points of a cluster are counted once with a weight, so copies cost nothing.
     """
     points = df.groupBy(as_array(df, features).alias("x"), col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("w"))
-    points = points.withColumn("id", F.xxhash64(F.to_json("x"), "cluster"))
+    points = materialize(points.withColumn("id", F.xxhash64(F.to_json("x"), "cluster")), "silhouette")
     blocks = max(1, -(-points.count() // block_rows))
     points = points.withColumn("block", F.pmod("id", F.lit(blocks)))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("other")

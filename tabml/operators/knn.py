@@ -11,6 +11,8 @@ settled by the smaller label, so the answer does not depend on the partitioning.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +22,7 @@ from tabml.functions.columns import col
 from tabml.operators.cluster_metrics import as_array
 from tabml.session import materialize
 
-MAX_PIVOTS = 1_024
+FEW_PIVOTS = 1_024          # beyond this many, pivots grow with the square root of the points
 CELL_ROWS = 500             # aimed-at training points per cell while there are few
 BLOCK_ROWS = 4_000          # training points or queries per searched block
 CHUNK_CELLS = 4_000_000     # doubles held at once while comparing
@@ -94,7 +96,7 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, features: str =
     n = points.count()
     if n == 0:
         raise ValueError("No training rows with a label")
-    n_pivots = int(min(MAX_PIVOTS, n // CELL_ROWS + 1))
+    n_pivots = int(max(min(FEW_PIVOTS, n // CELL_ROWS + 1), math.isqrt(n) if n > FEW_PIVOTS ** 2 else 1))
     rows = points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(n_pivots).collect()
     pivots = np.array([r["x"] for r in rows])
 
@@ -126,7 +128,7 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, features: str =
     loads = {r["cell"]: r["n"] for r in searched.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.createDataFrame(
         [(int(c), max(1, -(-stats[c]["n"] // block_rows)), max(1, -(-loads.get(c, 0) // block_rows))) for c in cells],
-        "cell int, t_blocks long, q_blocks long")        # at most MAX_PIVOTS rows
+        "cell int, t_blocks long, q_blocks long")        # a row per pivot
 
     def numbers(count):
         return F.sequence(F.lit(0), F.col(count) - 1).cast("array<bigint>")

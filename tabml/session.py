@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local session that names none gets a folder of its own,
     which goes when Python ends."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
