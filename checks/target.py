@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.tables import table
 from tabml.operators import target as T
+from tabml.plans.train import run_parallel
 
 # columns and kinds of the tables the rules are run on, with the key that orders their rows
 SCHEMAS = {
@@ -25,7 +26,9 @@ SCHEMAS = {
     "documents": ("doc_id", {"doc_id": "n", "text": "s", "lang": "s", "source": "s", "n_chars": "n"}),
     "embeddings": ("vec_id", {"vec_id": "n", "embedding": "o", "label": "n"}),
     "pages": ("page_id", {"page_id": "n", "url": "s", "html": "s"}),
+    "benchmark": ("item_id", {"item_id": "n", "text": "s"}),
     "labels": ("doc_id", {"doc_id": "n", "quality": "n", "toxic": "n"}),
+    "conversations": ("conv_id", {"conv_id": "n", "turn": "n", "role": "s", "text": "s"}),
 }
 WORDS = "|".join(T.FEATURE_KEYWORDS)
 
@@ -69,7 +72,8 @@ SELECT "table", CASE WHEN names IS NOT NULL THEN 'nlp' WHEN kind <> 's' AND ndv
 
 
 def _each(spark, folder, run):
-    parts = [run(table(spark, folder, t), key).select(F.lit(t).alias("table"), "*") for t, (key, _) in SCHEMAS.items()]
+    parts = run_parallel(spark, list(SCHEMAS.items()), lambda item: run(table(spark, folder, item[0]), item[1][0]).select(
+        F.lit(item[0]).alias("table"), "*"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

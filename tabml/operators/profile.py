@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabml.functions.columns import (
     categorical_columns, col, kind_of, numeric_columns, one_row_per_column, present,
@@ -69,7 +70,11 @@ def few_distinct(df: DataFrame, columns: list[str] | None = None) -> dict[str, i
     small = [c for i, c in enumerate(columns) if rough[f"d{i}"] <= FEW_VALUES]
     exact = dict.fromkeys(columns)
     if small:
-        row = df.agg(*[F.count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(small)]).first()
+        def plain(c):       # -0.0 and 0.0 are one value
+            x = present(df, c)
+            return x + 0.0 if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else x
+        # few values fit a set, so one pass without a row per column counts them all
+        row = df.agg(*[F.size(F.collect_set(plain(c))).cast("bigint").alias(f"d{i}") for i, c in enumerate(small)]).first()
         exact.update({c: row[f"d{i}"] for i, c in enumerate(small)})
     return exact
 
