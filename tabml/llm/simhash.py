@@ -112,7 +112,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 
 
 #: fingerprints per text of the search for similar texts, and bits of each
-TABLES, BITS = 7, 40
+TABLES, BITS = 8, 36
 #: smallest shingle hashes kept of a text, and the share below the wanted similarity that their
 #: sampling error may cost
 SKETCH, ERROR = 128, 0.05
@@ -120,21 +120,21 @@ MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
 
 def _search_keys(raw: bytes | None, shingle: int) -> tuple:
-    """(hash of the words in order, fingerprints of the set of words, sketch of the shingles)."""
+    """(hash of the words in order, fingerprints of the set of word pairs, sketch of the shingles)."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = (raw or b"").lower().split()
     if not words:
         return 0, [0] * TABLES, []
-    own = np.fromiter((xxh64_intdigest(w, SEED) for w in dict.fromkeys(words)), np.uint64)
+    own = np.unique(np.fromiter((xxh64_intdigest(a + b" " + b, SEED) for a, b in zip(words, words[1:] or words)), np.uint64))
     ones = np.zeros((TABLES, BITS), np.int64)
     turns = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(MIXERS[0])
     for start in range(0, len(own), SLICE):
         mixed = (own[start:start + SLICE, None] ^ turns[None, :]) * np.uint64(MIXERS[1])
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(MIXERS[0])
-        raw_bits = (mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, TABLES, 8)[:, :, :BITS // 8]
-        ones += np.unpackbits(raw_bits, axis=2, bitorder="little").sum(axis=0, dtype=np.int64)
+        raw_bits = (mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, TABLES, 8)[:, :, :-(-BITS // 8)]
+        ones += np.unpackbits(raw_bits, axis=2, count=BITS, bitorder="little").sum(axis=0, dtype=np.int64)
     prints = ((2 * ones > len(own)) @ (1 << np.arange(BITS, dtype=np.int64))).tolist()
     size, sketch = min(shingle, len(words)), np.zeros(0, np.int64)
     for start in range(0, len(words) - size + 1, SLICE):
@@ -157,32 +157,32 @@ def _keys(shingle: int):
     return run
 
 
-def _similar_links(texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a > b: links between nodes of ``texts`` (node, least, prints, sketch), whose shingles
-    overlap enough by their sketches.
+def _candidates(texts: DataFrame) -> DataFrame:
+    """(a, b), a > b: pairs of (serial, prints) to compare; serial numbers follow the order of ids.
 
-    In each table, texts of one fingerprint meet the one with the smallest id among them, and these
-    meet by balls of one bit as in ``links``, so pairs within two bits of any table are candidates,
-    each with the smallest id of its bucket. What their sketches do not confirm is dropped.
+    In each table, texts of one fingerprint meet the first among them, and these meet by balls of
+    one bit as in ``links``, so pairs within two bits of any table are candidates, each with the
+    first of its bucket.
     """
-    first = F.struct(F.col("least").isNull().alias("none"), "least", "node")
-    rows = texts.select("node", first.alias("first"), F.posexplode("prints").alias("table", "print"))
-    heads = materialize(rows.groupBy("table", "print").agg(F.min("first").alias("head"), F.count("*").alias("n")), "simhash-heads")
-    same = spread_join(rows, heads.where("n > 1"), ["table", "print"]).select("node", F.col("head.node").alias("other"))
+    # the table's number goes above the bits of the fingerprint
+    rows = texts.select("serial", F.posexplode("prints").alias("table", "print")).select(
+        "serial", F.call_function("shiftleft", F.col("table").cast("long"), F.lit(BITS)).bitwiseOR(F.col("print")).alias("print"))
+    heads = materialize(rows.groupBy("print").agg(F.min("serial").alias("head"), F.count("*").alias("n")), "simhash-heads")
+    same = spread_join(rows, heads.where("n > 1"), ["print"]).select("serial", F.col("head").alias("other"))
     masks = F.array(*[F.lit(m) for m in (0, *(1 << b for b in range(BITS)))])
-    variants = heads.select("table", "head", F.col("print"), F.explode(masks).alias("mask")).select(
-        "table", "head", F.col("print").bitwiseXOR(F.col("mask")).alias("variant"))
-    near = variants.withColumn("first", F.min("head").over(Window.partitionBy("table", "variant"))).where("head <> first").select(
-        F.col("head.node").alias("node"), F.col("first.node").alias("other"))
-    pairs = same.union(near).where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    pairs = materialize(pairs, "simhash-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = materialize(texts.select("node", "sketch").join(ends, "node", "left_semi"), "simhash-sketches")
-    a, b = sketches.toDF("a", "x"), sketches.toDF("b", "y")
-    both = pairs.join(a, "a").join(b, "b")
+    variants = heads.select("head", "print", F.explode(masks).alias("mask")).select("head", F.col("print").bitwiseXOR(F.col("mask")).alias("variant"))
+    near = variants.withColumn("first", F.min("head").over(Window.partitionBy("variant"))).where("head <> first").select(
+        F.col("head").alias("serial"), F.col("first").alias("other"))
+    pairs = same.union(near).where("serial > other").select(F.col("serial").alias("a"), F.col("other").alias("b")).distinct()
+    return pairs
+
+
+def _overlapping(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a > b: nodes of the pairs whose sketches (serial, node, sketch) overlap enough."""
+    both = pairs.join(sketches.toDF("a", "p", "x"), "a").join(sketches.toDF("b", "q", "y"), "b")
     lowest = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("x", "y"), lowest))
-    return both.where(shared >= (similarity - ERROR) * F.size(lowest)).select("a", "b")
+    return both.where(shared >= (similarity - ERROR) * F.size(lowest)).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"))
 
 
 def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:
@@ -195,9 +195,13 @@ def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity:
     def links_of(classes: DataFrame) -> DataFrame:
         # one row of each class: that with its smallest id; the few that share the id are equal in what follows
         key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-        own = classes.select("node", "least", key("least").alias("key"))
-        texts = rows.withColumn("key", key("id")).join(own, ["node", "key"]).select("node", "least", "prints", "sketch")
-        return _similar_links(texts, similarity)
+        order = classes.orderBy(F.col("least").isNull(), "least", "node").withColumn("serial", F.monotonically_increasing_id())
+        own = materialize(order.select("node", key("least").alias("key"), "serial"), "simhash-order")
+        keyed = rows.withColumn("key", key("id"))
+        pairs = materialize(_candidates(keyed.join(own, ["node", "key"]).select("serial", "prints")), "simhash-pairs")
+        met = pairs.select(F.explode(F.array("a", "b")).alias("serial")).distinct().join(own, "serial")
+        sketches = materialize(keyed.join(met, ["node", "key"]).select("serial", "node", "sketch"), "simhash-sketches")
+        return _overlapping(pairs, sketches, similarity)
     return _grouped(rows, links_of)
 
 
@@ -205,8 +209,8 @@ def similar_texts(df: DataFrame, id: str = "doc_id", text: str = "text", shingle
     """(id, component) per row: groups of texts whose word shingles overlap by ``similarity`` or more.
 
     A SimHash of shingles moves by many bits when a few words change, more than balls can reach. So
-    candidates come from balls around several short SimHashes of the set of words, which moves
-    little, and each candidate pair is held against sketches of the shingles: exact for texts of up
+    candidates come from balls around several short SimHashes of the set of word pairs, which moves
+    less, and each candidate pair is held against sketches of the shingles: exact for texts of up
     to SKETCH shingles, else with a sampling error, for which ERROR is allowed. Texts that differ
     only in case (A-Z) and white space are one from the start.
 
