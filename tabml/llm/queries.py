@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabml.llm import chat, licenses, mixing, packing, quality_rules, rule_ensemble, simhash, topk, url_filter, warc
 from tabml.llm.common import table
+from tabml.llm.text_stats import stop_words
 
 
 def tokenizer_path() -> str:
@@ -16,7 +17,7 @@ def tokenizer_path() -> str:
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     manifest, place = warc.archive(table(spark, folder, "pages"))
-    return warc.read(manifest, place, payloads=False).drop("payload")
+    return warc.read(manifest, place, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +98,44 @@ SIZES = r"""
            ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS key
     FROM documents"""
 
+#: a word's place counts once however many repeated windows hold it
+STATS = rf"""
+docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT n, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+          [l for l in string_split(text, chr(10)) if regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines FROM docs),
+windows AS (SELECT n, i, list_aggregate(w[i:i + 4], 'string_agg', chr(0)) AS g FROM (SELECT n, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+repeated AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT n, count(DISTINCT i + k) AS n_repeat_words FROM repeated, range(0, 5) AS t(k) GROUP BY n),
+stats AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+           (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+           len([x for x in w if list_contains([{', '.join(f"'{x}'" for x in stop_words())}], lower(x))]) AS n_stop_words
+    FROM words LEFT JOIN covered USING (n))"""
+
+
+def _passes(rule: quality_rules.Rule) -> str:
+    value = f"CASE WHEN {rule.denominator} > 0 THEN {rule.numerator}::DOUBLE / {rule.denominator} ELSE 0 END"
+    tests = [f"{value} >= {rule.least}"] * (rule.least > float("-inf")) + [f"{value} <= {rule.most}"] * (rule.most < float("inf"))
+    return f"(n_words < {rule.from_words} OR ({' AND '.join(tests)}))"
+
+
 SQL = {
+    "op1_warc": """
+WITH own AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM own),
+told AS (SELECT page_id, payload_bytes, hex, min(page_id) OVER (PARTITION BY hex) AS origin FROM hashed)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)
+                        for i in range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> origin THEN origin END AS refers_to
+FROM told""",
+    "op7_quality_rules": f"""
+WITH {STATS},
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {' AND '.join(_passes(r) for r in quality_rules.RULES)} AS kept
+FROM based""",
     "op2_mixing": rf"""
 WITH rows AS ({SIZES}),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM rows GROUP BY source),
