@@ -56,6 +56,7 @@ def test_licenses_find_every_notice(spark, folder):
 
 
 def test_classifier_on_the_held_out_fold(spark, folder):
+    folder = folder.replace("sf0.001", "sf0.01")        # the smallest table has too few labels to learn from and to measure on
     quality = dict(rows_of(folder, "labels", "doc_id, quality"))
     got = [r for r in queries.op10_quality_classifier(spark, folder).collect() if r.doc_id in quality]
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
