@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,108 +112,152 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     return _by_fingerprint(df, id, text, shingle, radius).select("id", F.col("node").alias("fingerprint"), "component")
 
 
-#: fingerprints per text of the search for similar texts, and bits of each
-TABLES, BITS = 8, 36
-#: smallest shingle hashes kept of a text, and the share below the wanted similarity that their
+#: a shingle is frequent from OFTEN texts of a sample of one in SAMPLE on; tasks hold at most FREQUENT of them
+SAMPLE, OFTEN, FREQUENT = 16, 4, 1 << 17
+#: smallest shingle hashes that confirm a pair, and the share below the wanted similarity that their
 #: sampling error may cost
 SKETCH, ERROR = 128, 0.05
-MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
 
-def _search_keys(raw: bytes | None, shingle: int) -> tuple:
-    """(hash of the words in order, fingerprints of the set of word pairs, sketch of the shingles)."""
+def _shingles(raw: bytes | None, shingle: int) -> tuple:
+    """(hash of the words in order, sorted distinct hashes of the shingles); wordless texts have none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = (raw or b"").lower().split()
     if not words:
-        return 0, [0] * TABLES, []
-    own = np.unique(np.fromiter((xxh64_intdigest(a + b" " + b, SEED) for a, b in zip(words, words[1:] or words)), np.uint64))
-    ones = np.zeros((TABLES, BITS), np.int64)
-    turns = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(MIXERS[0])
-    for start in range(0, len(own), SLICE):
-        mixed = (own[start:start + SLICE, None] ^ turns[None, :]) * np.uint64(MIXERS[1])
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(MIXERS[0])
-        raw_bits = (mixed ^ (mixed >> np.uint64(29))).view(np.uint8).reshape(-1, TABLES, 8)[:, :, :-(-BITS // 8)]
-        ones += np.unpackbits(raw_bits, axis=2, count=BITS, bitorder="little").sum(axis=0, dtype=np.int64)
-    prints = ((2 * ones > len(own)) @ (1 << np.arange(BITS, dtype=np.int64))).tolist()
-    size, sketch = min(shingle, len(words)), np.zeros(0, np.int64)
+        return 0, np.zeros(0, np.int64)
+    size, parts = min(shingle, len(words)), []
     for start in range(0, len(words) - size + 1, SLICE):
         part = words[start:start + SLICE + size - 1]
-        hashes = np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(part[i:] for i in range(size)))), np.uint64)
-        sketch = np.unique(np.concatenate([sketch, hashes.view(np.int64)]))[:SKETCH]
-    return int(np.uint64(xxh64_intdigest(b" ".join(words), SEED)).view(np.int64)), prints, sketch.tolist()
+        parts.append(np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(part[i:] for i in range(size)))), np.uint64)))
+    return int(np.uint64(xxh64_intdigest(b" ".join(words), SEED)).view(np.int64)), np.unique(np.concatenate(parts)).view(np.int64)
 
 
-def _keys(shingle: int):
+def _sets(shingle: int):
+    """(node, shingles) from (node, text)."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [_search_keys(x.as_py(), shingle) for x in batch.column(2).cast(pa.binary())]
-            nodes, prints, sketches = zip(*found) if found else ((), (), ())
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, longs),
-                                              pa.array(sketches, longs)], ["id", "mark", "node", "prints", "sketch"])
+            found = [_shingles(x.as_py(), shingle)[1] for x in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
     return run
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """(a, b), a > b: pairs of (serial, prints) to compare; serial numbers follow the order of ids.
+def _prefix(hashes, known, counts, similarity: float):
+    """The rarest shingles of a text, so many that each text with the wanted overlap has one of its own
+    rarest among them: all texts order by (count in the sample, hash)."""
+    import numpy as np
 
-    In each table, texts of one fingerprint meet the first among them, and these meet by balls of
-    one bit as in ``links``, so pairs within two bits of any table are candidates, each with the
-    first of its bucket.
-    """
-    # the table's number goes above the bits of the fingerprint
-    rows = texts.select("serial", F.posexplode("prints").alias("table", "print")).select(
-        "serial", F.call_function("shiftleft", F.col("table").cast("long"), F.lit(BITS)).bitwiseOR(F.col("print")).alias("print"))
-    heads = materialize(rows.groupBy("print").agg(F.min("serial").alias("head"), F.count("*").alias("n")), "simhash-heads")
-    same = spread_join(rows, heads.where("n > 1"), ["print"]).select("serial", F.col("head").alias("other"))
-    masks = F.array(*[F.lit(m) for m in (0, *(1 << b for b in range(BITS)))])
-    variants = heads.select("head", "print", F.explode(masks).alias("mask")).select("head", F.col("print").bitwiseXOR(F.col("mask")).alias("variant"))
-    near = variants.withColumn("first", F.min("head").over(Window.partitionBy("variant"))).where("head <> first").select(
-        F.col("head").alias("serial"), F.col("first").alias("other"))
-    pairs = same.union(near).where("serial > other").select(F.col("serial").alias("a"), F.col("other").alias("b")).distinct()
-    return pairs
-
-
-def _overlapping(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a > b: nodes of the pairs whose sketches (serial, node, sketch) overlap enough."""
-    both = pairs.join(sketches.toDF("a", "p", "x"), "a").join(sketches.toDF("b", "q", "y"), "b")
+    if not len(hashes):
+        return hashes
+    count = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        count = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, count))[:len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1]]
+
+
+def _prefixes(shingle: int, similarity: float, frequent):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known, counts = frequent.value
+        for batch in batches:
+            found = [_shingles(x.as_py(), shingle) for x in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([len(h) for _, h in found], pa.int64()),
+                 pa.array([_prefix(h, known, counts, similarity) for _, h in found], pa.list_(pa.int64()))],
+                ["id", "mark", "node", "size", "prefix"])
+    return run
+
+
+def _frequent(rows: DataFrame, shingle: int) -> tuple:
+    """(shingles, counts), sorted: the most frequent shingles of a sample of the distinct texts. They only
+    say in which order shingles are tried, so the result does not depend on them."""
+    sample = rows.where(F.pmod("mark", F.lit(SAMPLE)) == 0).groupBy("mark").agg(F.min("text").alias("text"))
+    found = sample.select("mark", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>")
+    counts = found.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = materialize(counts.where(F.col("n") >= OFTEN), "simhash-frequent")
+    least, total = 0, 0
+    for n, texts in sorted(((r.n, r.texts) for r in counts.groupBy("n").agg(F.count("*").alias("texts")).collect()), reverse=True):
+        total += texts
+        if total > FREQUENT:
+            least = n + 1
+            break
+    table = counts.where(F.col("n") >= least).toArrow().sort_by("shingle")
+    return table["shingle"].to_numpy(), table["n"].to_numpy()
+
+
+def _enough(shared: Column, sizes: Column, similarity: float) -> Column:
+    """May ``shared`` shingles of ``sizes`` in both texts reach the similarity?"""
+    return shared * (1 + similarity) + 1e-6 >= similarity * sizes
+
+
+def _met(texts: DataFrame) -> DataFrame:
+    """(print, node, place, size, root) of (node, size, prefix): the buckets of two texts and more. Two
+    texts with the wanted overlap meet in at least one, that of the rarest shingle they share."""
+    rows = texts.select("node", "size", F.posexplode("prefix").alias("place", "print"))
+    shared = rows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    return spread_join(rows, shared, ["print"]).select("print", "node", "place", "size", F.col("node").alias("root"))
+
+
+def _with_heads(members: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a > b: members of a bucket with its heads, unless they are joined already or cannot overlap enough."""
+    both = spread_join(members, heads.toDF("print", "other", "at", "length", "joined"), ["print"])
+    left = F.least(F.col("size") - F.col("place"), F.col("length") - F.col("at"))
+    both = both.where((F.col("root") != F.col("joined")) & _enough(left, F.col("size") + F.col("length"), similarity))
+    return both.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def _overlapping(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches overlap enough."""
+    sketches = sets.select("node", F.slice(F.array_sort("shingles"), 1, SKETCH))
+    both = spread_join(spread_join(pairs, sketches.toDF("a", "x"), ["a"]), sketches.toDF("b", "y"), ["b"])
     lowest = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("x", "y"), lowest))
-    return both.where(shared >= (similarity - ERROR) * F.size(lowest)).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"))
+    return both.where(shared >= (similarity - ERROR) * F.size(lowest)).select("a", "b")
+
+
+def _similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a > b: links of the texts of a bucket to its first one, where they overlap enough."""
+    heads = members.groupBy("print").agg(F.min(F.struct("node", "place", "size", "root")).alias("head"))
+    heads = materialize(heads.select("print", "head.*"), "simhash-heads")
+    pairs = materialize(_with_heads(members, heads, similarity), "simhash-pairs")
+    return materialize(_overlapping(pairs, sets, similarity), "simhash-links")
 
 
 def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    rows = df.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    docs = df.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()),
-                           T.StructField("prints", longs), T.StructField("sketch", longs)])
-    rows = materialize(rows.mapInArrow(_keys(shingle), schema), "simhash")
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()),
+                           T.StructField("size", T.LongType()), T.StructField("prefix", longs)])
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
+    rows = materialize(docs.mapInArrow(_prefixes(shingle, similarity, frequent), schema), "simhash")
+    key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key")
 
     def links_of(classes: DataFrame) -> DataFrame:
-        # one row of each class: that with its smallest id; the few that share the id are equal in what follows
-        key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-        order = classes.orderBy(F.col("least").isNull(), "least", "node").withColumn("serial", F.monotonically_increasing_id())
-        own = materialize(order.select("node", key("least").alias("key"), "serial"), "simhash-order")
-        keyed = rows.withColumn("key", key("id"))
-        pairs = materialize(_candidates(keyed.join(own, ["node", "key"]).select("serial", "prints")), "simhash-pairs")
-        met = pairs.select(F.explode(F.array("a", "b")).alias("serial")).distinct().join(own, "serial")
-        sketches = materialize(keyed.join(met, ["node", "key"]).select("serial", "node", "sketch"), "simhash-sketches")
-        return _overlapping(pairs, sketches, similarity)
+        # one row stands for each class; texts that repeat with their id are one again at the end
+        one = rows.groupBy("node").agg(F.min(F.struct(key, "mark", "size", "prefix")).alias("one")).select("node", "one.*")
+        one = materialize(one, "simhash-texts")
+        members = materialize(_met(one), "simhash-members")
+        met = one.select("node", "key", "mark").join(members.select("node").distinct(), "node")
+        texts = spread_join(docs.select(key, "mark", "text"), met, ["key", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
+        sets = materialize(texts.mapInArrow(_sets(shingle), "node long, shingles array<long>"), "simhash-sets")
+        return _similar_links(members, sets, similarity)
     return _grouped(rows, links_of)
 
 
 def similar_texts(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) per row: groups of texts whose word shingles overlap by ``similarity`` or more.
 
-    A SimHash of shingles moves by many bits when a few words change, more than balls can reach. So
-    candidates come from balls around several short SimHashes of the set of word pairs, which moves
-    less, and each candidate pair is held against sketches of the shingles: exact for texts of up
-    to SKETCH shingles, else with a sampling error, for which ERROR is allowed. Texts that differ
-    only in case (A-Z) and white space are one from the start.
+    Prefix filtering finds every pair: shingles have one order, rare ones first, and of two texts that
+    overlap enough the rarest shingle they share lies among the first of both. Pairs that meet are
+    confirmed by sketches of their shingle hashes. Texts that differ only in case (A-Z)
+    and white space are one from the start.
 
     Edge cases are those of ``near_duplicates``; wordless texts are equal to each other.
     """
