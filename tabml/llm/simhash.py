@@ -114,6 +114,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 
 #: a shingle is frequent from OFTEN texts of a sample of one in SAMPLE on; tasks hold at most FREQUENT of them
 SAMPLE, OFTEN, FREQUENT = 16, 4, 1 << 17
+#: heads that a bucket may have in one round
+HEADS = 64
 #: smallest shingle hashes that confirm a pair, and the share below the wanted similarity that their
 #: sampling error may cost
 SKETCH, ERROR = 128, 0.05
@@ -221,11 +223,32 @@ def _overlapping(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
 
 def _similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a > b: links of the texts of a bucket to its first one, where they overlap enough."""
-    heads = members.groupBy("print").agg(F.min(F.struct("node", "place", "size", "root")).alias("head"))
-    heads = materialize(heads.select("print", "head.*"), "simhash-heads")
-    pairs = materialize(_with_heads(members, heads, similarity), "simhash-pairs")
-    return materialize(_overlapping(pairs, sets, similarity), "simhash-links")
+    """(a, b), a > b: links that connect all texts of a bucket that overlap enough.
+
+    Each round compares all members of a bucket with some heads, drops the heads, and then the
+    buckets whose members are all joined by now: a group of near copies is done after one round,
+    a bucket of unlike texts when each was a head. The first round has one head, later ones up to HEADS.
+    """
+    links, seen, turn = None, None, 0
+    while True:
+        salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HEADS if turn else 1))
+        heads = members.groupBy("print", salt.alias("salt")).agg(F.min(F.struct("node", "place", "size", "root")).alias("head"))
+        heads = materialize(heads.select("print", "head.*"), "simhash-heads")
+        pairs = _with_heads(members, heads, similarity)
+        pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
+        seen = pairs if seen is None else seen.union(pairs)
+        found = materialize(_overlapping(pairs, sets, similarity), "simhash-links")
+        links = found if links is None else links.union(found)
+        rest = members.join(heads.select("print", "node"), ["print", "node"], "left_anti")
+        if not found.isEmpty():
+            roots = components(links).withColumnRenamed("root", "found")
+            rest = spread_join(rest.drop("root"), roots, ["node"], "left").withColumn("root", F.coalesce("found", "node")).drop("found")
+        rest = materialize(rest.select("print", "node", "place", "size", "root"), "simhash-rest")
+        mixed = rest.groupBy("print").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("print")
+        members = materialize(spread_join(rest, mixed, ["print"]).select(*rest.columns), "simhash-members")
+        if members.isEmpty():
+            return links
+        turn += 1
 
 
 def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:

@@ -32,3 +32,24 @@ def test_clear_block_edits_join(spark):
     long = {i // 10 for i, t in rows if i % 10 == 0 and len(t.split()) > 100}
     rows = [(i, t) for i, t in rows if i // 10 in long]
     assert set(star(spark, rows).values()) == {10 * base for base in long}
+
+
+def test_members_of_a_bucket_with_an_unlike_head(spark):
+    """All texts share a passage, few overlap enough, and the first is like none of them."""
+    dice = random.Random(9)
+    word = lambda: f"w{dice.randrange(10 ** 6)}"
+    passage = [word() for _ in range(120)]
+    rows = [(0, " ".join(passage))]
+    for family in range(12):
+        own = [word() for _ in range(100)]
+        for copy in range(3):
+            rows.append((1 + family * 3 + copy, " ".join(passage + own + [word() for _ in range(4 * copy)])))
+    wanted = plain.similar_groups(rows, 0.8)
+    assert len(set(wanted.values())) == 13 and star(spark, rows) == wanted
+
+
+def test_a_chain_is_followed_inside_a_bucket(spark):
+    """t is like the head and like u, u is not like the head: all three are one group."""
+    words = [f"w{i}" for i in range(240)]
+    rows = [(k, " ".join(words[12 * k:12 * k + 150])) for k in range(8)]
+    assert star(spark, rows) == plain.similar_groups(rows, 0.8)
