@@ -116,9 +116,6 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 SAMPLE, OFTEN, FREQUENT = 16, 4, 1 << 17
 #: heads that a bucket may have in one round
 HEADS = 64
-#: smallest shingle hashes that confirm a pair, and the share below the wanted similarity that their
-#: sampling error may cost
-SKETCH, ERROR = 128, 0.05
 
 
 def _shingles(raw: bytes | None, shingle: int) -> tuple:
@@ -214,12 +211,10 @@ def _with_heads(members: DataFrame, heads: DataFrame, similarity: float) -> Data
 
 
 def _overlapping(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches overlap enough."""
-    sketches = sets.select("node", F.slice(F.array_sort("shingles"), 1, SKETCH))
-    both = spread_join(spread_join(pairs, sketches.toDF("a", "x"), ["a"]), sketches.toDF("b", "y"), ["b"])
-    lowest = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect("x", "y"), lowest))
-    return both.where(shared >= (similarity - ERROR) * F.size(lowest)).select("a", "b")
+    """The pairs whose whole sets (node, shingles) overlap enough."""
+    both = spread_join(spread_join(pairs, sets.toDF("a", "x"), ["a"]), sets.toDF("b", "y"), ["b"])
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
 
 
 def _similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -279,7 +274,7 @@ def similar_texts(df: DataFrame, id: str = "doc_id", text: str = "text", shingle
 
     Prefix filtering finds every pair: shingles have one order, rare ones first, and of two texts that
     overlap enough the rarest shingle they share lies among the first of both. Pairs that meet are
-    confirmed by sketches of their shingle hashes. Texts that differ only in case (A-Z)
+    confirmed by the whole sets of shingle hashes (64 bits). Texts that differ only in case (A-Z)
     and white space are one from the start.
 
     Edge cases are those of ``near_duplicates``; wordless texts are equal to each other.

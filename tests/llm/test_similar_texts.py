@@ -34,6 +34,14 @@ def test_clear_block_edits_join(spark):
     assert set(star(spark, rows).values()) == {10 * base for base in long}
 
 
+def test_block_edits_are_all_found(spark):
+    rows = block_edits()
+    # one base with one edit each: the edits are not joined through other copies of the base
+    alone = [(i, t) for i, t in rows if i % 10 == 0 or i % 10 == 1 + (i // 10) % 8]
+    for some in (rows, alone):
+        assert star(spark, some) == plain.similar_groups(some, 0.8)
+
+
 def test_members_of_a_bucket_with_an_unlike_head(spark):
     """All texts share a passage, few overlap enough, and the first is like none of them."""
     dice = random.Random(9)
@@ -53,3 +61,23 @@ def test_a_chain_is_followed_inside_a_bucket(spark):
     words = [f"w{i}" for i in range(240)]
     rows = [(k, " ".join(words[12 * k:12 * k + 150])) for k in range(8)]
     assert star(spark, rows) == plain.similar_groups(rows, 0.8)
+
+
+def test_the_bound_is_exact(spark):
+    """Short texts at 0.75 to 0.79 and long ones at about 0.78 stay apart, 0.8 itself joins."""
+    rows = []
+    for k, (shared, extra) in enumerate([(76, 24), (79, 21), (80, 20), (780, 220), (796, 204), (800, 200)]):
+        words = [f"t{k}x{i}" for i in range(shared + extra + 4)]
+        rows += [(2 * k, " ".join(words[:shared + 4])), (2 * k + 1, " ".join(words))]
+    wanted = plain.similar_groups(rows, 0.8)
+    assert [wanted[2 * k + 1] == 2 * k for k in range(6)] == [False, False, True, False, False, True]
+    assert star(spark, rows) == wanted
+
+
+def test_the_order_of_shingles_does_not_matter(spark, monkeypatch):
+    rows = block_edits(seed=7, bases=5)
+    wanted = plain.similar_groups(rows, 0.8)
+    for sample, often, frequent in ((1, 1, 1 << 17), (1, 2, 50)):
+        for name, value in (("SAMPLE", sample), ("OFTEN", often), ("FREQUENT", frequent)):
+            monkeypatch.setattr(simhash, name, value)
+        assert star(spark, rows) == wanted
