@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -92,6 +93,18 @@ def _aligned(template, text, shift: int, band: int):
     return top[1:]
 
 
+def _between(spans: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """The parts of low to high that no span covers; spans are in order and apart."""
+    parts = []
+    for first, end in spans[max(0, bisect_left(spans, (low, low)) - 1):]:
+        if first >= high:
+            break
+        if first > low:
+            parts.append((low, first))
+        low = max(low, end)
+    return parts + [(low, high)] if low < high else parts
+
+
 class _Index:
     """Templates as word numbers and the inverted index of their winnowed fingerprints."""
 
@@ -122,19 +135,24 @@ class _Index:
             for t, at in self.postings[int(hashes[place])]:
                 found.setdefault((t, place - at), place)
         rows, text, spans = [], ids.tolist(), None
-        done: dict[int, int] = {}            # shifts come in order: up to here one template is told
+        told: dict[int, list[tuple[int, int]]] = {}            # spans of a template, in order
         for t, shift in sorted(found):
             name, template = self.templates[t]
-            if shift <= done.get(t, shift - 1):
-                continue
-            low, high = max(0, shift - band), min(len(text), shift + len(template) + band)
-            matched, first, last = _aligned(template, text[low:high], shift - low, band)
-            if matched and matched >= coverage * len(template):
-                if spans is None:
-                    spans = [m.span() for m in TOKEN.finditer(raw)]
-                a, b = spans[low + first][0], spans[low + last][1]
-                done[t] = shift + band
-                rows.append((name, matched, len(template), low + first, low + last + 1, len(raw[:a].decode()), len(raw[:b].decode())))
+            own = told.setdefault(t, [])
+            parts = _between(own, max(0, shift - band), min(len(text), shift + len(template) + band))
+            while parts:
+                low, high = parts.pop()
+                if high - low < coverage * len(template):
+                    continue
+                matched, first, last = _aligned(template, text[low:high], shift - low, band)
+                if matched and matched >= coverage * len(template):
+                    if spans is None:
+                        spans = [m.span() for m in TOKEN.finditer(raw)]
+                    first, end = low + first, low + last + 1
+                    insort(own, (first, end))
+                    parts += [(low, first), (end, high)]
+                    a, b = spans[first][0], spans[end - 1][1]
+                    rows.append((name, matched, len(template), first, end, len(raw[:a].decode()), len(raw[:b].decode())))
         return rows
 
 
