@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabml.llm import chat, licenses, mixing, packing, quality_rules, rule_ensemble, simhash, topk, url_filter, warc
+from tabml.llm import chat, licenses, mixing, packing, quality_rules, rule_ensemble, simhash, topk, url_filter, warc, whitening
 from tabml.llm.common import table
 from tabml.llm.text_stats import stop_words
 
@@ -90,8 +90,13 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_top_k, op4_packing, op5_simhash, op6_chat, op7_quality_rules, op8_licenses,
-                                   op9_url_filter, op10_quality_classifier)}
+                                   op9_url_filter, op10_quality_classifier, op11_whitening)}
 
 SIZES = r"""
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
