@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabml.llm import chat, licenses, mixing, packing, quality_rules, rule_ensemble, simhash, topk, url_filter, warc, whitening
+from tabml.llm import chat, conversation_repair, licenses, mixing, packing, quality_rules, rule_ensemble, simhash, topk, url_filter, warc, whitening
 from tabml.llm.common import table
+from tabml.llm.repair_sql import REPAIR
 from tabml.llm.text_stats import stop_words
 
 
@@ -95,8 +96,29 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults by their crc: one in twenty is dropped, one emptied, one loses its end
+    marks, one is repeated, one becomes a user's."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", part("role").alias("role"), part("text").alias("text"),
+                       (F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn")).cast("binary")) % 20).alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times).drop("col")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    reports, turns = conversation_repair.repair(damaged(rows))
+    told = reports.join(conversation_repair.digests(turns), ["none", "key"], "left").withColumnRenamed("conv", "id")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id", *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_top_k, op4_packing, op5_simhash, op6_chat, op7_quality_rules, op8_licenses,
-                                   op9_url_filter, op10_quality_classifier, op11_whitening)}
+                                   op9_url_filter, op10_quality_classifier, op11_whitening, op12_conversation_repair)}
 
 SIZES = r"""
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -126,6 +148,7 @@ def _passes(rule: quality_rules.Rule) -> str:
 
 
 SQL = {
+    "op12_conversation_repair": REPAIR,
     "op1_warc": """
 WITH own AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 hashed AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM own),
