@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabml.llm import chat, conversation_repair, licenses, mixing, packing, quality_rules, rule_ensemble, simhash, topk, url_filter, warc, whitening
+from tabml.llm import chat, conversation_repair, licenses, mixing, packing, quality_rules, rule_ensemble, simhash, token_files, topk, url_filter, warc, whitening
 from tabml.llm.common import table
 from tabml.llm.repair_sql import REPAIR
 from tabml.llm.text_stats import stop_words
@@ -117,8 +117,13 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = token_files.store(table(spark, folder, "documents"), tokenizer_path())
+    return token_files.read(files, payload=False).drop("ids").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_top_k, op4_packing, op5_simhash, op6_chat, op7_quality_rules, op8_licenses,
-                                   op9_url_filter, op10_quality_classifier, op11_whitening, op12_conversation_repair)}
+                                   op9_url_filter, op10_quality_classifier, op11_whitening, op12_conversation_repair, op13_token_files)}
 
 SIZES = r"""
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
