@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -11,13 +10,12 @@ from pyspark.sql import types as T
 
 #: a piece may leave this share of its slot empty; else it is cut to the next smaller slot
 TOLERANCE = 1 / 32
-#: words whose ids a worker remembers, and bytes of text that are looked up at once
-KNOWN_WORDS, LOOKUP_BYTES = 800_000, 1 << 20
+#: runs of letters whose ids a worker remembers, and bytes of text that are looked up at once
+KNOWN_RUNS, LOOKUP_BYTES = 500_000, 2 << 20
 #: bytes of ids that are sent back at once
 BATCH_BYTES = 4 << 20
-#: a line: letters that normalisation leaves alone but for their case, then punctuation that starts no
-#: contraction; or anything else
-PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()|]*)|(.*))$", re.MULTILINE)
+#: a word of letters that normalisation leaves alone but for their case, then punctuation that starts no contraction
+PLAIN = r"^(?P<run>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<rest>[.,;:!?*#$%&()|]*)$"
 
 
 class _Ragged:
@@ -54,9 +52,10 @@ class WordIds:
     """Token ids of texts, by word. The tokenizer drops white space and never looks across it,
     so ids of a text are the ids of its words in a row, and each word is encoded once.
 
-    Most words are letters and punctuation: their lower-case letter runs are encoded many at a time
-    without the tokenizer's normalisation, which would not change them. Other words go through the
-    whole tokenizer, and so do all if a probe shows that the short way gives other ids.
+    Words are split, told apart and cut into a letter run and the punctuation behind it by Arrow, many
+    at a time; Python looks at distinct lower-case runs only. Runs that are new to the worker are encoded
+    together without the tokenizer's normalisation, which would not change them. Other words go through
+    the whole tokenizer, and so do all if a probe shows that the short way gives other ids.
     """
 
     def __init__(self, path: str):
@@ -71,19 +70,22 @@ class WordIds:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.final[i] = token.endswith("</w>")
         probe = "Plain, ÀÉÿß words! Of### unequal LENGTH, x and internationalisation;"
-        self.plain, self.run_ids, self.run_places = True, _Ragged(), {}
+        self.plain = True
         self.forget()
         self.plain = self.encode([probe.encode()], 1)[0].tolist() == [*self._whole(probe), 1]
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.words, self.run_ids, self.run_places = _Ragged(), _Ragged(), {"": 0}
+        self.run_ids, self.run_places = _Ragged(), {"": 0}
         self.run_ids.extend([0], [])
 
     def _whole(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    def _add_whole(self, words: list[str]) -> None:
+        each = [self._whole(w) for w in words]
+        self.run_ids.extend([len(e) for e in each], [i for e in each for i in e])
+
     def _add_runs(self, runs: list[str]) -> None:
         import numpy as np
 
@@ -94,44 +96,65 @@ class WordIds:
             if len(ends) == len(part) and ends[-1] == len(ids):
                 self.run_ids.extend(np.diff(ends, prepend=0), ids)
             else:                                                   # not told apart by word ends: one by one
-                each = [self._whole(r) for r in part]
-                self.run_ids.extend([len(e) for e in each], [i for e in each for i in e])
-            self.run_places.update(zip(part, range(len(self.run_places), len(self.run_places) + len(part))))
+                self._add_whole(part)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _places(self, column, add, mark: str = ""):
+        """Places in ``run_ids`` of the strings of a column; ``add`` encodes those that are new. Words that are
+        encoded whole are known under a name that no run has."""
         import numpy as np
 
-        parts = [(a.lower(), b, c) if self.plain else ("", "", a + b + c) for a, b, c in PLAIN.findall(b"\n".join(words).decode())]
-        known = self.run_places
-        self._add_runs(list(dict.fromkeys(r for a, b, c in parts if not c for r in (a, b) if r not in known)))
-        odd = [c for _, _, c in parts if c]
-        each = [self._whole(c) for c in odd]
-        first = self.run_ids.count
-        self.run_ids.extend([len(e) for e in each], [i for e in each for i in e])
-        known.update(zip(map("\n".__add__, odd), range(first, first + len(odd))))     # no run has a line break
-        pairs = np.array([(known["\n" + c], 0) if c else (known[a], known[b]) for a, b, c in parts], np.int64)
-        ids, lengths = self.run_ids.take(pairs.ravel())
-        self.places.update(zip(words, range(self.words.count, self.words.count + len(words))))
-        self.words.extend(lengths.reshape(-1, 2).sum(axis=1), ids)
-
-    def encode(self, texts: list[bytes], end: int) -> list:
-        """Ids of UTF-8 texts as arrays of unsigned 32-bit numbers, each with ``end`` after it."""
+        told = column.dictionary_encode()
+        strings = told.dictionary.to_pylist()
+        names = [mark + x for x in strings] if mark else strings
+        at = list(map(self.run_places.get, names))
+        if None in at:
+            new = [i for i, p in enumerate(at) if p is None]
+            first = self.run_ids.count
+            add([strings[i] for i in new])
+            for p, i in enumerate(new, first):
+                at[i] = self.run_places[names[i]] = p
+        return np.array(at, np.int64)[told.indices.to_numpy()]
+
+    def encode(self, texts, end: int) -> list:
+        """Ids of UTF-8 texts (an Arrow array of strings, or bytes) as arrays of unsigned 32-bit numbers,
+        each with ``end`` after it; NULL is empty."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        split = [t.split() for t in texts]                          # bytes: at ASCII white space
-        if len(self.places) > KNOWN_WORDS:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(texts)
+        told = split.flatten().dictionary_encode()
+        if len(self.run_places) > KNOWN_RUNS:
             self.forget()
-        words = [w for t in split for w in t]
-        at = list(map(self.places.get, words))
-        if None in at:
-            self._learn(list(dict.fromkeys(w for w, p in zip(words, at) if p is None)))
-            at = list(map(self.places.get, words))
-        ids, lengths = self.words.take(np.array(at, np.int64))
+        parts = pc.extract_regex(told.dictionary, PLAIN)
+        plain = parts.is_valid() if self.plain else pa.array(np.zeros(len(parts), bool))
+        own, runs = plain.to_numpy(zero_copy_only=False), parts.filter(plain)
+        places = np.zeros((len(parts), 2), np.int64)
+        places[own, 0] = self._places(pc.utf8_lower(runs.field("run")), self._add_runs)
+        places[own, 1] = self._places(runs.field("rest"), self._add_runs)
+        places[~own, 0] = self._places(told.dictionary.filter(pc.invert(plain)), self._add_whole, "\n")
+        ids, lengths = self.run_ids.take(places[told.indices.to_numpy()].ravel())
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        stops = sums[np.cumsum([len(t) for t in split])].tolist()
+        stops = sums[2 * np.cumsum(pc.list_value_length(split).fill_null(0).to_numpy())].tolist()
         return [np.append(ids[a:b], np.uint32(end)) for a, b in zip([0, *stops[:-1]], stops)]
 
 
+def slices(texts) -> Iterator[tuple[int, int]]:
+    """Ranges of an Arrow array of texts with a bounded number of bytes; a longer text is alone."""
+    import pyarrow.compute as pc
+
+    start, size = 0, 0
+    for i, length in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i > start and size + length > LOOKUP_BYTES:
+            yield start, i
+            start, size = i, 0
+        size += length
+    if len(texts) > start:
+        yield start, len(texts)
+
+
 def cut_lengths(length: int, capacity: int, tolerance: float = TOLERANCE) -> list[int]:
     """Lengths that a document is cut into: whole sequences, then pieces that nearly fill a
     reciprocal of the capacity each."""
@@ -198,31 +221,20 @@ def _packer(path: str, capacity: int, end: int, schema):
         def batch_of(rows: list[tuple]):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        def groups(batch):
-            """Documents of a batch, a bounded number of bytes at a time (a longer text alone)."""
-            held, size = [], 0
-            for id, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
-                text = text.as_py() or b""
-                if held and size + len(text) > LOOKUP_BYTES:
-                    yield held
-                    held, size = [], 0
-                held.append((id.as_py(), text))
-                size += len(text)
-            if held:
-                yield held
-
         rows, held = [], 0
-        for group in (g for batch in batches for g in groups(batch)):
-            for (id, _), ids in zip(group, words.encode([t for _, t in group], end)):
-                start = 0
-                for length in cut_lengths(len(ids), capacity):
-                    rows += bins.put((id, start, ids[start:start + length], len(ids)))
-                    start += length
-                held += 4 * len(ids)
-                if held > BATCH_BYTES:
-                    if rows:
-                        yield batch_of(rows)
-                    rows, held = [], 0
+        for batch in batches:
+            names, texts = batch.column(0), batch.column(1).cast(pa.large_string())
+            for a, b in slices(texts):
+                for id, ids in zip(names[a:b].to_pylist(), words.encode(texts[a:b], end)):
+                    start = 0
+                    for length in cut_lengths(len(ids), capacity):
+                        rows += bins.put((id, start, ids[start:start + length], len(ids)))
+                        start += length
+                    held += 4 * len(ids)
+                    if held > BATCH_BYTES:
+                        if rows:
+                            yield batch_of(rows)
+                        rows, held = [], 0
         for more in bins.rest():
             rows += more
         if rows:
