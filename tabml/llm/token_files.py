@@ -7,6 +7,7 @@ of them are NULL, as little-endian arrays; last the number of documents, the ind
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabml.llm.files import open_folder
-from tabml.llm.packing import LOOKUP_BYTES, WordIds
-from tabml.llm.shards import byte_borders, shard_of, tie
+from tabml.llm.packing import WordIds, slices
+from tabml.llm.shards import byte_borders, tie
 from tabml.session import materialize, scratch_path
 
 MAGIC = b"TIDS\x01"
@@ -40,36 +41,22 @@ class TokenFiles:
     width: int
 
 
-def _groups(batch) -> Iterator[tuple]:
-    """(rows, texts) of a batch (text last), a bounded number of bytes at a time; a longer text is alone."""
-    rows, texts, size = [], [], 0
-    for *row, text in zip(*(c.to_pylist() for c in batch.columns)):
-        text = text or b""
-        if rows and size + len(text) > LOOKUP_BYTES:
-            yield rows, texts
-            rows, texts, size = [], [], 0
-        rows.append(row)
-        texts.append(text)
-        size += len(text)
-    if rows:
-        yield rows, texts
-
-
 def _serialized(ids, width: int) -> bytes:
     return ids.astype(f"<u{width}").tobytes()
 
 
-def _encoder(path: str, end: int, width: int):
-    """(none, key, tie, shard, ids) from (none, key, tie, shard, text)."""
+def _encoder(path: str, end: int, width: int, borders: list):
+    """(none, key, tie, shard, ids) from (none, key, tie, text)."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, names = WordIds(path), ["none", "key", "tie", "shard", "ids"]
+        words = WordIds(path)
         for batch in batches:
-            for rows, texts in _groups(batch):
-                ids = pa.array([_serialized(x, width) for x in words.encode(texts, end)], pa.binary())
-                none, key, at, shard = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(none), pa.array(key, pa.int64()), pa.array(at, pa.int64()), pa.array(shard, pa.int32()), ids], names)
+            shards = pa.array([bisect_right(borders, row) for row in zip(*(c.to_pylist() for c in batch.columns[:3]))], pa.int32())
+            texts = batch.column(3).cast(pa.large_string())
+            for a, b in slices(texts):
+                ids = pa.array([_serialized(x, width) for x in words.encode(texts[a:b], end)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:3]), shards[a:b], ids], ["none", "key", "tie", "shard", "ids"])
     return run
 
 
@@ -79,8 +66,10 @@ def _trainer(path: str, end: int, width: int, size: int):
         import pyarrow as pa
         import zstandard
 
-        words = WordIds(path)
-        samples = [_serialized(x, width) for batch in batches for _, texts in _groups(batch) for x in words.encode(texts, end)]
+        words, samples = WordIds(path), []
+        for batch in batches:
+            texts = batch.column(0).cast(pa.large_string())
+            samples += [_serialized(x, width) for a, b in slices(texts) for x in words.encode(texts[a:b], end)]
         try:
             data = zstandard.train_dictionary(size, samples).as_bytes()
         except (zstandard.ZstdError, ValueError):              # too few samples: their bytes are the dictionary
@@ -173,17 +162,17 @@ def write(df: DataFrame, folder: str, tokenizer: str, id: str = "doc_id", text:
 
     spark = df.sparkSession
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else 4
-    content = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = df.select(F.col(id).isNull().alias("none"), F.coalesce(F.col(id).cast("long"), F.lit(0).cast("long")).alias("key"), content.alias("text"))
+    content = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    rows = df.select(F.col(id).isNull().alias("none"), F.coalesce(F.col(id).cast("long"), F.lit(0).cast("long")).alias("key"), content)
     rows = rows.withColumn("tie", tie(F.col("text")))
-    sizes = rows.select("none", "key", "tie", F.length("text").cast("long").alias("size"))
+    sizes = rows.select("none", "key", "tie", F.octet_length("text").cast("long").alias("size"))
     keys = materialize(sizes, "token-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     borders = byte_borders(keys.withColumn("size", F.col("size") + ROW_BYTES), shard_bytes)
 
     chance = F.pmod(F.xxhash64("tie", F.lit(11)), F.lit(1 << 30))
-    sample = rows.where((F.length("text") <= SAMPLE_TEXT) & (chance < int(min(1.0, SAMPLE_BYTES / max(total, 1)) * (1 << 30)))).select("text")
-    [learnt] = sample.coalesce(1).mapInArrow(_trainer(tokenizer, end, width, DICTIONARY_BYTES), "dictionary binary").collect() or [(b"",)]
+    sample = rows.where((F.octet_length("text") <= SAMPLE_TEXT) & (chance < int(min(1.0, SAMPLE_BYTES / max(total, 1)) * (1 << 30)))).select("text")
+    [learnt] = materialize(sample, "token-sample").coalesce(1).mapInArrow(_trainer(tokenizer, end, width, DICTIONARY_BYTES), "dictionary binary").collect() or [(b"",)]
     data = bytes(learnt[0])
     dictionary = hashlib.sha256(data).hexdigest()
 
@@ -191,8 +180,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, id: str = "doc_id", text:
     store.create_dir(path, recursive=True)
     with store.open_output_stream(f"{path}/{dictionary}.zdict", compression=None) as out:
         out.write(data)
-    placed = rows.select("none", "key", "tie", shard_of(borders)("none", "key", "tie").alias("shard"), "text")
-    encoded = placed.mapInArrow(_encoder(tokenizer, end, width), "none boolean, key long, tie long, shard int, ids binary")
+    encoded = rows.select("none", "key", "tie", "text").mapInArrow(
+        _encoder(tokenizer, end, width, borders), "none boolean, key long, tie long, shard int, ids binary")
     dealt = encoded.repartitionById(len(borders) + 1, F.col("shard")).sortWithinPartitions("shard", "none", "key", "tie")
     files = dealt.select("shard", "none", "key", "ids").mapInArrow(
         _writer(folder, data, width), "name string, shard long, documents long, ids long, bytes long, digest string")
