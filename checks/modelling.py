@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml import classification as C
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from checks.evaluation import rounded
 from checks.tables import DOC_QUALITY_SQL, PART_PRICE_SQL, doc_quality, part_price, table
 from tabml.operators import evaluate as E
+from tabml.operators.boost import Boosting, Settings
 from tabml.operators.knn import knn_classify, knn_regress
 from tabml.operators.models import Facts, build, training_facts
 from tabml.operators.split import split_random
@@ -21,6 +23,36 @@ DOC = ("quality", ["letter_share", "n_chars", "lang", "source"], ["doc_id"], "bi
 PART = ("p_retailprice", ["key_mod", "p_size", "p_type"], ["p_partkey"], "regression")
 
 
+def boosted_cuts(spark, folder):
+    """The cuts of two rounds of one level on the part prices."""
+    part = part_price(spark, folder).select(array_to_vector(F.array(F.col("p_size").cast("double"), F.col("key_mod") % 100)).alias("features"),
+                                            F.col("p_retailprice").alias("label"))
+    model = Boosting(Settings("squared", rounds=2, depth=1)).fit(part)
+    rows = [(i + 1, t.feature[0], round(t.gain[0]), int(model.edges[t.feature[0]][t.cut[0]] // 1), int(t.cover[t.left[0]]),
+             round(t.value[t.left[0]], 6), round(t.value[t.left[0] + 1], 6)) for i, [t] in enumerate(model.trees)]
+    return spark.createDataFrame(rows, "round int, feature int, gain long, cut long, rows_left long, value_left double, value_right double")
+
+
+def _round_sql(i: int) -> str:
+    """The best cut of the margins of round i, and the margins after it."""
+    return f"""
+sums{i} AS (SELECT feature, x, sum(m - y) AS g, count(*) AS n FROM
+            (SELECT 0 AS feature, a AS x, m, y FROM m{i} UNION ALL SELECT 1, b, m, y FROM m{i}) GROUP BY feature, x),
+low{i} AS (SELECT feature, x, sum(g) OVER o AS gl, sum(n) OVER o AS nl, sum(g) OVER w AS ga, sum(n) OVER w AS na FROM sums{i}
+           WINDOW o AS (PARTITION BY feature ORDER BY x), w AS (PARTITION BY feature)),
+cut{i} AS (SELECT *, gl * gl / (nl + 1) + (ga - gl) * (ga - gl) / (na - nl + 1) - ga * ga / (na + 1) AS gain, -0.3 * gl / (nl + 1) AS value_left,
+                  -0.3 * (ga - gl) / (na - nl + 1) AS value_right FROM low{i} WHERE nl < na ORDER BY round(gain, 3) DESC, feature, x LIMIT 1),
+m{i + 1} AS (SELECT a, b, y, m + CASE WHEN CASE feature WHEN 0 THEN a ELSE b END <= x THEN value_left ELSE value_right END AS m FROM m{i}, cut{i})"""
+
+
+BOOSTED_CUTS_SQL = f"""
+WITH m1 AS (SELECT p_size::DOUBLE AS a, (p_partkey % 100)::DOUBLE AS b, p_retailprice AS y, avg(p_retailprice) OVER () AS m FROM part),
+{_round_sql(1)},{_round_sql(2)}
+SELECT 1::INT AS round, feature::INT AS feature, round(gain)::BIGINT AS gain, x::BIGINT AS cut, nl::BIGINT AS rows_left, round(value_left, 6) AS value_left,
+       round(value_right, 6) AS value_right FROM cut1
+UNION ALL SELECT 2, feature, round(gain)::BIGINT, x::BIGINT, nl::BIGINT, round(value_left, 6), round(value_right, 6) FROM cut2"""
+
+
 def settled(df, ready):
     """The few rows of a result, fetched so that the prepared rows can be released."""
     rows = df.sparkSession.createDataFrame(df.collect(), df.schema)
@@ -199,6 +231,7 @@ QUERIES = {
     "fit_gbt_clf": classifier("GradientBoostingClassifier"),
     "fit_xgb_clf": classifier("XGBClassifier"),
     "fit_xgb_reg": regressor("XGBRegressor"),
+    "boosted_cuts": boosted_cuts,
     "fit_svc": classifier("SVC"),
     "fit_svr": regressor("SVR"),
     "knn_classify": _knn_classes,
@@ -264,6 +297,7 @@ TEST_METRICS = """SELECT {0}'mse' AS metric, round(mse, 4) AS "value"{1} FROM sc
 UNION ALL SELECT {0}'mae', round(mae, 4){1} FROM sc WHERE test UNION ALL SELECT {0}'r2_score', round(r2, 4){1} FROM sc WHERE test"""
 
 SQL = {
+    "boosted_cuts": BOOSTED_CUTS_SQL,
     "train_line": f"""WITH {LINE_SPLIT} SELECT 'LinearRegression' AS model, CASE WHEN test THEN 'test_score' ELSE 'train_score' END AS metric, round(r2, 4) AS "value" FROM sc
 UNION ALL SELECT 'LinearRegression', CASE WHEN test THEN 'test_samples' ELSE 'train_samples' END, n FROM sc""",
     "auto_train_line": f"""WITH {LINE_SPLIT} SELECT 'LinearRegression' AS model, 'training' AS "section", CASE WHEN test THEN 'test_score' ELSE 'train_score' END AS metric, round(r2, 4) AS "value" FROM sc

@@ -16,6 +16,7 @@ from pyspark.ml import regression as R
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabml.operators.boost import Boosting, Settings
 from tabml.operators.kernel import FourierFeatures, scaled_gamma
 from tabml.operators.knn import knn_classify, knn_regress
 from tabml.operators.ward import WardClusters
@@ -50,7 +51,8 @@ FALLBACK = {"binary_classification": "LogisticRegression", "multiclass_classific
             "regression": "RandomForestRegressor"}
 METHODS = {
     "SVC": "random Fourier features + linear SVM", "SVR": "random Fourier features + ridge",
-    "XGBClassifier": "gradient-boosted trees", "XGBRegressor": "gradient-boosted trees",
+    "XGBClassifier": "second-order boosting on histograms", "XGBRegressor": "second-order boosting on histograms",
+    "GradientBoostingClassifier": "boosting on histograms, classes jointly",
     "AgglomerativeClustering": "k-means micro-clusters + Ward merge",
     "KNeighborsClassifier": "exact neighbours", "KNeighborsRegressor": "exact neighbours",
 }
@@ -126,9 +128,21 @@ def _tree(cls, p):
     return cls(maxDepth=p.get("max_depth", FOREST_DEPTH), maxBins=MAX_BINS, cacheNodeIds=True, maxMemoryInMB=TREE_MEMORY_MB, seed=SEED)
 
 
-def _boosted(cls, p, rounds, depth, step):
-    return cls(maxIter=p.get("n_estimators", rounds), maxDepth=p.get("max_depth", depth),
-               stepSize=p.get("learning_rate", step), maxBins=MAX_BINS, seed=SEED)
+def _newton(objective, classes, p):
+    """Cuts by gradient and hessian with a penalty on leaves."""
+    return Boosting(Settings(
+        objective, classes, p.get("n_estimators", 100), p.get("max_depth", 6), p.get("learning_rate", 0.3), p.get("reg_lambda", 1.0),
+        p.get("gamma", 0.0), p.get("min_child_weight", 1.0), min(p.get("max_bin", 254), 254), prior=objective != "softmax"))
+
+
+def _friedman(objective, classes, p):
+    """Cuts by the variance of the gradient, leaves without a penalty."""
+    return Boosting(Settings(objective, classes, p.get("n_estimators", 100), p.get("max_depth", 3), p.get("learning_rate", 0.1), l2=0.0,
+                             least_hessian=0.0, newton=False))
+
+
+def _of_classes(kind, facts, p):
+    return kind("softmax", facts.n_classes, p) if facts.n_classes > 2 else kind("logistic", 1, p)
 
 
 def _per_class(facts, classifier):
@@ -140,8 +154,8 @@ BUILDERS = {
     "LogisticRegression": _logistic,
     "RandomForestClassifier": lambda f, p: _forest(C.RandomForestClassifier, p, "sqrt"),
     "DecisionTreeClassifier": lambda f, p: _tree(C.DecisionTreeClassifier, p),
-    "GradientBoostingClassifier": lambda f, p: _per_class(f, _boosted(C.GBTClassifier, p, 100, 3, 0.1)),
-    "XGBClassifier": lambda f, p: _per_class(f, _boosted(C.GBTClassifier, p, 100, 6, 0.3)),
+    "GradientBoostingClassifier": lambda f, p: _of_classes(_friedman, f, p),
+    "XGBClassifier": lambda f, p: _of_classes(_newton, f, p),
     "SVC": lambda f, p: KernelEstimator(_per_class(f, C.LinearSVC(
         featuresCol="kernel_features", regParam=1.0 / (p.get("C", 1.0) * f.n), standardization=False,
         maxIter=p.get("max_iter", 20)))),
@@ -152,7 +166,7 @@ BUILDERS = {
     "Ridge": _ridge,
     "RandomForestRegressor": lambda f, p: _forest(R.RandomForestRegressor, p, "all"),
     "DecisionTreeRegressor": lambda f, p: _tree(R.DecisionTreeRegressor, p),
-    "XGBRegressor": lambda f, p: _boosted(R.GBTRegressor, p, 100, 6, 0.3),
+    "XGBRegressor": lambda f, p: _newton("squared", 1, p),
     "SVR": lambda f, p: KernelEstimator(_ridge(f, p, "kernel_features")),
     "KNeighborsRegressor": lambda f, p: NearestNeighbours(True, p.get("n_neighbors", 5)),
     "KMeans": lambda f, p: K.KMeans(k=p.get("n_clusters", 3), seed=SEED),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tabml.functions.columns import col, kind_of, present, require_columns
 from tabml.operators import evaluate as E
+from tabml.operators.boost import Boosted
 from tabml.operators.models import NearestNeighbours, build, resolve, training_facts
 from tabml.operators.prep import LABEL, Prep, class_list, encode, fit_prep
 from tabml.operators.split import kfold, split_random, split_stratified
@@ -102,6 +103,8 @@ class Trained:
         """(field, value) about the model."""
         last = self.model.stages[-1] if isinstance(self.model, PipelineModel) else self.model
         fitted = {p.name: str(v) for p, v in last.extractParamMap().items()} if hasattr(last, "extractParamMap") else {}
+        if isinstance(last, Boosted):
+            fitted = {k: str(v) for k, v in vars(last.settings).items()}
         fields = {"model_type": self.name, "task_type": self.task, "target_column": self.target or "",
                   "n_features": str(len(self.features)), "features": ",".join(self.features),
                   **{f"param.{k}": v for k, v in sorted({**fitted, **{k: str(v) for k, v in self.params.items()}}.items())}}
@@ -110,7 +113,7 @@ class Trained:
     def save(self, path: str) -> None:
         self.prep.save(f"{path}/prep")
         self.model.save(f"{path}/model")
-        kind = "knn" if isinstance(self.model, NearestNeighbours) else "ward" if isinstance(self.model, WardModel) else "spark"
+        kind = "knn" if isinstance(self.model, NearestNeighbours) else "ward" if isinstance(self.model, WardModel) else "boosted" if isinstance(self.model, Boosted) else "spark"
         write_json(f"{path}/about", [kind, self.name, self.task, self.target, self.features, self.labels, self.params])
 
 
@@ -120,6 +123,8 @@ def load_trained(spark: SparkSession, path: str) -> Trained:
         model = NearestNeighbours.load(f"{path}/model", spark)
     elif kind == "ward":
         model = WardModel.load(f"{path}/model")
+    elif kind == "boosted":
+        model = Boosted.load(f"{path}/model")
     else:
         model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
     return Trained(name, task, target, features, labels, Prep.load(f"{path}/prep"), model, params)
@@ -144,7 +149,7 @@ def split(df: DataFrame, key: list[str], target: str | None, task: str, test_siz
 
 
 ROWS_PER_TASK = 2_000      # iterative fits on fewer rows gain nothing from another task
-PIECES_PER_CORE = 100      # tables with more rows per core come in enough pieces
+FEW_TASKS, MOST_ROWS_PER_TASK = 64, 200_000      # so many tasks do for a middling table, a large one has as many as it needs
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -152,15 +157,10 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def keep_balanced(df: DataFrame, n: int, key: list[str]) -> DataFrame:
-    """Persist ``n`` rows for iterative fits: few partitions for a small table, one per core for a
-    middling one, which may have come in one piece. A large table stays as it is."""
-    useful = max(1, -(-n // ROWS_PER_TASK))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if useful < cores:
-        df = df.coalesce(useful)
-    elif useful < PIECES_PER_CORE * cores:
-        df = df.repartition(cores, *[col(k) for k in key])
-    return keep(df)
+    """Persist ``n`` rows for iterative fits, dealt by their key into as many partitions as their number
+    asks for: models that sample per partition are the same on any number of cores."""
+    parts = max(1, min(FEW_TASKS, -(-n // ROWS_PER_TASK)), -(-n // MOST_ROWS_PER_TASK))
+    return keep(df.repartition(parts, *[col(k) for k in key]).sortWithinPartitions(*[col(k) for k in key]))
 
 
 @dataclass
