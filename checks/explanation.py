@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.evaluation import rounded
-from checks.modelling import DOC, NB_SQL, PART, line_orders, settled, vector
+from checks.modelling import DOC, NB_SQL, PART, STUMPS_SQL, boosted_stumps, line_orders, settled, vector
 from checks.tables import DIRTY_SQL, dirty_lineitem, doc_quality, part_price, table
 from tabml.operators import attribution as A
 from tabml.operators import importance as I
 from tabml.operators.profile import metadata
 from tabml.operators.target import detect_target
+from tabml.operators.tree_paths import model_paths, shapley_trees
 from tabml.plans import explain as X
 from tabml.plans import train as R
 from tabml.session import scratch_path
@@ -103,7 +104,20 @@ def _shap_sampled(spark, folder):
     trained, ready = TREE(spark, folder)
     ready.release()
     docs = doc_quality(spark, folder)
-    return rounded(X.shap_local(trained, docs, ["doc_id"], docs, samples=20))
+    return rounded(X.shap_local(trained, docs, ["doc_id"], docs, samples=20, sampled=True))
+
+
+def _shap_tree(spark, folder):
+    trained, ready = TREE(spark, folder)
+    ready.release()
+    docs = doc_quality(spark, folder)
+    return rounded(X.shap_local(trained, docs, ["doc_id"], docs))
+
+
+def _shap_boosted(spark, folder):
+    """Of trees with one cut each the contributions are known: what a row's side gives beyond the mean of both."""
+    model, part = boosted_stumps(spark, folder)
+    return rounded(shapley_trees(part, ["p_partkey"], model_paths(model), ["p_size", "key_mod"]))
 
 
 def _lime(spark, folder):
@@ -176,6 +190,8 @@ QUERIES = {
     "shap_line_global": _shap_line_global,
     "shap_sampled_linear": _shap_sampled_linear,
     "shap_local_sampled": _shap_sampled,
+    "shap_local_tree": _shap_tree,
+    "shap_boosted": _shap_boosted,
     "lime_local": _lime,
     "explain_target": _target_texts,
     "explain_prep": lambda s, f: X.explain_prep(dirty_lineitem(s, f), "l_linestatus"),
@@ -194,6 +210,14 @@ def _next(feature: str) -> str:
 
 
 SQL = {
+    "shap_boosted": f"""WITH {STUMPS_SQL},
+cuts AS (SELECT feature, x AS cut, value_left AS l, value_right AS r, (nl * value_left + (na - nl) * value_right) / na AS mean FROM cut1
+         UNION ALL SELECT feature, x, value_left, value_right, (nl * value_left + (na - nl) * value_right) / na FROM cut2),
+cells AS (SELECT p_partkey, 0 AS feature, 'p_size' AS name, p_size::DOUBLE AS x FROM part UNION ALL SELECT p_partkey, 1, 'key_mod', (p_partkey % 100)::DOUBLE FROM part),
+base AS (SELECT (SELECT avg(p_retailprice) FROM part) + sum(mean) AS b FROM cuts)
+SELECT p_partkey, name AS feature, round(coalesce(sum(CASE WHEN x <= cut THEN l ELSE r END - mean), 0), 4) AS contribution,
+       round((SELECT b FROM base), 4) AS base_value
+FROM cells LEFT JOIN cuts USING (feature) GROUP BY p_partkey, name""",
     "importance_coef": """SELECT 'numeric__o_custkey' AS feature, round(regr_slope(o_totalprice, o_custkey) * stddev_pop(o_custkey), 4) AS coefficient,
  round(abs(regr_slope(o_totalprice, o_custkey) * stddev_pop(o_custkey)), 4) AS abs_coefficient, 1 AS rank FROM orders""",
     "importance_permutation": f"""WITH p AS (SELECT p_retailprice AS y, CAST(p_partkey % 1000 AS DOUBLE) AS key_mod, p_size, p_partkey FROM part),

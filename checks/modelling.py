@@ -23,11 +23,16 @@ DOC = ("quality", ["letter_share", "n_chars", "lang", "source"], ["doc_id"], "bi
 PART = ("p_retailprice", ["key_mod", "p_size", "p_type"], ["p_partkey"], "regression")
 
 
-def boosted_cuts(spark, folder):
-    """The cuts of two rounds of one level on the part prices."""
-    part = part_price(spark, folder).select(array_to_vector(F.array(F.col("p_size").cast("double"), F.col("key_mod") % 100)).alias("features"),
+def boosted_stumps(spark, folder):
+    """Two rounds of one level on the part prices, and their rows."""
+    part = part_price(spark, folder).select("p_partkey", array_to_vector(F.array(F.col("p_size").cast("double"), F.col("key_mod") % 100)).alias("features"),
                                             F.col("p_retailprice").alias("label"))
-    model = Boosting(Settings("squared", rounds=2, depth=1)).fit(part)
+    return Boosting(Settings("squared", rounds=2, depth=1)).fit(part), part
+
+
+def boosted_cuts(spark, folder):
+    """The cuts of both rounds."""
+    model, _ = boosted_stumps(spark, folder)
     rows = [(i + 1, t.feature[0], round(t.gain[0]), int(model.edges[t.feature[0]][t.cut[0]] // 1), int(t.cover[t.left[0]]),
              round(t.value[t.left[0]], 6), round(t.value[t.left[0] + 1], 6)) for i, [t] in enumerate(model.trees)]
     return spark.createDataFrame(rows, "round int, feature int, gain long, cut long, rows_left long, value_left double, value_right double")
@@ -45,9 +50,11 @@ cut{i} AS (SELECT *, gl * gl / (nl + 1) + (ga - gl) * (ga - gl) / (na - nl + 1)
 m{i + 1} AS (SELECT a, b, y, m + CASE WHEN CASE feature WHEN 0 THEN a ELSE b END <= x THEN value_left ELSE value_right END AS m FROM m{i}, cut{i})"""
 
 
+STUMPS_SQL = f"""
+m1 AS (SELECT p_size::DOUBLE AS a, (p_partkey % 100)::DOUBLE AS b, p_retailprice AS y, avg(p_retailprice) OVER () AS m FROM part),
+{_round_sql(1)},{_round_sql(2)}"""
 BOOSTED_CUTS_SQL = f"""
-WITH m1 AS (SELECT p_size::DOUBLE AS a, (p_partkey % 100)::DOUBLE AS b, p_retailprice AS y, avg(p_retailprice) OVER () AS m FROM part),
-{_round_sql(1)},{_round_sql(2)}
+WITH {STUMPS_SQL}
 SELECT 1::INT AS round, feature::INT AS feature, round(gain)::BIGINT AS gain, x::BIGINT AS cut, nl::BIGINT AS rows_left, round(value_left, 6) AS value_left,
        round(value_right, 6) AS value_right FROM cut1
 UNION ALL SELECT 2, feature, round(gain)::BIGINT, x::BIGINT, nl::BIGINT, round(value_left, 6), round(value_right, 6) FROM cut2"""

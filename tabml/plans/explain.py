@@ -13,6 +13,7 @@ from tabml.operators.attribution import (
     BACKGROUND_ROWS, background_rows, shapley_global, shapley_linear, shapley_sampled, surrogate_local,
 )
 from tabml.operators.evaluate import overfit_flag
+from tabml.operators.tree_paths import model_paths, shapley_trees
 from tabml.plans.train import Prepared, Trained, is_classification, scores_by_split
 
 
@@ -120,8 +121,13 @@ def explain(df: DataFrame, record: DataFrame, trained: Trained, ready: Prepared)
 
 
 def shap_local(trained: Trained, df: DataFrame, key: list[str], background: DataFrame, samples: int = 50, class_index: int = 0,
-               background_size: int = BACKGROUND_ROWS) -> DataFrame:
-    """(key…, feature, contribution, base_value) of every row: exact for linear regression, sampled for the rest."""
+               background_size: int = BACKGROUND_ROWS, sampled: bool = False) -> DataFrame:
+    """(key…, feature, contribution, base_value) of every row: exact for linear regression and, from the paths of the
+    model, for trees, forests and boosting (prepared features; boosted classes in log-odds); sampled for the
+    rest, or if ``sampled`` asks for it."""
+    paths = None if sampled else model_paths(trained.model, class_index)
+    if paths is not None:
+        return shapley_trees(trained.prep.transform(df), key, paths, [n for n, _ in trained.prep.slots()])
     if trained.name in ("LinearRegression", "Ridge"):
         from pyspark.ml.stat import Summarizer
         mean = trained.prep.transform(background).select(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
