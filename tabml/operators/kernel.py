@@ -1,48 +1,13 @@
-"""Random Fourier features (Rahimi & Recht 2007): an RBF kernel as a plain projection."""
+"""The width of the RBF kernel."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark import keyword_only
-from pyspark.ml import Transformer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """x → sqrt(2/D)·cos(Wx + b); W and b follow from the seed, so only the settings are stored."""
-
-    gamma = Param(Params._dummy(), "gamma", "RBF width", TypeConverters.toFloat)
-    size = Param(Params._dummy(), "size", "number of output features D", TypeConverters.toInt)
-    width = Param(Params._dummy(), "width", "number of input features", TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "seed of the projection", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, inputCol="features", outputCol="kernel_features", gamma=1.0, size=128, width=1, seed=42):
-        super().__init__()
-        self._setDefault(inputCol="features", outputCol="kernel_features", gamma=1.0, size=128, width=1, seed=42)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        random = np.random.RandomState(self.getOrDefault(self.seed))
-        size, width, gamma = (self.getOrDefault(p) for p in (self.size, self.width, self.gamma))
-        weights = random.normal(scale=np.sqrt(2 * gamma), size=(width, size))
-        shift = random.uniform(0, 2 * np.pi, size)
-
-        @F.pandas_udf("array<double>")
-        def project(x: pd.Series) -> pd.Series:
-            z = np.sqrt(2.0 / size) * np.cos(np.stack(x.to_numpy()) @ weights + shift)
-            return pd.Series(list(z))
-
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(self.getInputCol()))))
-
-
 def scaled_gamma(prepared: DataFrame, features: str = "features") -> tuple[float, int]:
     """(1 / (d · variance of all feature values), d): the usual default width of the kernel."""
     row = prepared.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(features)).alias("s")).first()["s"]

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import regression as R
@@ -17,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabml.operators.boost import Boosting, Settings
-from tabml.operators.kernel import FourierFeatures, scaled_gamma
 from tabml.operators.knn import knn_classify, knn_regress
+from tabml.operators.svm import LANDMARKS, SupportVectors
 from tabml.operators.ward import WardClusters
 from tabml.session import read_json, write_json
 
@@ -50,7 +49,7 @@ TASK_MODELS = {
 FALLBACK = {"binary_classification": "LogisticRegression", "multiclass_classification": "RandomForestClassifier",
             "regression": "RandomForestRegressor"}
 METHODS = {
-    "SVC": "random Fourier features + linear SVM", "SVR": "random Fourier features + ridge",
+    "SVC": "RBF kernel on landmarks, hinge loss", "SVR": "RBF kernel on landmarks, tube loss",
     "XGBClassifier": "second-order boosting on histograms", "XGBRegressor": "second-order boosting on histograms",
     "GradientBoostingClassifier": "boosting on histograms, classes jointly",
     "AgglomerativeClustering": "k-means micro-clusters + Ward merge",
@@ -96,27 +95,14 @@ class NearestNeighbours:
         return cls(*read_json(f"{path}/settings"), spark.read.parquet(f"{path}/rows"))
 
 
-@dataclass
-class KernelEstimator:
-    """Fourier features with the default kernel width, then a linear estimator on them."""
-
-    estimator: object
-    size: int = 128
-
-    def fit(self, prepared: DataFrame) -> PipelineModel:
-        gamma, width = scaled_gamma(prepared)
-        features = FourierFeatures(gamma=gamma, width=width, size=self.size, seed=SEED)
-        return Pipeline(stages=[features, self.estimator]).fit(prepared)
-
-
 def _logistic(facts, p):
     return C.LogisticRegression(regParam=1.0 / (p.get("C", 1.0) * facts.n), elasticNetParam=0.0, standardization=False,
                                 maxIter=p.get("max_iter", 1000), tol=p.get("tol", 1e-6))
 
 
-def _ridge(facts, p, features="features"):
+def _ridge(facts, p):
     return R.LinearRegression(regParam=p.get("alpha", 1.0) * facts.label_std / facts.n, elasticNetParam=0.0,
-                              standardization=False, solver="normal", featuresCol=features)
+                              standardization=False, solver="normal")
 
 
 def _forest(cls, p, strategy):
@@ -145,20 +131,13 @@ def _of_classes(kind, facts, p):
     return kind("softmax", facts.n_classes, p) if facts.n_classes > 2 else kind("logistic", 1, p)
 
 
-def _per_class(facts, classifier):
-    """Binary-only methods on several classes: one against the rest."""
-    return classifier if facts.n_classes <= 2 else C.OneVsRest(classifier=classifier, parallelism=4)
-
-
 BUILDERS = {
     "LogisticRegression": _logistic,
     "RandomForestClassifier": lambda f, p: _forest(C.RandomForestClassifier, p, "sqrt"),
     "DecisionTreeClassifier": lambda f, p: _tree(C.DecisionTreeClassifier, p),
     "GradientBoostingClassifier": lambda f, p: _of_classes(_friedman, f, p),
     "XGBClassifier": lambda f, p: _of_classes(_newton, f, p),
-    "SVC": lambda f, p: KernelEstimator(_per_class(f, C.LinearSVC(
-        featuresCol="kernel_features", regParam=1.0 / (p.get("C", 1.0) * f.n), standardization=False,
-        maxIter=p.get("max_iter", 20)))),
+    "SVC": lambda f, p: SupportVectors("class", f.n_classes, p.get("C", 1.0), landmarks=p.get("landmarks", LANDMARKS)),
     "KNeighborsClassifier": lambda f, p: NearestNeighbours(False, p.get("n_neighbors", 5)),
     "GaussianNB": lambda f, p: C.NaiveBayes(modelType="gaussian"),
     "MultinomialNB": lambda f, p: C.NaiveBayes(modelType="multinomial", smoothing=p.get("alpha", 1.0)),
@@ -167,7 +146,7 @@ BUILDERS = {
     "RandomForestRegressor": lambda f, p: _forest(R.RandomForestRegressor, p, "all"),
     "DecisionTreeRegressor": lambda f, p: _tree(R.DecisionTreeRegressor, p),
     "XGBRegressor": lambda f, p: _newton("squared", 1, p),
-    "SVR": lambda f, p: KernelEstimator(_ridge(f, p, "kernel_features")),
+    "SVR": lambda f, p: SupportVectors("number", 1, p.get("C", 1.0), p.get("epsilon", 0.1), p.get("landmarks", LANDMARKS)),
     "KNeighborsRegressor": lambda f, p: NearestNeighbours(True, p.get("n_neighbors", 5)),
     "KMeans": lambda f, p: K.KMeans(k=p.get("n_clusters", 3), seed=SEED),
     "AgglomerativeClustering": lambda f, p: WardClusters(k=p.get("n_clusters", 3), seed=SEED),
