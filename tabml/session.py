@@ -53,7 +53,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     they need, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, when nothing will read it again."""
+    path = getattr(df, "scratch", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def write_json(path: str, value) -> None:
