@@ -23,6 +23,11 @@ def fresh(taken, *stems: str) -> list[str]:
     return names
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join whose hot keys adaptive execution can split.
 

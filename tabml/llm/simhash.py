@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabml.llm.common import fresh, spread_join
+from tabml.llm.common import fresh, own_columns, spread_join
 from tabml.llm.components import components
-from tabml.session import materialize
+from tabml.session import materialize, release
 
 #: shingle hashes that are counted at once, which bounds the memory of a very long text
 SLICE = 1 << 16
@@ -112,10 +112,16 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     return _by_fingerprint(df, id, text, shingle, radius).select("id", F.col("node").alias("fingerprint"), "component")
 
 
-#: a shingle is frequent from OFTEN texts of a sample of one in SAMPLE on; tasks hold at most FREQUENT of them
-SAMPLE, OFTEN, FREQUENT = 16, 4, 1 << 17
-#: heads that a bucket may have in one round
-HEADS = 64
+#: shingles are counted in one text of SAMPLE, in SLOTS counters that shingles share by their hash
+SAMPLE, SLOTS = 16, 1 << 21
+#: a shingle counted OFTEN more than chance tells is common; entries of other shingles that a task brings together, about
+OFTEN, ENTRIES = 4, 1 << 18
+#: heads that a bucket has in the first rounds: each round has MORE times as many as the one before
+MORE = 16
+#: counters of a sketch; nodes that a worker remembers having seen; bytes of keys that may be broadcast
+SKETCH, SEEN, SMALL_BYTES = 256, 1 << 17, 64 << 20
+#: sizes beyond are not told to buckets, which then rule nothing out by them
+LARGE = (1 << 16) - 1
 
 
 def _shingles(raw: bytes | None, shingle: int) -> tuple:
@@ -133,6 +139,25 @@ def _shingles(raw: bytes | None, shingle: int) -> tuple:
     return int(np.uint64(xxh64_intdigest(b" ".join(words), SEED)).view(np.int64)), np.unique(np.concatenate(parts)).view(np.int64)
 
 
+def _sketch(hashes) -> bytes:
+    """How many shingles fall to each of SKETCH counters: what two texts share is at most the sum of the lesser counts."""
+    import numpy as np
+    return np.minimum(np.bincount(hashes.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH), LARGE).astype("<u2").tobytes()
+
+
+def _texts(shingle: int):
+    """(id, mark, node, size, sketch) of all rows."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [_shingles(x.as_py(), shingle) for x in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([len(h) for _, h in found], pa.int64()),
+                 pa.array([_sketch(h) for _, h in found], pa.binary())], ["id", "mark", "node", "size", "sketch"])
+    return run
+
+
 def _sets(shingle: int):
     """(node, shingles) from (node, text)."""
     def run(batches: Iterator) -> Iterator:
@@ -144,49 +169,116 @@ def _sets(shingle: int):
     return run
 
 
-def _prefix(hashes, known, counts, similarity: float):
-    """The rarest shingles of a text, so many that each text with the wanted overlap has one of its own
-    rarest among them: all texts order by (count in the sample, hash)."""
+def _prefix(hashes, counts, similarity: float):
+    """(shingles, counts) of the rarest shingles of a text, so many that each text with the wanted overlap has one
+    of its own rarest among them: all texts order by (count, hash)."""
     import numpy as np
 
     if not len(hashes):
-        return hashes
-    count = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        count = np.where(known[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, count))[:len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1]]
+        return hashes, hashes
+    count = counts[hashes.view(np.uint64) % np.uint64(SLOTS)]
+    order = np.lexsort((hashes, count))[:len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1]
+    return hashes[order], count[order]
+
 
+ENTRY = [("print", "<i8"), ("node", "<i8"), ("size", "<u2"), ("left", "<u2")]
 
-def _prefixes(shingle: int, similarity: float, frequent):
+
+def _entries(shingle: int, similarity: float, counts, groups: int):
+    """(group, entries): a text's rarest shingles, packed by range of their hash. Common shingles are in
+    buckets of their own for certain or nearly so: they take no part in looking for those that occur once."""
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
-
-        known, counts = frequent.value
+        from pyspark import TaskContext
+
+        seen: set = set()
+        turn = TaskContext.get().partitionId() << 20
+
+        def packed(held):
+            nonlocal turn
+            turn += 1
+            whole = np.concatenate(held)
+            group = np.where(whole["common"], -1 - turn, ((whole["print"].view(np.uint64) >> np.uint64(33)).astype(np.int64) * groups) >> 31)
+            order = np.argsort(group, kind="stable")
+            whole, group = whole[order], group[order]
+            starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+            cells = [b"".join(np.ascontiguousarray(part[name].astype(kind)).tobytes() for name, kind in ENTRY) for part in np.split(whole, starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(group[starts]), pa.array(cells, pa.binary())], ["bundle", "entries"])
+        held, size = [], 0
         for batch in batches:
-            found = [_shingles(x.as_py(), shingle) for x in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([len(h) for _, h in found], pa.int64()),
-                 pa.array([_prefix(h, known, counts, similarity) for _, h in found], pa.list_(pa.int64()))],
-                ["id", "mark", "node", "size", "prefix"])
+            for x in batch.column(0).cast(pa.binary()):
+                node, hashes = _shingles(x.as_py(), shingle)
+                if node in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(node)
+                rare, count = _prefix(hashes, counts.value[0], similarity)
+                entry = np.zeros(len(rare), [*ENTRY, ("common", "?")])
+                entry["print"], entry["node"], entry["common"] = rare, node, count >= counts.value[1]
+                entry["size"], entry["left"] = min(len(hashes), LARGE), np.minimum(len(hashes) - np.arange(len(rare)), LARGE)
+                held.append(entry)
+                size += len(rare)
+                if size > 1 << 17:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
     return run
 
 
-def _frequent(rows: DataFrame, shingle: int) -> tuple:
-    """(shingles, counts), sorted: the most frequent shingles of a sample of the distinct texts. They only
-    say in which order shingles are tried, so the result does not depend on them."""
-    sample = rows.where(F.pmod("mark", F.lit(SAMPLE)) == 0).groupBy("mark").agg(F.min("text").alias("text"))
+def _unpacked(cells: bytes):
+    import numpy as np
+
+    width, at, out = sum(np.dtype(kind).itemsize for _, kind in ENTRY), 0, {}
+    count = len(cells) // width
+    for name, kind in ENTRY:
+        out[name] = np.frombuffer(cells, kind, count, at)
+        at += count * np.dtype(kind).itemsize
+    return out
+
+
+def _shared(table):
+    """(print, node, size, left) of a group's entries: each once, those of shingles that occur in one text only are left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [_unpacked(x) for x in table["entries"].to_pylist()]
+    whole = {name: np.concatenate([p[name] for p in parts]) for name, _ in ENTRY}
+    order = np.lexsort((whole["node"], whole["print"]))
+    whole = {name: x[order] for name, x in whole.items()}
+    first = np.ones(len(order), bool)
+    first[1:] = (whole["print"][1:] != whole["print"][:-1]) | (whole["node"][1:] != whole["node"][:-1])
+    whole = {name: x[first] for name, x in whole.items()}
+    alone = np.ones(len(whole["print"]), bool)
+    if table["bundle"][0].as_py() < 0:
+        alone[:] = False
+    else:
+        same = whole["print"][1:] == whole["print"][:-1]
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+    return pa.table({name: pa.array(x[~alone].astype(np.int64)) for name, x in whole.items()})
+
+
+def _counts(docs: DataFrame, shingle: int):
+    """(counts, common): how often the shingles of each slot occur in a sample of the distinct texts, and from which
+    count on one of them must be common, as rare ones hardly fill a slot so much. Counts only say in which
+    order shingles are tried, so the result does not depend on them."""
+    import numpy as np
+
+    sample = docs.where(F.pmod("mark", F.lit(SAMPLE)) == 0).groupBy("mark").agg(F.min("text").alias("text"))
     found = sample.select("mark", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>")
-    counts = found.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
-    counts = materialize(counts.where(F.col("n") >= OFTEN), "simhash-frequent")
-    least, total = 0, 0
-    for n, texts in sorted(((r.n, r.texts) for r in counts.groupBy("n").agg(F.count("*").alias("texts")).collect()), reverse=True):
-        total += texts
-        if total > FREQUENT:
-            least = n + 1
-            break
-    table = counts.where(F.col("n") >= least).toArrow().sort_by("shingle")
-    return table["shingle"].to_numpy(), table["n"].to_numpy()
+    slots = found.select(F.explode("shingles").alias("shingle")).groupBy(F.call_function("mod", _unsigned("shingle"), F.lit(SLOTS)).cast("int").alias("slot"))
+    told = slots.agg(F.count("*").alias("n")).toArrow()               # at most SLOTS rows
+    counts = np.zeros(SLOTS, np.uint32)
+    counts[told["slot"].to_numpy()] = np.minimum(told["n"].to_numpy(), np.iinfo(np.uint32).max)
+    usual = float(np.median(counts))
+    return counts, usual + 6 * usual ** 0.5 + OFTEN
+
+
+def _unsigned(name: str) -> Column:
+    """The low bits of a long as a number that is not negative (SLOTS divides 2^62)."""
+    return F.col(name).bitwiseAND(F.lit((1 << 62) - 1))
 
 
 def _enough(shared: Column, sizes: Column, similarity: float) -> Column:
@@ -194,78 +286,114 @@ def _enough(shared: Column, sizes: Column, similarity: float) -> Column:
     return shared * (1 + similarity) + 1e-6 >= similarity * sizes
 
 
-def _met(texts: DataFrame) -> DataFrame:
-    """(print, node, place, size, root) of (node, size, prefix): the buckets of two texts and more. Two
-    texts with the wanted overlap meet in at least one, that of the rarest shingle they share."""
-    rows = texts.select("node", "size", F.posexplode("prefix").alias("place", "print"))
-    shared = rows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    return spread_join(rows, shared, ["print"]).select("print", "node", "place", "size", F.col("node").alias("root"))
-
-
 def _with_heads(members: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a > b: members of a bucket with its heads, unless they are joined already or cannot overlap enough."""
-    both = spread_join(members, heads.toDF("print", "other", "at", "length", "joined"), ["print"])
-    left = F.least(F.col("size") - F.col("place"), F.col("length") - F.col("at"))
-    both = both.where((F.col("root") != F.col("joined")) & _enough(left, F.col("size") + F.col("length"), similarity))
+    both = spread_join(members, heads.toDF("print", "other", "length", "behind", "joined"), ["print"])
+    known = F.greatest("size", "length") < LARGE
+    possible = _enough(F.least("left", "behind"), F.col("size") + F.col("length"), similarity)
+    both = both.where((F.col("root") != F.col("joined")) & (possible | ~known))
     return both.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
-def _overlapping(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose whole sets (node, shingles) overlap enough."""
-    both = spread_join(spread_join(pairs, sets.toDF("a", "x"), ["a"]), sets.toDF("b", "y"), ["b"])
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
+def _possible(similarity: float):
+    """(a, b) of the pairs whose sketches do not rule out the similarity."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SKETCH) for i in (4, 5))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = (most * (1 + similarity) + 1e-6 >= similarity * sizes) | ((x == LARGE) & (y == LARGE)).any(axis=1)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+    return run
+
+
+def _small(keys: DataFrame, width: int = 40) -> DataFrame:
+    """Rows of about ``width`` bytes, broadcast if all of them are few."""
+    return F.broadcast(keys) if keys.count() * width <= SMALL_BYTES else keys
+
+
+class _Confirmed:
+    """Exact comparison of pairs of nodes: whole sets are made and moved only of texts whose sketches leave it open."""
+
+    def __init__(self, docs: DataFrame, one: DataFrame, shingle: int, similarity: float):
+        self.docs, self.one, self.shingle, self.similarity = docs, one, shingle, similarity
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        sketches = self.one.select("node", "size", "sketch")
+        met = spread_join(pairs, sketches.toDF("a", "size_a", "x"), ["a"])
+        met = spread_join(met, sketches.toDF("b", "size_b", "y"), ["b"]).select("a", "b", "size_a", "size_b", "x", "y")
+        open_pairs = materialize(met.mapInArrow(_possible(self.similarity), "a long, b long"), "simhash-open")
+        nodes = open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")).distinct()
+        wanted = materialize(self.one.select("node", "key", "mark").join(nodes, "node"), "simhash-wanted")
+        texts = self.docs.join(_small(wanted), ["key", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
+        sets = materialize(texts.select("node", "text").mapInArrow(_sets(self.shingle), "node long, shingles array<long>"), "simhash-sets")
+        both = spread_join(spread_join(open_pairs, sets.toDF("a", "x"), ["a"]), sets.toDF("b", "y"), ["b"])
+        shared = F.size(F.array_intersect("x", "y"))
+        good = both.where(shared / (F.size("x") + F.size("y") - shared) >= self.similarity).select("a", "b")
+        found = materialize(good, "simhash-links")
+        for part in (open_pairs, wanted, sets):
+            release(part)
+        return found
 
 
-def _similar_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _similar_links(members: DataFrame, confirmed, similarity: float) -> DataFrame:
     """(a, b), a > b: links that connect all texts of a bucket that overlap enough.
 
     Each round compares all members of a bucket with some heads, drops the heads, and then the
     buckets whose members are all joined by now: a group of near copies is done after one round,
-    a bucket of unlike texts when each was a head. The first round has one head, later ones up to HEADS.
+    a bucket of unlike texts when each was a head. The first round has one head, each later one MORE
+    times as many as the one before, so a bucket of m unlike texts takes about log m rounds.
     """
-    links, seen, turn = None, None, 0
+    links, seen, heads_now = None, None, 1
     while True:
-        salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HEADS if turn else 1))
-        heads = members.groupBy("print", salt.alias("salt")).agg(F.min(F.struct("node", "place", "size", "root")).alias("head"))
+        salt = F.pmod(F.xxhash64("node", F.lit(heads_now)), F.lit(heads_now))
+        heads = members.groupBy("print", salt.alias("salt")).agg(F.min(F.struct("node", "size", "left", "root")).alias("head"))
         heads = materialize(heads.select("print", "head.*"), "simhash-heads")
         pairs = _with_heads(members, heads, similarity)
         pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
         seen = pairs if seen is None else seen.union(pairs)
-        found = materialize(_overlapping(pairs, sets, similarity), "simhash-links")
+        found = confirmed(pairs)
         links = found if links is None else links.union(found)
         rest = members.join(heads.select("print", "node"), ["print", "node"], "left_anti")
         if not found.isEmpty():
             roots = components(links).withColumnRenamed("root", "found")
             rest = spread_join(rest.drop("root"), roots, ["node"], "left").withColumn("root", F.coalesce("found", "node")).drop("found")
-        rest = materialize(rest.select("print", "node", "place", "size", "root"), "simhash-rest")
+        rest = materialize(rest.select("print", "node", "size", "left", "root"), "simhash-rest")
         mixed = rest.groupBy("print").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("print")
-        members = materialize(spread_join(rest, mixed, ["print"]).select(*rest.columns), "simhash-members")
+        before, members = members, materialize(spread_join(rest, mixed, ["print"]).select(*rest.columns), "simhash-members")
+        for part in (before, heads, rest):
+            release(part)
         if members.isEmpty():
             return links
-        turn += 1
+        heads_now *= MORE
 
 
 def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     docs = df.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()),
-                           T.StructField("size", T.LongType()), T.StructField("prefix", longs)])
-    frequent = df.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
-    rows = materialize(docs.mapInArrow(_prefixes(shingle, similarity, frequent), schema), "simhash")
+    long = T.LongType()
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("mark", long), T.StructField("node", long),
+                           T.StructField("size", long), T.StructField("sketch", T.BinaryType())])
+    rows = materialize(docs.mapInArrow(_texts(shingle), schema), "simhash")
     key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key")
 
     def links_of(classes: DataFrame) -> DataFrame:
         # one row stands for each class; texts that repeat with their id are one again at the end
-        one = rows.groupBy("node").agg(F.min(F.struct(key, "mark", "size", "prefix")).alias("one")).select("node", "one.*")
+        one = rows.groupBy("node").agg(F.min(F.struct(key, "mark", "size", "sketch")).alias("one")).select("node", "one.*")
         one = materialize(one, "simhash-texts")
-        members = materialize(_met(one), "simhash-members")
-        met = one.select("node", "key", "mark").join(members.select("node").distinct(), "node")
-        texts = spread_join(docs.select(key, "mark", "text"), met, ["key", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
-        sets = materialize(texts.mapInArrow(_sets(shingle), "node long, shingles array<long>"), "simhash-sets")
-        return _similar_links(members, sets, similarity)
+        total = one.agg(F.sum("size")).first()[0] or 0
+        groups = max(1, int(total * (1 - similarity)) // ENTRIES)
+        counts = df.sparkSession.sparkContext.broadcast(_counts(docs, shingle))
+        entries = docs.select("text").mapInArrow(_entries(shingle, similarity, counts, groups), "bundle long, entries binary")
+        members = entries.groupBy("bundle").applyInArrow(_shared, "print long, node long, size long, left long")
+        members = materialize(members.withColumn("root", F.col("node")), "simhash-members")
+        found = _similar_links(members, _Confirmed(docs.select(key, "mark", "text"), one, shingle, similarity), similarity)
+        release(one)
+        return found
     return _grouped(rows, links_of)
 
 
@@ -273,9 +401,9 @@ def similar_texts(df: DataFrame, id: str = "doc_id", text: str = "text", shingle
     """(id, component) per row: groups of texts whose word shingles overlap by ``similarity`` or more.
 
     Prefix filtering finds every pair: shingles have one order, rare ones first, and of two texts that
-    overlap enough the rarest shingle they share lies among the first of both. Pairs that meet are
-    confirmed by the whole sets of shingle hashes (64 bits). Texts that differ only in case (A-Z)
-    and white space are one from the start.
+    overlap enough the rarest shingle they share lies among the first of both. Pairs that meet are ruled
+    out by bounds on what they share, else confirmed by the whole sets of shingle hashes (64 bits). Texts
+    that differ only in case (A-Z) and white space are one from the start.
 
     Edge cases are those of ``near_duplicates``; wordless texts are equal to each other.
     """
@@ -285,12 +413,18 @@ def similar_texts(df: DataFrame, id: str = "doc_id", text: str = "text", shingle
 def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` with all their columns, of which exactly one per group of similar texts
     stays: that with the smallest id, NULL last; of texts that share this id the one with the
-    smallest hash, and one of fully repeated rows."""
+    smallest hash, and one of the rows that repeat id and text. Rows that stay do not move, unless the
+    keys of those that go are too many to be broadcast."""
+    none, key, mark = fresh(df.columns, "none", "key", "mark")
     order = F.struct(F.col("id").isNull().alias("none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "mark")
     ranked = F.struct(F.col("id").isNull().alias("none"), "id", "mark", order.alias("at"))
-    first = _by_similarity(df, id, text, shingle, similarity).groupBy("root").agg(F.min(ranked).alias("first")).select("first.at.*")
-    none, key, mark, turn = fresh(df.columns, "none", "key", "mark", "turn")
+    grouped = materialize(_by_similarity(df, id, text, shingle, similarity).select("root", "id", "mark"), "simhash-groups")
+    first = grouped.groupBy("root").agg(F.min(ranked).alias("first")).select("first.at.*").withColumn("stays", F.lit(True))
+    keys = grouped.select(order.alias("at")).select("at.*").groupBy("none", "key", "mark").agg(F.count("*").alias("n"))
+    told = keys.join(first, ["none", "key", "mark"], "left").where("stays is null or n > 1")
+    told = materialize(told.toDF(none, key, mark, "n", "stays"), "simhash-told")
     rows = df.withColumns({none: F.col(id).isNull(), key: F.coalesce(F.col(id).cast("string"), F.lit("")), mark: F.xxhash64(F.col(text))})
-    kept = rows.join(first.toDF(none, key, mark), [none, key, mark], "left_semi")
-    repeats = Window.partitionBy(none, key, mark).orderBy(mark)
-    return kept.withColumn(turn, F.row_number().over(repeats)).where(F.col(turn) == 1).select(*df.columns)
+    single = rows.join(_small(told.select(none, key, mark)), [none, key, mark], "left_anti").select(*own_columns(df))
+    twice = rows.join(_small(told.where("stays").select(none, key, mark)), [none, key, mark], "left_semi")
+    kept = twice.groupBy(none, key, mark).agg(F.first(F.struct(*own_columns(df))).alias("row")).select("row.*")
+    return single.union(kept)

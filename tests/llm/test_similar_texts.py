@@ -77,7 +77,25 @@ def test_the_bound_is_exact(spark):
 def test_the_order_of_shingles_does_not_matter(spark, monkeypatch):
     rows = block_edits(seed=7, bases=5)
     wanted = plain.similar_groups(rows, 0.8)
-    for sample, often, frequent in ((1, 1, 1 << 17), (1, 2, 50)):
-        for name, value in (("SAMPLE", sample), ("OFTEN", often), ("FREQUENT", frequent)):
+    for sample, often, slots in ((1, 1, 1 << 22), (1, 2, 16)):
+        for name, value in (("SAMPLE", sample), ("OFTEN", often), ("SLOTS", slots)):
             monkeypatch.setattr(simhash, name, value)
         assert star(spark, rows) == wanted
+
+
+def test_a_bucket_of_many_unlike_texts(spark):
+    """Half a thousand texts share a passage; few pairs overlap enough, and none with the first text."""
+    dice = random.Random(3)
+    word = lambda: f"w{dice.randrange(10 ** 6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join(passage + [word() for _ in range(60)])) for i in range(500)]
+    rows += [(1000 + i, rows[i][1] + " and more") for i in range(7, 500, 50)]
+    assert star(spark, rows) == plain.similar_groups(rows, 0.8)
+
+
+def test_many_groups_and_remembered_texts(spark, monkeypatch):
+    rows = block_edits(seed=11, bases=4)
+    rows += [(i + 500, t) for i, t in rows]                # exact copies that no worker remembers
+    for name, value in (("ENTRIES", 50), ("SEEN", 0)):
+        monkeypatch.setattr(simhash, name, value)
+    assert star(spark, rows) == plain.similar_groups(rows, 0.8)
