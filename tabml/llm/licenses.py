@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabml.llm.license_texts import TEMPLATES
+
 #: words per fingerprint and fingerprints per window: a shared run of GRAM + WINDOW - 1 words is always met
 GRAM, WINDOW = 3, 2
 #: how far an alignment may drift from its diagonal, and the covered share of a template that is reported
@@ -17,21 +19,9 @@ BAND, COVERAGE = 6, 0.7
 #: words of all templates together, which bounds what every task holds
 MAX_TEMPLATE_WORDS = 200_000
 
-#: notices in common use (fixed values)
-TEMPLATES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT-notice": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-}
-
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
+#: the word before a license's short name in a source file
+SPDX = b"spdx-license-identifier"
 EDGE = b".,;:!?\"'()[]{}<>"
 
 
@@ -121,6 +111,32 @@ class _Index:
             for place in range(len(hashes)) if len(hashes) < 2 * WINDOW else _winnowed(hashes).tolist():
                 self.postings.setdefault(int(hashes[place]), []).append((t, place))
         self.keys = np.array(sorted(self.postings), np.uint64)
+        self.holds = np.zeros((len(self.words) + 1, len(self.templates)), np.int32)      # which words a template has
+        for t, (_, words) in enumerate(self.templates):
+            self.holds[words, t] = 1
+
+    def _dense(self, ids, band: int, coverage: float) -> list[tuple[int, int]]:
+        """(template, diagonal) wherever a window that an alignment can reach holds as many words of a template as
+        it must cover: no place is missed that shares no fingerprint, as its matches are too far apart."""
+        import numpy as np
+
+        found, upto = [], np.zeros((len(ids) + 1, len(self.templates)), np.int32)
+        np.cumsum(self.holds[ids], axis=0, out=upto[1:])
+        sizes = np.array([len(words) for _, words in self.templates])
+        need = np.ceil(coverage * sizes - 1e-9)
+        for t in np.flatnonzero(upto[-1] >= need).tolist():
+            span, column = int(sizes[t]) + 2 * band, upto[:, t]
+            stops = np.minimum(np.arange(1 - span, len(ids)) + span, len(ids))
+            starts = np.maximum(np.arange(1 - span, len(ids)), 0)
+            good = np.flatnonzero(column[stops] - column[starts] >= need[t]) + 1 - span
+            last = None
+            for i in good.tolist():                          # a band reaches as far to both sides of its diagonal
+                if last is None or i > last + band:
+                    last = i
+                    found.append((t, i + band))
+            if len(good):
+                found.append((t, int(good[-1]) + band))
+        return found
 
     def scan(self, raw: bytes, band: int, coverage: float) -> list[tuple]:
         import numpy as np
@@ -134,9 +150,10 @@ class _Index:
         for place in met.tolist():
             for t, at in self.postings[int(hashes[place])]:
                 found.setdefault((t, place - at), place)
+        near = [key for key in self._dense(ids, band, coverage) if key not in found] if len(ids) else []
         rows, text, spans = [], ids.tolist(), None
         told: dict[int, list[tuple[int, int]]] = {}            # spans of a template, in order
-        for t, shift in sorted(found):
+        for t, shift in sorted(found) + near:
             name, template = self.templates[t]
             own = told.setdefault(t, [])
             parts = _between(own, max(0, shift - band), min(len(text), shift + len(template) + band))
@@ -153,7 +170,36 @@ class _Index:
                     parts += [(low, first), (end, high)]
                     a, b = spans[first][0], spans[end - 1][1]
                     rows.append((name, matched, len(template), first, end, len(raw[:a].decode()), len(raw[:b].decode())))
-        return rows
+        return _closest(rows) + _identifiers(raw, words)
+
+
+def _closest(rows: list[tuple]) -> list[tuple]:
+    """Of places that overlap, those of a like template that fits less are left out: a version 3 notice is no
+    version 2 notice, though all words but one are the same."""
+    rows = sorted(rows, key=lambda r: r[3:5])
+    keep = [True] * len(rows)
+    for i, a in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            b = rows[j]
+            if b[3] >= a[4]:
+                break
+            for k, (one, other) in ((i, (a, b)), (j, (b, a))):
+                if other[1] * one[2] > one[1] * other[2] and 5 * other[2] >= 4 * one[2]:
+                    keep[k] = False
+    return [r for r, kept in zip(rows, keep) if kept]
+
+
+def _identifiers(raw: bytes, words: list[bytes]) -> list[tuple]:
+    """Places of ``SPDX-License-Identifier: name``."""
+    places = [i for i, w in enumerate(words[:-1]) if SPDX in w and _plain(w) == SPDX]
+    if not places:
+        return []
+    spans, rows = [m.span() for m in TOKEN.finditer(raw)], []
+    for i in places:
+        a, b = spans[i][0], spans[i + 1][1]
+        name = _plain(raw[spans[i + 1][0]:b]).decode()
+        rows.append((f"SPDX:{name}", 2, 2, i, i + 2, len(raw[:a].decode()), len(raw[:b].decode())))
+    return rows
 
 
 def _scanner(shared, band: int, coverage: float, schema):
@@ -172,16 +218,20 @@ def _scanner(shared, band: int, coverage: float, schema):
 def scan(df: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, band: int = BAND,
          coverage: float = COVERAGE) -> DataFrame:
     """(id, license, matched_words, template_words, coverage, first_word, end_word, begin, end): one row
-    per place where a text holds at least ``coverage`` of a template's words in order.
+    per place where the best local alignment of a template (2 for a word that fits, -1 for one that does not,
+    drifting by ``band`` words at most) covers at least ``coverage`` of the template's words.
 
     Words are compared in lower case (A-Z) without punctuation at their ends. Every fingerprint of a
-    text that the inverted index of winnowed template fingerprints knows makes a candidate, and a
-    banded alignment around its diagonal tells matched words and span (words and characters, end
-    exclusive). Texts are scanned whole, each in its own task without any exchange; what tasks share
-    is the templates, at most MAX_TEMPLATE_WORDS words.
-
-    NULL and empty texts give no rows. NULL ids and repeated rows are scanned like others. Templates
-    under three words are refused. Other columns are not looked at.
+    text that the inverted index of winnowed template fingerprints knows makes a candidate; so does every
+    window with enough words of a template, as scattered changes leave no fingerprint. A banded alignment
+    around the candidate's diagonal tells matched words and span (words and characters, end exclusive).
+    Of overlapping places of templates of about one length only those stay that fit best. The two words
+    ``SPDX-License-Identifier: name`` give a row with license ``SPDX:name``.
+
+    Texts are scanned whole, each in its own task without any exchange; what tasks share is the templates, at
+    most MAX_TEMPLATE_WORDS words. A very long text is held by its task as a few numbers per word and template.
+    NULL and empty texts give no rows. NULL ids and repeated rows are scanned like others. No rows: no rows.
+    Templates under three words are refused. Other columns are not looked at.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     import pyarrow as pa
