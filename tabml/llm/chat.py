@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabml.llm.common import fresh
+from tabml.llm.common import fresh, named
 
 #: the template: a turn is HEAD + label + ": " + text + END
 HEAD, END = "### ", "</turn>\n"
@@ -119,7 +119,7 @@ def canonical(df: DataFrame, record: list[str], mappings=MAPPINGS) -> DataFrame:
         fits = F.col(mark).isin(*_fingerprints_of(m))
         layout = F.when(fits, F.lit(m.name)).otherwise(layout)
         turns = F.when(fits, _turns(m, set(record))).otherwise(turns)
-    rest = [c for c in df.columns if c.lower() not in ("layout", "turns")]
+    rest = [named(c) for c in df.columns if c.lower() not in ("layout", "turns")]
     return marked.select(*rest, layout.alias("layout"), turns.alias("turns"))
 
 
@@ -158,7 +158,7 @@ def formatted(df: DataFrame, turns: str = "turns", loss_roles=("assistant",)) ->
         own = F.array(F.struct(begin.alias("start"), n.alias("length")))
         return F.struct((begin + n + len(END)).alias("at"), F.when(p["loss"], F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
 
-    rest = [c for c in df.columns if c.lower() not in ("formatted", "loss_spans")]
+    rest = [named(c) for c in df.columns if c.lower() not in ("formatted", "loss_spans")]
     text = F.array_join(F.transform(F.col(parts), lambda p: F.concat(p["head"], p["text"], F.lit(END))), "")
     return df.withColumn(parts, piece).select(*rest, text.alias("formatted"), F.aggregate(F.col(parts), start, step)["spans"].alias("loss_spans"))
 

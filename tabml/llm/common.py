@@ -23,9 +23,13 @@ def fresh(taken, *stems: str) -> list[str]:
     return names
 
 
+def named(name: str) -> Column:
+    """A column by its name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def own_columns(df: DataFrame) -> list[Column]:
-    """All columns of ``df``, whatever characters their names hold."""
-    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+    return [named(name) for name in df.columns]
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

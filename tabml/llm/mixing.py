@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabml.llm.common import fresh, spread_join, words_of
+from tabml.llm.common import fresh, own_columns, spread_join, words_of
 from tabml.session import materialize
 
 #: documents per range of keys; a source has as many ranges as it needs
@@ -135,7 +135,7 @@ def mixed(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     own = df.withColumns({
         some: F.col(source).isNotNull(), name: F.coalesce(F.col(source).cast("string"), F.lit("")),
         size: F.size(words_of(F.col(text))).cast("long"), key: _key(F.col(id), F.col(text), seed)})
-    packed = own.select(F.struct(*df.columns).alias("row"), *[F.col(n).alias(m) for n, m in zip(names, ("some", "name", "size", "key"))])
+    packed = own.select(F.struct(*own_columns(df)).alias("row"), *[F.col(n).alias(m) for n, m in zip(names, ("some", "name", "size", "key"))])
     told = _with_plan(packed, sources).where("size > 0")
     times = (_taken(True) / F.col("size")).cast("int")
     return told.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("again")).select("row.*")

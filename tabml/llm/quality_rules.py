@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabml.llm.common import fresh
+from tabml.llm.common import fresh, own_columns
 from tabml.llm.text_stats import BASE, ratio, with_stats
 
 
@@ -66,4 +66,4 @@ def passing(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``df`` that pass the base rule and the table, with all their columns."""
     [stats] = fresh(df.columns, "stats")
     rows = with_stats(df, text, stats, more=False)
-    return rows.where(~base_failed(F.col(stats)) & (F.size(compiled(F.col(stats), rules)) == 0)).select(*df.columns)
+    return rows.where(~base_failed(F.col(stats)) & (F.size(compiled(F.col(stats), rules)) == 0)).select(*own_columns(df))

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabml.llm.common import fresh
+from tabml.llm.common import fresh, own_columns
 from tabml.llm.text_stats import once, ratio, with_stats
 from tabml.session import materialize
 
@@ -38,7 +38,7 @@ FEATURES = {
 def with_features(df: DataFrame, text: str, into: str) -> DataFrame:
     [stats] = fresh([*df.columns, into], "stats")
     rows = with_stats(df, text, stats)
-    return rows.select(*df.columns, once(F.struct(*[f(F.col(stats)).alias(n) for n, f in FEATURES.items()])).alias(into))
+    return rows.select(*own_columns(df), once(F.struct(*[f(F.col(stats)).alias(n) for n, f in FEATURES.items()])).alias(into))
 
 
 @dataclass(frozen=True)
@@ -136,4 +136,4 @@ def score(model: RuleEnsemble, df: DataFrame, id: str = "doc_id", text: str = "t
 def accepted(model: RuleEnsemble, df: DataFrame, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``df`` scored at least ``threshold``, with all their columns."""
     [f] = fresh(df.columns, "features")
-    return with_features(df, text, f).where(model.score(F.col(f)) >= threshold).select(*df.columns)
+    return with_features(df, text, f).where(model.score(F.col(f)) >= threshold).select(*own_columns(df))

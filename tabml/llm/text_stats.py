@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabml.llm.common import WORD, fresh, words_of
+from tabml.llm.common import WORD, fresh, own_columns, words_of
 
 #: frequent function words, by language (fixed values)
 STOP_WORDS = {
@@ -67,8 +67,8 @@ def with_stats(df: DataFrame, text: str, into: str, more: bool = True, window: i
     of ``window`` words found twice or more, the first included; with ``more`` also characters, stop
     words, lines with a word, distinct words, upper-case letters, ! and ? marks, digits and bars.
     """
-    columns = df.columns
-    whole, words, lines = fresh(columns, "whole", "words", "lines")
+    columns = own_columns(df)
+    whole, words, lines = fresh(df.columns, "whole", "words", "lines")
     df = df.withColumn(whole, F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumn(words, words_of(F.col(whole)))
     df = df.withColumn(lines, F.filter(F.split(F.col(whole), "\n"), lambda line: line.rlike(WORD)))

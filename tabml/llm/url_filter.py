@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabml.llm.common import ascii_lower, fresh, spread_join
+from tabml.llm.common import ascii_lower, fresh, named, spread_join
 from tabml.session import materialize
 
 #: filter bits per listed key, and the most bytes of a filter; beyond them only more rows are joined
@@ -102,7 +102,7 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     [both] = fresh(df.columns, "both")
     won = hits.groupBy(F.concat("host", F.lit(" "), "path").alias(both)).agg(
         F.max_by("key", place).alias("rule"), F.max_by("verdict", place).alias("verdict"))
-    rest = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    rest = [named(c) for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     own = df.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     own = own.withColumn(both, F.concat("host", F.lit(" "), "path"))
     told = spread_join(own, won, [both], "left")
