@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 from math import ceil
@@ -120,23 +121,41 @@ OFTEN, ENTRIES = 4, 1 << 18
 MORE = 16
 #: counters of a sketch; nodes that a worker remembers having seen; bytes of keys that may be broadcast
 SKETCH, SEEN, SMALL_BYTES = 256, 1 << 17, 64 << 20
+#: bytes of a text that are split at once, texts whose sets are sent on at once
+RUN_BYTES, SET_ROWS = 1 << 18, 1 << 10
+GAP_BYTE = re.compile(rb"[\x20\x09-\x0D]")
 #: sizes beyond are not told to buckets, which then rule nothing out by them
 LARGE = (1 << 16) - 1
 
 
+def _word_runs(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, RUN_BYTES of it at a time."""
+    start = 0
+    while start < len(raw):
+        gap = GAP_BYTE.search(raw, start + RUN_BYTES)
+        end = gap.start() if gap else len(raw)
+        yield raw[start:end].split()
+        start = end
+
+
 def _shingles(raw: bytes | None, shingle: int) -> tuple:
     """(hash of the words in order, sorted distinct hashes of the shingles); wordless texts have none."""
     import numpy as np
-    from xxhash import xxh64_intdigest
-
-    words = (raw or b"").lower().split()
-    if not words:
+    from xxhash import xxh64, xxh64_intdigest
+
+    whole, parts, tail, count = xxh64(seed=SEED), [], [], 0
+    for words in filter(None, _word_runs((raw or b"").lower())):
+        whole.update((b" " if count else b"") + b" ".join(words))
+        count += len(words)
+        tail += words
+        if len(tail) >= shingle:
+            parts.append(np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(tail[i:] for i in range(shingle)))), np.uint64)))
+            tail = tail[len(tail) - shingle + 1:]
+    if not count:
         return 0, np.zeros(0, np.int64)
-    size, parts = min(shingle, len(words)), []
-    for start in range(0, len(words) - size + 1, SLICE):
-        part = words[start:start + SLICE + size - 1]
-        parts.append(np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(part[i:] for i in range(size)))), np.uint64)))
-    return int(np.uint64(xxh64_intdigest(b" ".join(words), SEED)).view(np.int64)), np.unique(np.concatenate(parts)).view(np.int64)
+    if count < shingle:
+        parts.append(np.array([xxh64_intdigest(b" ".join(tail), SEED)], np.uint64))
+    return int(np.uint64(whole.intdigest()).view(np.int64)), np.unique(np.concatenate(parts)).view(np.int64)
 
 
 def _sketch(hashes) -> bytes:
@@ -151,10 +170,11 @@ def _texts(shingle: int):
         import pyarrow as pa
 
         for batch in batches:
-            found = [_shingles(x.as_py(), shingle) for x in batch.column(2).cast(pa.binary())]
+            found = [(n, len(h), _sketch(h)) for n, h in (_shingles(x.as_py(), shingle) for x in batch.column(2).cast(pa.binary()))]
+            node, size, sketch = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([len(h) for _, h in found], pa.int64()),
-                 pa.array([_sketch(h) for _, h in found], pa.binary())], ["id", "mark", "node", "size", "sketch"])
+                [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary())],
+                ["id", "mark", "node", "size", "sketch"])
     return run
 
 
@@ -163,7 +183,7 @@ def _sets(shingle: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b[i:i + SET_ROWS] for b in batches for i in range(0, b.num_rows, SET_ROWS)):
             found = [_shingles(x.as_py(), shingle)[1] for x in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
     return run

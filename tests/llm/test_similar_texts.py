@@ -99,3 +99,15 @@ def test_many_groups_and_remembered_texts(spark, monkeypatch):
     for name, value in (("ENTRIES", 50), ("SEEN", 0)):
         monkeypatch.setattr(simhash, name, value)
     assert star(spark, rows) == plain.similar_groups(rows, 0.8)
+
+
+def test_texts_in_runs(monkeypatch):
+    """However a long text is cut, hash and shingles are those of its words."""
+    dice = random.Random(2)
+    for text in [b"", b" ", b"A b", b"a b c d", b"  x\ty\n", b" ".join(b"w%d" % dice.randrange(50) for _ in range(300)), b"z" * 500 + b" a b c d e f"]:
+        monkeypatch.setattr(simhash, "RUN_BYTES", 1 << 18)
+        whole = simhash._shingles(text, 5)
+        for size in (1, 7, 64):
+            monkeypatch.setattr(simhash, "RUN_BYTES", size)
+            part = simhash._shingles(text, 5)
+            assert part[0] == whole[0] and part[1].tolist() == whole[1].tolist()
