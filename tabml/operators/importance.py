@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabml.functions.columns import col
 from tabml.functions.ranks import row_hash
 from tabml.operators import evaluate as E
+from tabml.session import materialize
 
 TOP = 5                     # fixed value: features listed in a report
 SHUFFLE_ROWS = 100_000      # rows of a range of the hash order, about; the result does not depend on it
@@ -66,22 +67,23 @@ def permuted(df: DataFrame, key: list[str], features: list[str], seed: int = 42,
     In an order drawn anew for each feature (by a hash of the key) every row takes the value of the
     next row, the last one that of the first. The order is cut into ranges of about ``shuffle_rows``
     rows; the last row of a range takes the first value of the next range that has rows, so the
-    result is the same however many ranges there are and no task orders the whole table.
+    result is the same however many ranges there are and no task orders the whole table. Only hash, row
+    number and value move for a feature; the rows themselves are written once and scanned once.
     """
-    ranges = max(1, -(-df.count() // shuffle_rows))
-    dealt = df
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "permuted")
+    ranges = max(1, -(-rows.count() // shuffle_rows))
+    dealt = rows
     for i, f in enumerate(features):
-        dealt = dealt.withColumn("_hash", row_hash(key, f"{seed}|{f}"))
+        narrow = rows.select("_row", row_hash(key, f"{seed}|{f}").alias("_hash"), F.struct(col(f).alias("v")).alias("_value"))
         share = F.conv(F.substring("_hash", 1, 12), 16, 10).cast("double") / float(16 ** 12)
-        dealt = dealt.withColumn("_range", F.floor(share * ranges))
+        narrow = narrow.withColumn("_range", F.floor(share * ranges))
         order = Window.partitionBy("_range").orderBy("_hash")
-        value = F.struct(col(f).alias("v"))
-        firsts = dealt.groupBy("_range").agg(F.min_by(value, "_hash").alias("_first"))     # one row per range
+        firsts = narrow.groupBy("_range").agg(F.min_by("_value", "_hash").alias("_first"))     # one row per range
         along = Window.orderBy("_range")
         whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         following = firsts.select("_range", F.coalesce(F.lead("_first").over(along), F.first("_first").over(whole)).alias("_after"))
-        dealt = dealt.withColumn("_own", F.lead(value).over(order)).join(following, "_range")
-        dealt = dealt.withColumn(f"_next_{i}", F.coalesce("_own", "_after")["v"]).drop("_hash", "_range", "_own", "_after")
+        taken = narrow.withColumn("_own", F.lead("_value").over(order)).join(following, "_range")
+        dealt = dealt.join(taken.select("_row", F.coalesce("_own", "_after")["v"].alias(f"_next_{i}")), "_row")
     keep = [c for c in df.columns if c not in features]
     versions = [F.struct(F.lit(None).cast("string").alias("_feature"), *[col(f).alias(f) for f in features])]
     for i, f in enumerate(features):
