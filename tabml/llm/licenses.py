@@ -20,6 +20,8 @@ BAND, COVERAGE = 6, 0.7
 MAX_TEMPLATE_WORDS = 200_000
 
 TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
+#: templates of so many words are looked for in every window, longer ones by their fingerprints
+SHORT = 16
 #: the word before a license's short name in a source file
 SPDX = b"spdx-license-identifier"
 EDGE = b".,;:!?\"'()[]{}<>"
@@ -111,31 +113,31 @@ class _Index:
             for place in range(len(hashes)) if len(hashes) < 2 * WINDOW else _winnowed(hashes).tolist():
                 self.postings.setdefault(int(hashes[place]), []).append((t, place))
         self.keys = np.array(sorted(self.postings), np.uint64)
-        self.holds = np.zeros((len(self.words) + 1, len(self.templates)), np.int32)      # which words a template has
+        self.sizes = np.array([len(words) for _, words in self.templates])
+        self.holds = np.zeros((len(self.templates), len(self.words) + 1), bool)      # which words a template has
         for t, (_, words) in enumerate(self.templates):
-            self.holds[words, t] = 1
+            self.holds[t, words] = True
 
     def _dense(self, ids, band: int, coverage: float) -> list[tuple[int, int]]:
         """(template, diagonal) wherever a window that an alignment can reach holds as many words of a template as
         it must cover: no place is missed that shares no fingerprint, as its matches are too far apart."""
         import numpy as np
 
-        found, upto = [], np.zeros((len(ids) + 1, len(self.templates)), np.int32)
-        np.cumsum(self.holds[ids], axis=0, out=upto[1:])
-        sizes = np.array([len(words) for _, words in self.templates])
-        need = np.ceil(coverage * sizes - 1e-9)
-        for t in np.flatnonzero(upto[-1] >= need).tolist():
-            span, column = int(sizes[t]) + 2 * band, upto[:, t]
-            stops = np.minimum(np.arange(1 - span, len(ids)) + span, len(ids))
-            starts = np.maximum(np.arange(1 - span, len(ids)), 0)
-            good = np.flatnonzero(column[stops] - column[starts] >= need[t]) + 1 - span
-            last = None
-            for i in good.tolist():                          # a band reaches as far to both sides of its diagonal
-                if last is None or i > last + band:
-                    last = i
-                    found.append((t, i + band))
-            if len(good):
-                found.append((t, int(good[-1]) + band))
+        found, member = [], self.holds[:, ids]
+        for t in np.flatnonzero((self.sizes <= SHORT) & (member.sum(axis=1) >= np.ceil(coverage * self.sizes - 1e-9))).tolist():
+            need, span = int(np.ceil(coverage * self.sizes[t] - 1e-9)), int(self.sizes[t]) + 2 * band
+            places = np.flatnonzero(member[t])
+            first, last = places[:len(places) - need + 1], places[need - 1:]
+            near = last - first < span
+            told, least = -span, need - int(self.sizes[t]) + len(set(self.templates[t][1]))
+            for i in np.flatnonzero(near).tolist():
+                low, high = int(last[i]) - span + 1, int(first[i])                             # windows that begin from low to high
+                if len(set(ids[places[places.searchsorted(low):places.searchsorted(high + span)]].tolist())) < least:
+                    continue                                                                   # repeats of a few words
+                for begin in (*range(max(low, told + band + 1), high, band + 1), high):        # a band reaches as far to both sides
+                    if begin > told:
+                        told = begin
+                        found.append((t, begin + band))
         return found
 
     def scan(self, raw: bytes, band: int, coverage: float) -> list[tuple]:
@@ -191,7 +193,9 @@ def _closest(rows: list[tuple]) -> list[tuple]:
 
 def _identifiers(raw: bytes, words: list[bytes]) -> list[tuple]:
     """Places of ``SPDX-License-Identifier: name``."""
-    places = [i for i, w in enumerate(words[:-1]) if SPDX in w and _plain(w) == SPDX]
+    if SPDX not in raw.lower():
+        return []
+    places = [i for i, w in enumerate(words[:-1]) if _plain(w) == SPDX]
     if not places:
         return []
     spans, rows = [m.span() for m in TOKEN.finditer(raw)], []
@@ -223,7 +227,8 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[
 
     Words are compared in lower case (A-Z) without punctuation at their ends. Every fingerprint of a
     text that the inverted index of winnowed template fingerprints knows makes a candidate; so does every
-    window with enough words of a template, as scattered changes leave no fingerprint. A banded alignment
+    window with enough words of a template of at most SHORT words, as scattered changes leave no
+    fingerprint there (a longer one is met by any run of GRAM + WINDOW - 1 words). A banded alignment
     around the candidate's diagonal tells matched words and span (words and characters, end exclusive).
     Of overlapping places of templates of about one length only those stay that fit best. The two words
     ``SPDX-License-Identifier: name`` give a row with license ``SPDX:name``.
