@@ -15,6 +15,7 @@ from pyspark.ml import regression as R
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabml.operators.bayes import MultinomialBayes
 from tabml.operators.boost import Boosting, Settings
 from tabml.operators.knn import knn_classify, knn_regress
 from tabml.operators.svm import LANDMARKS, SupportVectors
@@ -140,7 +141,7 @@ BUILDERS = {
     "SVC": lambda f, p: SupportVectors("class", f.n_classes, p.get("C", 1.0), landmarks=p.get("landmarks", LANDMARKS)),
     "KNeighborsClassifier": lambda f, p: NearestNeighbours(False, p.get("n_neighbors", 5)),
     "GaussianNB": lambda f, p: C.NaiveBayes(modelType="gaussian"),
-    "MultinomialNB": lambda f, p: C.NaiveBayes(modelType="multinomial", smoothing=p.get("alpha", 1.0)),
+    "MultinomialNB": lambda f, p: MultinomialBayes(p.get("alpha", 1.0)),
     "LinearRegression": lambda f, p: R.LinearRegression(regParam=0.0, solver="normal"),
     "Ridge": _ridge,
     "RandomForestRegressor": lambda f, p: _forest(R.RandomForestRegressor, p, "all"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tabml.functions.columns import col, kind_of, present, require_columns
 from tabml.operators import evaluate as E
+from tabml.operators.bayes import BayesModel
 from tabml.operators.boost import Boosted
 from tabml.operators.svm import KernelMachine
 from tabml.operators.models import NearestNeighbours, build, resolve, training_facts
@@ -104,6 +105,8 @@ class Trained:
         """(field, value) about the model."""
         last = self.model.stages[-1] if isinstance(self.model, PipelineModel) else self.model
         fitted = {p.name: str(v) for p, v in last.extractParamMap().items()} if hasattr(last, "extractParamMap") else {}
+        if isinstance(last, BayesModel):
+            fitted = {"alpha": str(last.alpha)}
         if isinstance(last, (Boosted, KernelMachine)):
             own = last.settings if isinstance(last, KernelMachine) else vars(last.settings)
             fitted = {k: str(v) for k, v in own.items()}
@@ -116,7 +119,7 @@ class Trained:
         self.prep.save(f"{path}/prep")
         self.model.save(f"{path}/model")
         kind = "knn" if isinstance(self.model, NearestNeighbours) else "ward" if isinstance(self.model, WardModel) else "boosted" if isinstance(self.model, Boosted) else \
-            "kernel" if isinstance(self.model, KernelMachine) else "spark"
+            "kernel" if isinstance(self.model, KernelMachine) else "bayes" if isinstance(self.model, BayesModel) else "spark"
         write_json(f"{path}/about", [kind, self.name, self.task, self.target, self.features, self.labels, self.params])
 
 
@@ -126,8 +129,8 @@ def load_trained(spark: SparkSession, path: str) -> Trained:
         model = NearestNeighbours.load(f"{path}/model", spark)
     elif kind == "ward":
         model = WardModel.load(f"{path}/model")
-    elif kind in ("boosted", "kernel"):
-        model = {"boosted": Boosted, "kernel": KernelMachine}[kind].load(f"{path}/model")
+    elif kind in ("boosted", "kernel", "bayes"):
+        model = {"boosted": Boosted, "kernel": KernelMachine, "bayes": BayesModel}[kind].load(f"{path}/model")
     else:
         model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
     return Trained(name, task, target, features, labels, Prep.load(f"{path}/prep"), model, params)
