@@ -1,6 +1,6 @@
 """Gradient boosting of regression trees by histograms (Chen & Guestrin 2016; Friedman 2001).
 
-Rows are cut into bins once. A level of the trees of a round is one job: tasks add up gradient and
+Rows are cut into bins once and travel packed, thousands in one cell. A level of the trees of a round is one job: tasks add up gradient and
 hessian per (node, feature, bin), one exchange brings the sums of a node's feature together, and
 running sums give the gain of every cut. The driver holds trees and a best cut per node and feature.
 Once a node's rows fit a group they are handed over: rows are grouped by node and each group grows the
@@ -27,7 +27,10 @@ MISSING = 255              # the bin of missing values, behind all others
 BITS, HEADROOM = 38, 8     # bits of a single gradient, and by how much gradients may outgrow those of the start
 HISTOGRAM_CELLS = 1 << 22  # nodes times features times bins of one pass, which bounds a task's memory
 GROUP_CELLS = 1 << 22      # rows times features of a node that is finished in a group of its own
-KEPT_ROUNDS = 10           # rounds whose trees are applied anew in each pass, before margins are stored again
+GROUP_SHARE = 16           # large tables are grown by jobs until nodes hold such a part of all rows, so that many groups share the rest
+CHUNK_ROWS, CHUNK_CELLS = 1 << 14, 1 << 20  # rows and bins that are packed into one cell
+TASK_CELLS = 1 << 20       # rows times features that a task goes through in a pass, about
+KEPT_ROUNDS = 25           # rounds that each add to the margins of the one before; then margins start from the bins again
 
 
 @dataclass(frozen=True)
@@ -104,8 +107,17 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _bytes_matrix(column, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+def _unpacked(column, kind, width: int) -> np.ndarray:
+    """(rows, width) of all cells of an Arrow column."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _chunks(batches: Iterator, width: int, classes: int) -> Iterator[tuple]:
+    """(bins, label, margins) of each packed cell; margins None where none are stored yet."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bins, label, *margins = (np.frombuffer(column[i].as_buffer(), kind) for column, kind in zip(batch.columns, (np.uint8, float, float)))
+            yield bins.reshape(-1, width), label, margins[0].reshape(-1, classes) if margins else None
 
 
 def binned(values: np.ndarray, edges: list) -> np.ndarray:
@@ -116,9 +128,10 @@ def binned(values: np.ndarray, edges: list) -> np.ndarray:
     return out
 
 
-def margins_of(trees: list, base: list, bins: np.ndarray) -> np.ndarray:
-    """(rows, classes): the base and the leaves of all rounds (a list of one tree per class each)."""
-    out = np.tile(np.array(base, float), (len(bins), 1))
+def margins_of(trees: list, base: list | np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """(rows, classes): the base (per class, or per row and class) and the leaves of all rounds (a list of one tree per class each)."""
+    base = np.array(base, float)
+    out = base if base.ndim == 2 else np.tile(base, (len(bins), 1))
     for round_trees in trees:
         for k, tree in enumerate(round_trees):
             out[:, k] += tree.leaves(bins)
@@ -154,32 +167,34 @@ def _to_bins(edges: list):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            bins = binned(_matrix(batch.column(0)), edges)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), batch.column(1)], ["bins", "label"])
+        step = max(1, min(CHUNK_ROWS, CHUNK_CELLS // len(edges)))
+        for batch in (b[i:i + step] for b in batches for i in range(0, b.num_rows, step)):
+            bins, label = binned(_matrix(batch.column(0)), edges), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (bins, label)], ["bins", "label"])
     return run
 
 
 def _with_margins(trees: list, base: list, width: int):
+    """Adds the leaves of ``trees`` to the margins, which start at the base."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            margins = margins_of(trees, base, _bytes_matrix(batch.column(0), width))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in margins], pa.binary())], ["bins", "label", "margins"])
+        for bins, label, margins in _chunks(batches, width, len(base)):
+            margins = margins_of(trees, base if margins is None else margins, bins)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (bins, label, margins)], ["bins", "label", "margins"])
     return run
 
 
 def add_sums(sums: np.ndarray, slot: np.ndarray, bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
     """Adds rows to sums (g, h, n) by feature, slot and bin; rows with a negative slot are left out."""
-    count, own = sums.shape[2], slot >= 0
-    for start in range(0, int(own.sum()), 1 << 14):             # sums of so few are exact in a double
-        rows = np.flatnonzero(own)[start:start + (1 << 14)]
-        at = slot[rows] * (MISSING + 1)
-        for j in range(bins.shape[1]):
-            for s, weight in enumerate((g[rows], h[rows], None)):
-                sums[s, j] += np.bincount(at + bins[rows, j], weight, count * (MISSING + 1)).astype(np.int64).reshape(count, -1)
+    count, places = sums.shape[2], np.flatnonzero(slot >= 0)
+    for start in range(0, len(places), 1 << 14):                # sums of so few are exact in a double
+        rows = places[start:start + (1 << 14)]
+        at, weights, columns = slot[rows] * (MISSING + 1), (g[rows], h[rows], None), np.ascontiguousarray(bins[rows].T)
+        for j, column in enumerate(columns):
+            cell = at + column
+            for s, weight in enumerate(weights):
+                sums[s, j] += np.bincount(cell, weight, count * (MISSING + 1)).astype(np.int64).reshape(count, -1)
 
 
 def _divide(tree: Tree, node: int, cut: dict, bits: tuple[int, int], settings: Settings, first: bool) -> int | None:
@@ -224,48 +239,47 @@ def grown(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, bits: tupl
     return tree
 
 
-def _handed(pending: list, growing: list, slots: dict, settings: Settings, width: int, bits: tuple[int, int]):
-    """(slot, bins, g, h) of the rows of the nodes that are handed over."""
+def _handed(growing: list, slots: dict, settings: Settings, width: int, bits: tuple[int, int]):
+    """(slot, bins, g, h), packed, of the rows of the nodes that are handed over."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            bins, g, h = _derived(batch, pending, settings, width, bits)
+        places = _places(growing, slots)
+        for chunk in _chunks(batches, width, settings.classes):
+            bins, g, h = _derived(chunk, settings, bits)
             for k, tree in enumerate(growing):
-                place = np.full(len(tree.feature), -1)
-                for (other, node), slot in slots.items():
-                    if other == k:
-                        place[node] = slot
-                slot = place[tree.nodes(bins)]
-                own = slot >= 0
-                if own.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(slot[own]), batch.column(0).filter(pa.array(own)), pa.array(g[own, k].astype(np.int64)), pa.array(h[own, k].astype(np.int64))],
-                        ["slot", "bins", "g", "h"])
+                slot = places[k][tree.nodes(bins)]
+                order = np.argsort(slot, kind="stable")[np.count_nonzero(slot < 0):]
+                if len(order):
+                    names, starts = np.unique(slot[order], return_index=True)
+                    cells = [[x[part].tobytes() for part in np.split(order, starts[1:])] for x in (bins, g[:, k], h[:, k])]
+                    yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(c, pa.binary()) for c in cells)], ["slot", "bins", "g", "h"])
     return run
 
 
-def _derived(batch, pending: list, settings: Settings, width: int, bits: tuple[int, int]):
-    """Bins, gradients and hessians of a batch of (bins, label, margins), the latter in units."""
-    bins = _bytes_matrix(batch.column(0), width)
-    margins = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(len(bins), settings.classes)
-    margins = margins + margins_of(pending, [0.0] * settings.classes, bins)
-    g, h = gradients(settings.objective, margins, batch.column(1).to_numpy(zero_copy_only=False), settings.newton)
+def _places(growing: list, slots: dict) -> list:
+    """Per class, the slot of each node of its tree or -1."""
+    places = [np.full(len(t.feature), -1) for t in growing]
+    for (k, node), slot in slots.items():
+        places[k][node] = slot
+    return places
+
+
+def _derived(chunk: tuple, settings: Settings, bits: tuple[int, int]):
+    """Bins, gradients and hessians of a chunk, the latter in units."""
+    bins, label, margins = chunk
+    g, h = gradients(settings.objective, margins, label, settings.newton)
     return bins, np.rint(np.ldexp(g, bits[0])), np.rint(np.ldexp(h, bits[1]))
 
 
-def _histograms(pending: list, growing: list, slots: dict, settings: Settings, width: int, bits: tuple[int, int]):
+def _histograms(growing: list, slots: dict, settings: Settings, width: int, bits: tuple[int, int]):
     """(slot, feature, sums): sums (g, h, n) of a task's rows per open node and bin, as bytes. ``slots``: number by (class, node)."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        count = len(slots)
-        sums = np.zeros((3, width, count, MISSING + 1), np.int64)
-        places = [np.full(len(t.feature), -1) for t in growing]
-        for (k, node), slot in slots.items():
-            places[k][node] = slot
-        for batch in batches:
-            bins, g, h = _derived(batch, pending, settings, width, bits)
+        sums, places = np.zeros((3, width, len(slots), MISSING + 1), np.int64), _places(growing, slots)
+        for chunk in _chunks(batches, width, settings.classes):
+            bins, g, h = _derived(chunk, settings, bits)
             for k, tree in enumerate(growing):
                 add_sums(sums, places[k][tree.nodes(bins)], bins, g[:, k], h[:, k])
         slot, feature = np.nonzero(sums[2].any(axis=2).T)
@@ -401,31 +415,34 @@ class Boosting:
         n, base, largest = self._start(rows)
         first = rows.first()
         edges = _edges(rows, len(first["values"]), s.bins) if first else []
-        bins = rows.mapInArrow(_to_bins(edges), "bins binary, label double").persist(StorageLevel.MEMORY_AND_DISK)
+        tasks = max(prepared.sparkSession.sparkContext.defaultParallelism, n * len(edges) // TASK_CELLS)     # a pass is short: few tasks
+        bins = rows.mapInArrow(_to_bins(edges), "bins binary, label binary").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
         bins.count()
         rows.unpersist()
         model, bits = Boosted(s, base, edges, []), (_bits(n, largest), _bits(n, 1.0))
-        state, stored = None, 0
+        state = None
         for turn in range(s.rounds if n and edges else 0):
-            if turn % KEPT_ROUNDS == 0:                    # always from the bins: lineage stays one step long
-                state, before = bins.mapInArrow(_with_margins(list(model.trees), base, len(edges)), "bins binary, label double, margins binary"), state
-                state, stored = state.persist(StorageLevel.MEMORY_AND_DISK), turn
-                if before is not None:
-                    before.unpersist()
-            model.trees.append(self._round(state, model.trees[stored:], n, len(edges), bits))
+            anew = turn % KEPT_ROUNDS == 0                 # from the bins, so that lineage stays bounded
+            trees, before = model.trees if anew else model.trees[-1:], state
+            state = (bins if anew else before).mapInArrow(_with_margins(list(trees), base, len(edges)), "bins binary, label binary, margins binary")
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            model.trees.append(self._round(state, n, len(edges), bits))
+            if before is not None:
+                before.unpersist()
         if state is not None:
             state.unpersist()
         bins.unpersist()
         return model
 
-    def _round(self, state: DataFrame, pending: list, n: int, width: int, bits: tuple[int, int]) -> list:
+    def _round(self, state: DataFrame, n: int, width: int, bits: tuple[int, int]) -> list:
         """One tree per class: level by level while nodes are large, the rest in a group per node."""
         s = self.settings
         growing = [Tree() for _ in range(s.classes)]
         open_nodes, small, rows = [(k, 0) for k in range(s.classes)], {}, {(k, 0): n for k in range(s.classes)}
         at_once = max(1, HISTOGRAM_CELLS // (width * (MISSING + 1)))
+        fits = min(GROUP_CELLS, max(GROUP_CELLS // 4, n * width // GROUP_SHARE))
         for level in range(s.depth):
-            small |= {key: s.depth - level for key in open_nodes if 1 < rows[key] * width <= GROUP_CELLS or not level and rows[key] == 1}
+            small |= {key: s.depth - level for key in open_nodes if 1 < rows[key] * width <= fits or not level and rows[key] == 1}
             open_nodes = [key for key in open_nodes if key not in small and rows[key] > 1]
             if not open_nodes:
                 break
@@ -433,7 +450,7 @@ class Boosting:
             for start in range(0, len(open_nodes), at_once):
                 slots = {key: i for i, key in enumerate(open_nodes[start:start + at_once])}
                 tasks = max(1, len(slots) * width * (MISSING + 1) // CELLS_PER_TASK)
-                sums = state.mapInArrow(_histograms(list(pending), growing, slots, s, width, bits), "slot long, feature long, sums binary")
+                sums = state.mapInArrow(_histograms(growing, slots, s, width, bits), "slot long, feature long, sums binary")
                 cuts = sums.repartition(tasks, "slot", "feature").mapInArrow(_cuts(bits, s), ", ".join(CUTS))
                 best: dict = {}
                 for r in sorted(cuts.collect(), key=lambda r: r["feature"]):            # a row per node and feature
@@ -446,10 +463,10 @@ class Boosting:
                 for child in (left, left + 1) if left is not None else ():
                     rows[k, child] = int(growing[k].cover[child])
                     open_nodes.append((k, child))
-        self._finish(state, pending, growing, small, width, bits)
+        self._finish(state, growing, small, width, bits)
         return growing
 
-    def _finish(self, state: DataFrame, pending: list, growing: list, small: dict, width: int, bits: tuple[int, int]) -> None:
+    def _finish(self, state: DataFrame, growing: list, small: dict, width: int, bits: tuple[int, int]) -> None:
         """Grows what is left of the trees in the nodes of ``small`` (levels left by class and node)."""
         import json
 
@@ -461,10 +478,10 @@ class Boosting:
             import pyarrow as pa
 
             slot = table["slot"][0].as_py()
-            bins = _bytes_matrix(table["bins"].combine_chunks(), width)
-            tree = grown(bins, table["g"].to_numpy().astype(float), table["h"].to_numpy().astype(float), small[keys[slot]], bits, s)
+            bins, g, h = _unpacked(table["bins"], np.uint8, width), _unpacked(table["g"], float, 1)[:, 0], _unpacked(table["h"], float, 1)[:, 0]
+            tree = grown(bins, g, h, small[keys[slot]], bits, s)
             return pa.table({"slot": [slot], "tree": [json.dumps(vars(tree))]})
-        handed = state.mapInArrow(_handed(list(pending), growing, {key: i for i, key in enumerate(keys)}, s, width, bits), "slot long, bins binary, g long, h long")
+        handed = state.mapInArrow(_handed(growing, {key: i for i, key in enumerate(keys)}, s, width, bits), "slot long, bins binary, g binary, h binary")
         for r in handed.groupBy("slot").applyInArrow(grow, "slot long, tree string").collect():
             k, node = keys[r["slot"]]
             part = Tree(**json.loads(r["tree"]))

@@ -140,3 +140,19 @@ def test_nothing_to_learn(spark):
     assert [r.prediction for r in same.transform(rows(spark, [[2.0]], [0.0], 1)).collect()] == [0.0]
     none = Boosting(Settings("squared", rounds=2)).fit(spark.createDataFrame([], SCHEMA))
     assert none.trees == [] and none.base == [0.0]
+
+
+def test_a_pass_has_few_tasks_whatever_the_input_is_split_into(spark, monkeypatch):
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 17), float(i % 5)]), float(i % 11)) for i in range(3000)], ["features", "label"])
+    seen, own = [], Boosting._round
+
+    def spied(self, state, *rest):
+        seen.append((state.rdd.getNumPartitions(), state.count()))
+        return own(self, state, *rest)
+    monkeypatch.setattr(Boosting, "_round", spied)
+    want = Boosting(Settings("squared", rounds=4, depth=3)).fit(rows.coalesce(1)).trees
+    monkeypatch.setattr(boost, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(boost, "KEPT_ROUNDS", 3)
+    assert Boosting(Settings("squared", rounds=4, depth=3)).fit(rows.repartition(50)).trees == want
+    cores = spark.sparkContext.defaultParallelism
+    assert all(n <= cores for n, _ in seen) and seen[0][1] <= 2 < 3000 // 7 <= seen[-1][1] < 3000
