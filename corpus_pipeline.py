@@ -22,7 +22,7 @@ def keep_by_score(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id: texts whose five-word
-    shingles overlap by 0.8 or more, all of them found by prefix filtering."""
+    shingles overlap by 0.8 or more. SimHash joins the very near ones, prefix filtering finds all others."""
     return simhash.representatives(docs)
 
 

@@ -20,6 +20,16 @@ SLICE = 1 << 16
 SEED = 42
 
 
+def _print_of(hashes) -> int:
+    """SimHash of a set of shingle hashes: the bits that are set in over half of them."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), SLICE):
+        ones += np.unpackbits(hashes[start:start + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _fingerprint(raw: bytes | None, shingle: int) -> int:
     import numpy as np
     from xxhash import xxh64_intdigest
@@ -165,16 +175,16 @@ def _sketch(hashes) -> bytes:
 
 
 def _texts(shingle: int):
-    """(id, mark, node, size, sketch) of all rows."""
+    """(id, mark, node, size, sketch, fingerprint) of all rows."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [(n, len(h), _sketch(h)) for n, h in (_shingles(x.as_py(), shingle) for x in batch.column(2).cast(pa.binary()))]
-            node, size, sketch = zip(*found) if found else ([], [], [])
+            found = [(n, len(h), _sketch(h), _print_of(h)) for n, h in (_shingles(x.as_py(), shingle) for x in batch.column(2).cast(pa.binary()))]
+            node, size, sketch, prints = zip(*found) if found else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary())],
-                ["id", "mark", "node", "size", "sketch"])
+                [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary()),
+                 pa.array(prints, pa.int64())], ["id", "mark", "node", "size", "sketch", "fingerprint"])
     return run
 
 
@@ -359,16 +369,32 @@ class _Confirmed:
         return found
 
 
-def _similar_links(members: DataFrame, confirmed, similarity: float) -> DataFrame:
-    """(a, b), a > b: links that connect all texts of a bucket that overlap enough.
+def _simhash_links(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b), a > b: pairs of texts (node, fingerprint) that SimHash holds for near copies. Each text meets the
+    smallest of its own fingerprint, and these meet where their fingerprints are linked."""
+    heads = prints.groupBy("fingerprint").agg(F.min("node").alias("head"))
+    same = spread_join(prints, heads, ["fingerprint"]).where("node > head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select("fingerprint"), radius).withColumnsRenamed({"a": "x", "b": "y"})
+    near = near.join(heads.toDF("x", "a"), "x").join(heads.toDF("y", "b"), "y")
+    return same.union(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+
+
+def _with_roots(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the root that the links ``found`` give their node."""
+    roots = components(found).withColumnRenamed("root", "found")
+    return spread_join(rows.drop("root"), roots, ["node"], "left").withColumn("root", F.coalesce("found", "node")).drop("found")
+
+
+def _similar_links(members: DataFrame, confirmed, similarity: float, near: DataFrame) -> DataFrame:
+    """(a, b), a > b: ``near``, links that are known, and more that connect all texts of a bucket that overlap enough.
 
     Each round compares all members of a bucket with some heads, drops the heads, and then the
     buckets whose members are all joined by now: a group of near copies is done after one round,
     a bucket of unlike texts when each was a head. The first round has one head, each later one MORE
     times as many as the one before, so a bucket of m unlike texts takes about log m rounds.
     """
-    links, seen, heads_now = None, None, 1
-    while True:
+    links, seen, heads_now = near, None, 1
+    while not members.isEmpty():
         salt = F.pmod(F.xxhash64("node", F.lit(heads_now)), F.lit(heads_now))
         heads = members.groupBy("print", salt.alias("salt")).agg(F.min(F.struct("node", "size", "left", "root")).alias("head"))
         heads = materialize(heads.select("print", "head.*"), "simhash-heads")
@@ -376,19 +402,17 @@ def _similar_links(members: DataFrame, confirmed, similarity: float) -> DataFram
         pairs = materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "simhash-pairs")
         seen = pairs if seen is None else seen.union(pairs)
         found = confirmed(pairs)
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         rest = members.join(heads.select("print", "node"), ["print", "node"], "left_anti")
         if not found.isEmpty():
-            roots = components(links).withColumnRenamed("root", "found")
-            rest = spread_join(rest.drop("root"), roots, ["node"], "left").withColumn("root", F.coalesce("found", "node")).drop("found")
+            rest = _with_roots(rest, links)
         rest = materialize(rest.select("print", "node", "size", "left", "root"), "simhash-rest")
         mixed = rest.groupBy("print").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("print")
         before, members = members, materialize(spread_join(rest, mixed, ["print"]).select(*rest.columns), "simhash-members")
         for part in (before, heads, rest):
             release(part)
-        if members.isEmpty():
-            return links
         heads_now *= MORE
+    return links
 
 
 def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity: float) -> DataFrame:
@@ -397,21 +421,26 @@ def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity:
     docs = df.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
     long = T.LongType()
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("mark", long), T.StructField("node", long),
-                           T.StructField("size", long), T.StructField("sketch", T.BinaryType())])
+                           T.StructField("size", long), T.StructField("sketch", T.BinaryType()),
+                           T.StructField("fingerprint", long)])
     rows = materialize(docs.mapInArrow(_texts(shingle), schema), "simhash")
     key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key")
 
     def links_of(classes: DataFrame) -> DataFrame:
         # one row stands for each class; texts that repeat with their id are one again at the end
-        one = rows.groupBy("node").agg(F.min(F.struct(key, "mark", "size", "sketch")).alias("one")).select("node", "one.*")
+        one = rows.groupBy("node").agg(F.min(F.struct(key, "mark", "size", "sketch", "fingerprint")).alias("one")).select("node", "one.*")
         one = materialize(one, "simhash-texts")
+        confirmed = _Confirmed(docs.select(key, "mark", "text"), one, shingle, similarity)
+        pairs = materialize(_simhash_links(one.where("size > 0").select("node", "fingerprint")), "simhash-pairs")
+        near = confirmed(pairs)
+        release(pairs)
         total = one.agg(F.sum("size")).first()[0] or 0
         groups = max(1, int(total * (1 - similarity)) // ENTRIES)
         counts = df.sparkSession.sparkContext.broadcast(_counts(docs, shingle))
         entries = docs.select("text").mapInArrow(_entries(shingle, similarity, counts, groups), "bundle long, entries binary")
         members = entries.groupBy("bundle").applyInArrow(_shared, "print long, node long, size long, left long")
-        members = materialize(members.withColumn("root", F.col("node")), "simhash-members")
-        found = _similar_links(members, _Confirmed(docs.select(key, "mark", "text"), one, shingle, similarity), similarity)
+        members = materialize(_with_roots(members, near).select("print", "node", "size", "left", "root"), "simhash-members")
+        found = _similar_links(members, confirmed, similarity, near)
         release(one)
         return found
     return _grouped(rows, links_of)
@@ -420,7 +449,8 @@ def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity:
 def similar_texts(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) per row: groups of texts whose word shingles overlap by ``similarity`` or more.
 
-    Prefix filtering finds every pair: shingles have one order, rare ones first, and of two texts that
+    SimHash comes first: texts within two bits of each other (``links``) meet, and what whole sets confirm is
+    joined. Its balls reach very near copies only, so prefix filtering then finds every other pair: shingles have one order, rare ones first, and of two texts that
     overlap enough the rarest shingle they share lies among the first of both. Pairs that meet are ruled
     out by bounds on what they share, else confirmed by the whole sets of shingle hashes (64 bits). Texts
     that differ only in case (A-Z) and white space are one from the start.

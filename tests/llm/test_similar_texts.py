@@ -111,3 +111,24 @@ def test_texts_in_runs(monkeypatch):
             monkeypatch.setattr(simhash, "RUN_BYTES", size)
             part = simhash._shingles(text, 5)
             assert part[0] == whole[0] and part[1].tolist() == whole[1].tolist()
+
+
+def test_simhash_joins_near_copies_before_prefixes_are_looked_at(spark, monkeypatch):
+    """Texts within two bits meet by SimHash; what whole sets refuse is not joined, and the rest is still found."""
+    dice, rows = random.Random(3), []
+    for base in range(12):
+        words = [f"w{dice.randrange(10 ** 6)}" for _ in range(3000)]
+        rows += [(3 * base, " ".join(words)), (3 * base + 1, " ".join(words[:-1])), (3 * base + 2, " ".join(words[:2500]))]
+    rows += [(900, "a b c d e"), (901, "v w x y z"), (902, ""), (903, None)]
+    given, own = [], simhash._similar_links
+
+    def spied(members, confirmed, similarity, near):
+        given.extend((r.a, r.b) for r in near.collect())
+        return own(members, confirmed, similarity, near)
+    monkeypatch.setattr(simhash, "_similar_links", spied)
+    assert star(spark, rows) == plain.similar_groups(rows, 0.8)
+    found = {i: simhash._shingles((t or "").encode(), 5) for i, t in rows}
+    prints = {i: simhash._print_of(h) for i, (_, h) in found.items() if len(h)}
+    close = [(3 * b, 3 * b + 1) for b in range(12) if (prints[3 * b] ^ prints[3 * b + 1]).bit_count() <= 2]
+    assert close and all(any({found[i][0], found[j][0]} == set(p) for p in given) for i, j in close)
+    assert all(a > b for a, b in given)
