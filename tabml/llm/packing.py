@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 #: a piece may leave this share of its slot empty; else it is cut to the next smaller slot
 TOLERANCE = 1 / 32
 #: runs of letters whose ids a worker remembers, and bytes of text that are looked up at once
-KNOWN_RUNS, LOOKUP_BYTES = 500_000, 2 << 20
+KNOWN_RUNS, LOOKUP_BYTES = 120_000, 1 << 20
 #: bytes of ids that are sent back at once
 BATCH_BYTES = 4 << 20
 #: a word of letters that normalisation leaves alone but for their case, then punctuation that starts no contraction
@@ -62,7 +62,8 @@ class WordIds:
         import numpy as np
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.short = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.short = Tokenizer(self.tokenizer.model)                    # the same vocabulary, held once
         self.short.normalizer = normalizers.Sequence([])
         self.short.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])

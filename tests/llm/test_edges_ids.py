@@ -176,3 +176,19 @@ def test_mixed_repeats_whole_documents(spark, docs):
     for r in out.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     assert got == {d: n for d, n in times.items() if n}
+
+
+def test_packing_workers_hold_one_vocabulary_and_few_runs():
+    """The bound on remembered runs holds for a text of many distinct words, and ids stay those of the tokenizer."""
+    from tabml.llm import packing
+    from tabml.llm.queries import tokenizer_path
+
+    words = packing.WordIds(tokenizer_path())
+    assert words.plain and packing.KNOWN_RUNS <= 1 << 17 and words.short.model.__getstate__() == words.tokenizer.model.__getstate__()
+    letters = "abcdefghij"
+    for part in range(6):
+        text = " ".join("x" + "".join(letters[int(d)] for d in str(part * 40_000 + i)) for i in range(40_000))
+        [ids] = words.encode([text.encode()], 1)
+        assert len(words.run_places) <= packing.KNOWN_RUNS + 40_001
+    probe = "Some words, and OTHERS ###"
+    assert words.encode([probe.encode()], 1)[0].tolist() == [*words.tokenizer.encode(probe, add_special_tokens=False).ids, 1]
