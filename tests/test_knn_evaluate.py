@@ -120,6 +120,20 @@ def test_silhouette_in_blocks_with_copies_and_a_singleton(spark, block_rows):
     assert abs(K.silhouette(df, block_rows=block_rows).first()[0] - silhouette(x, c)) < 1e-9
 
 
+def test_distances_by_products_equal_differences(monkeypatch):
+    """Far from the origin, with equal and nearly equal points and lost values; the cells held at once stay few."""
+    dice = np.random.default_rng(3)
+    a = 1e3 + dice.normal(size=(40, 64))
+    b = np.concatenate([a[:10], a[10:20] + 1e-9, 1e3 + dice.normal(size=(30, 64))])
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    monkeypatch.setattr(K, "CHUNK_CELLS", 64)
+    assert np.allclose(K._distances(a, b), want, rtol=1e-6, atol=0) and (K._distances(a, a).diagonal() == 0).all()
+    near = K._distances(a - a.mean(axis=0), b - a.mean(axis=0))
+    assert np.allclose(near, want, rtol=1e-9, atol=1e-15)
+    a[0, 0] = np.nan
+    assert np.isnan(K._distances(a, b)[0]).all()
+
+
 def test_the_caller_chooses_the_silhouette(spark):
     from tabml.operators.evaluate import evaluate, verdict
     df = spark.range(100).select(F.array((F.col("id") % 10).cast("double")).alias("features"), (F.col("id") % 10 > 4).cast("int").alias("cluster"))
