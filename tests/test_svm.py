@@ -68,3 +68,25 @@ def test_one_row_and_one_class(spark):
     assert abs(one.outputs(np.array([[1.0, 2.0]]))[0, 0] - 5) <= 0.11
     same = SupportVectors("two").fit(frame(spark, np.array([[1.0], [2.0]]), np.array([0.0, 0.0])))
     assert [r.prediction for r in same.transform(frame(spark, np.array([[1.5]]), np.array([0.0]))).collect()] == [0.0]
+
+
+def test_copies_of_rows_are_merged(spark):
+    x, y = drawn("number", 40)
+    few, many = frame(spark, x, y), frame(spark, np.repeat(x, 50, axis=0), np.repeat(y, 50))
+    with svm.packed(many, 2000) as cells:
+        merged = [(np.frombuffer(r["y"]), np.frombuffer(r["times"])) for r in cells.collect()]
+    assert sum(len(a) for a, _ in merged) == 40 and all((b == 50).all() for _, b in merged)
+    one, other = SupportVectors("number", penalty=50.0).fit(few), SupportVectors("number", penalty=1.0).fit(many)
+    assert abs(one.gamma / other.gamma - 1) < 1e-9
+    losses = [gap("number", m, np.repeat(x, 50, axis=0), np.repeat(y, 50))[0] for m in (one, other)]
+    assert abs(losses[0] / losses[1] - 1) < 1e-4
+
+
+def test_rows_are_not_whitened_to_be_scored(spark):
+    """The same outputs as from whitened kernel values."""
+    x, y = drawn("number", 60)
+    machine = SupportVectors("number", landmarks=30).fit(frame(spark, x, y))
+    landmarks, weights = np.array(machine.landmarks), np.array(machine.weights)
+    kernel, whiten = svm.kernel_values(x, landmarks, machine.gamma), svm.whitening(landmarks, machine.gamma)
+    told = np.hstack([kernel @ whiten, np.ones((60, 1))]) @ weights.T
+    assert np.allclose(machine.outputs(x), told, atol=1e-6) and np.allclose(kernel, np.exp(-machine.gamma * ((x[:, None] - landmarks) ** 2).sum(axis=2)))
