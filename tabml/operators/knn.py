@@ -4,7 +4,8 @@ Training rows are grouped to distinct (point, label) with a weight, then assigne
 nearest of a few pivots. Per cell only its weight and radius are kept on the driver. For a
 query the triangle inequality gives a bound that k neighbours surely satisfy, and only cells
 that may reach inside the bound are searched (Lu et al. 2012, "Efficient processing of k
-nearest neighbor joins using MapReduce"). Cells are searched in bounded blocks of training
+nearest neighbor joins using MapReduce"). Pivots are grouped in the same way, so that a row is
+measured against the pivots of near groups only. Cells are searched in bounded blocks of training
 points and queries, so a cell holding a third of all rows is many tasks. Equal distances are
 settled by the smaller label, so the answer does not depend on the partitioning.
 """
@@ -79,6 +80,59 @@ def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _groups(centres: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+    """(centres of groups, their cells, how far the cells reach): the square root of the cells are groups."""
+    tops = centres[:math.isqrt(len(centres) - 1) + 1]
+    step = max(1, CHUNK_CELLS // (len(tops) * centres.shape[1]))
+    found = [_distances(centres[i:i + step], tops) for i in range(0, len(centres), step)]
+    own, gap = np.concatenate([d.argmin(axis=1) for d in found]), np.concatenate([d.min(axis=1) for d in found])
+    named = np.unique(own)
+    cells = [np.flatnonzero(own == g) for g in named]
+    return tops[named], cells, np.array([(gap[c] + radii[c]).max() for c in cells])
+
+
+def _bound(far: np.ndarray, weights: np.ndarray, enough: int) -> np.ndarray:
+    """Per row the distance within which the nearest cells surely hold ``enough`` rows; infinite where all are fewer."""
+    bound = np.full(len(far), np.inf)
+    few, open_rows = min(far.shape[1], 2 * enough + 8), np.arange(len(far))
+    while len(open_rows):           # the nearest few cells nearly always do
+        part = far[open_rows]
+        order = np.argpartition(part, few - 1, axis=1)[:, :few] if few < far.shape[1] else np.argsort(part, axis=1)
+        near = np.take_along_axis(part, order, axis=1)
+        sort = np.argsort(near, axis=1)
+        order, near = np.take_along_axis(order, sort, axis=1), np.take_along_axis(near, sort, axis=1)
+        filled = np.cumsum(weights[order], axis=1) >= enough
+        done = filled[:, -1]
+        bound[open_rows[done]] = near[done, filled[done].argmax(axis=1)]
+        if few == far.shape[1]:
+            break
+        open_rows, few = open_rows[~done], min(far.shape[1], 16 * few)
+    return bound
+
+
+def _within(d: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    return d <= (bound * (1 + SLACK) + SLACK)[:, None]
+
+
+def _near_cells(x: np.ndarray, centres: np.ndarray, radii: np.ndarray, weights: np.ndarray, enough: int, groups):
+    """(rows, cells, distances, may reach inside the bound), for some rows at a time. Rows of the nearest group go
+    together: its cells give a first bound, and only groups that may reach inside that are measured."""
+    tops, members, reach = groups
+    step = max(1, CHUNK_CELLS // (2 * len(centres)))
+    for start in range(0, len(x), step):
+        part = x[start:start + step]
+        to_top = _distances(part, tops)
+        own = to_top.argmin(axis=1)
+        for g in np.unique(own):
+            rows = np.flatnonzero(own == g)
+            mine = members[g]
+            first = _bound(_distances(part[rows], centres[mine]) + radii[mine], weights[mine], enough)
+            some = _within(to_top[rows] - reach, first).any(axis=0)
+            cells = np.sort(np.concatenate([members[i] for i in np.flatnonzero(some)]))
+            d = _distances(part[rows], centres[cells])
+            yield rows + start, cells, d, _within(d - radii[cells], _bound(d + radii[cells], weights[cells], enough))
+
+
 def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, features: str = "features", label: str = "label",
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(q1, q2, label, distance, votes): the k nearest training rows of every distinct query point.
@@ -100,10 +154,16 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, features: str =
     rows = points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(n_pivots).collect()
     pivots = np.array([r["x"] for r in rows])
 
+    none, one = np.zeros(len(pivots)), np.ones(len(pivots))
+    pivot_groups = _groups(pivots, none)
+
     @F.pandas_udf("struct<cell: int, radius: double>")
     def nearest_pivot(x: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(x.to_numpy()), pivots)
-        return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "radius": d.min(axis=1)})
+        cell, radius = np.zeros(len(x), "int32"), np.zeros(len(x))
+        if len(x):
+            for rows, near, d, _ in _near_cells(np.stack(x.to_numpy()), pivots, none, one, 1, pivot_groups):
+                cell[rows], radius[rows] = near[d.argmin(axis=1)], d.min(axis=1)
+        return pd.DataFrame({"cell": cell, "radius": radius})
 
     celled = points.select("*", nearest_pivot("x").alias("c")).select("x", "label", "w", "c.cell", "c.radius")
     stats = {r["cell"]: r for r in celled.groupBy("cell").agg(
@@ -113,16 +173,16 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 5, features: str =
     weights = np.array([stats[c]["w"] for c in cells])
     radii = np.array([stats[c]["radius"] for c in cells])
     enough = min(k, int(weights.sum()))
+    cell_groups = _groups(centres, radii)
 
     @F.pandas_udf("array<int>")
     def reachable_cells(x: pd.Series) -> pd.Series:
-        d = _distances(np.stack(x.to_numpy()), centres)
-        far = d + radii
-        order = np.argsort(far, axis=1)
-        filled = np.cumsum(weights[order], axis=1) >= enough
-        bound = np.take_along_axis(far, order, axis=1)[np.arange(len(d)), filled.argmax(axis=1)]
-        keep = d - radii <= (bound * (1 + SLACK) + SLACK)[:, None]
-        return pd.Series([cells[row].tolist() for row in keep])
+        out = np.empty(len(x), object)
+        if len(x):
+            for rows, near, _, keep in _near_cells(np.stack(x.to_numpy()), centres, radii, weights, enough, cell_groups):
+                for row, own in zip(rows, keep):
+                    out[row] = cells[near[own]].tolist()
+        return pd.Series(out)
 
     searched = materialize(asked.select("x", F.explode(reachable_cells("x")).alias("cell")), "knn-searched")
     loads = {r["cell"]: r["n"] for r in searched.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}

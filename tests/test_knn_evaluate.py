@@ -141,3 +141,30 @@ def test_the_caller_chooses_the_silhouette(spark):
         metrics = evaluate(df, "clustering", prediction="cluster", silhouette_form=form)
         texts = {r["metric"]: r["text"] for r in verdict(metrics, "clustering").collect()}
         assert form in metrics.columns and texts["overall"] == "Good clustering" and texts[form].startswith("Silhouette score of")
+
+
+@pytest.mark.parametrize("width", [1, 3, 40])
+def test_cells_of_near_groups_are_those_of_all(width):
+    """Grouped pivots rule out what a look at all of them rules out, and measure few of them in low dimensions."""
+    rng = np.random.default_rng(5)
+    centres, x = rng.normal(size=(900, width)), rng.normal(size=(2000, width))
+    radii, weights, enough = rng.uniform(0, 0.02, 900), rng.integers(1, 4, 900), 5
+    told = np.zeros((len(x), len(centres)), bool)
+    measured = 0
+    for rows, cells, d, keep in knn._near_cells(x, centres, radii, weights, enough, knn._groups(centres, radii)):
+        measured += d.size
+        told[np.ix_(rows, cells)] = keep
+    d = knn._distances(x, centres)
+    order = np.argsort(d + radii, axis=1)
+    filled = np.cumsum(weights[order], axis=1) >= enough
+    bound = np.take_along_axis(d + radii, order, axis=1)[np.arange(len(d)), filled.argmax(axis=1)]
+    assert (told == knn._within(d - radii, bound)).all()
+    assert width > 1 or measured < 0.2 * d.size
+
+
+def test_bounds_of_few_and_of_too_many():
+    far, weights = np.array([[3.0, 1.0, 2.0]]), np.array([1, 1, 1])
+    assert knn._bound(far, weights, 2)[0] == 2 and knn._bound(far, weights, 4)[0] == np.inf
+    many = np.arange(500.0)[None, ::-1].copy()
+    light = np.concatenate([np.ones(10, int), np.zeros(490, int)])        # weight lies in the farthest cells only
+    assert knn._bound(many, light, 3)[0] == 492
