@@ -21,6 +21,7 @@ NA_WORDS = [
 # fixed values: words that mean a truth value
 TRUE_WORDS = ["True", "TRUE", "true"]
 FALSE_WORDS = ["False", "FALSE", "false"]
+WHOLE = r"^\s*[+-]?\d+\s*$"
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
 
 
@@ -89,23 +90,30 @@ def without_na(c: Column) -> Column:
     return F.when(~c.isin(NA_WORDS), c)
 
 
+def whole_number(c: Column) -> Column:
+    """The bigint a string holds, else NULL. A cast that fails raises an error inside, which costs far more
+    than a look at the text, so only texts that look like a bigint are cast."""
+    return F.when(c.rlike(WHOLE) & (F.abs(c.try_cast("double")) < 9.3e18), c.try_cast("bigint"))
+
+
 def typed(strings: DataFrame) -> DataFrame:
     """Give string columns their types: boolean, bigint, double, else string; no values: double."""
-    checks = []
-    for i, name in enumerate(strings.columns):
-        v = without_na(col(name))
-        checks += [F.count(v).alias(f"n{i}"), F.count(v.try_cast("bigint")).alias(f"i{i}"),
-                   F.count_if(v.rlike(NUMBER)).alias(f"f{i}"), F.count_if(v.isin(TRUE_WORDS + FALSE_WORDS)).alias(f"b{i}")]
-    found = strings.agg(*checks).first()
+    v = without_na(F.col("value"))
+    # a row per cell: one small expression serves all columns, however many there are
+    cells = strings.select(F.posexplode(F.array(*[col(name) for name in strings.columns])).alias("i", "value"))
+    told = cells.select("i", v.alias("value")).filter("value IS NOT NULL").groupBy("i").agg(
+        F.bool_and(F.col("value").isin(TRUE_WORDS + FALSE_WORDS)).alias("boolean"),
+        F.bool_and(whole_number(F.col("value")).isNotNull()).alias("whole"),
+        F.bool_and(F.col("value").rlike(NUMBER)).alias("number"))
+    found = {r["i"]: r for r in told.collect()}
     out = []
     for i, name in enumerate(strings.columns):
         v = without_na(col(name))
-        n = found[f"n{i}"]
-        if n and n == found[f"b{i}"]:
+        if i in found and found[i]["boolean"]:
             v = v.isin(TRUE_WORDS)
-        elif n and n == found[f"i{i}"] == found[f"f{i}"]:
+        elif i in found and found[i]["whole"] and found[i]["number"]:
             v = v.try_cast("bigint")
-        elif n == found[f"f{i}"]:
+        elif i not in found or found[i]["number"]:
             v = v.try_cast("double")
         out.append(v.alias(name))
     return strings.select(*out)
