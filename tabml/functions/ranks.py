@@ -44,15 +44,17 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         return {c: list(row[n]) if row[n] is not None else [None] * len(probabilities)
                 for c, n in zip(columns, names)}
 
-    row = values.agg(*[F.count(n).alias(n) for n in names]).first()
-    wanted: dict[tuple[str, int], float | None] = {}
+    near = F.array([F.lit(x) for p in probabilities for x in _around(p)])
+    row = values.agg(*[e for n in names for e in (
+        F.count(n).alias(n), F.min(n).alias(f"{n}_lo"), F.max(n).alias(f"{n}_hi"),
+        F.percentile_approx(n, near, SKETCH_ACCURACY).alias(f"{n}_near"))]).first()
+    wanted: dict[tuple[str, int], tuple[float, float]] = {}      # rank: the values around it by the sketch
     for n in names:
-        for p in probabilities:
+        for i, p in enumerate(probabilities):
             if row[n]:
                 at = p * (row[n] - 1)
-                wanted[(n, math.floor(at))] = None
-                wanted[(n, math.ceil(at))] = None
-    found = _values_at_ranks(values, {n: row[n] for n in names}, list(wanted))
+                wanted[(n, math.floor(at))] = wanted[(n, math.ceil(at))] = tuple(row[f"{n}_near"][2 * i:2 * i + 2])
+    found = _values_at_ranks(values, {n: (row[f"{n}_lo"], row[f"{n}_hi"], 0, row[n]) for n in names}, wanted)
     out = {}
     for c, n in zip(columns, names):
         out[c] = []
@@ -66,31 +68,25 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     return out
 
 
-def _values_at_ranks(values: DataFrame, sizes: dict[str, int], targets: list[tuple[str, int]]) -> dict:
-    """Exact order statistics (0-based ranks) by narrowing value brackets."""
-    ends = values.agg(*[F.min(n).alias(f"{n}_lo") for n in sizes], *[F.max(n).alias(f"{n}_hi") for n in sizes]).first()
+def _around(share: float) -> tuple[float, float]:
+    """Two shares between which the sketched value of a share lies for sure, or nearly so."""
+    margin = 2.0 / SKETCH_ACCURACY
+    return max(0.0, share - margin), min(1.0, share + margin)
+
+
+def _values_at_ranks(values: DataFrame, whole: dict[str, tuple], targets: dict[tuple[str, int], tuple[float, float]]) -> dict:
+    """Exact order statistics (0-based ranks) by narrowing value brackets. ``whole`` is the bracket of all
+    values of a column, ``targets`` the values between which a rank is looked for first."""
     # bracket: lowest value, highest value, rows below it, rows inside it
-    bracket = {t: (ends[f"{t[0]}_lo"], ends[f"{t[0]}_hi"], 0, sizes[t[0]]) for t in targets}
+    bracket = {t: whole[t[0]] for t in targets}
+    narrowed = targets
     stuck: set = set()
     while True:
         wide = [t for t, (a, b, _, inside) in bracket.items() if a < b and inside > BRACKET_ROWS and t not in stuck]
         if not wide:
             break
-        margin = 2.0 / SKETCH_ACCURACY
-        shared: dict = {}                # one sketch per bracket serves all ranks inside it
-        for t in wide:
-            shared.setdefault((t[0], *bracket[t]), []).append(t)
-        sketches, ends = [], {}
-        for i, ((name, a, b, below, inside), inner) in enumerate(shared.items()):
-            grid = []
-            for t in inner:
-                at = (t[1] - below + 0.5) / inside
-                ends[t] = (f"s{i}", len(grid))
-                grid += [max(0.0, at - margin), min(1.0, at + margin)]
-            values_in = F.when(col(name).between(a, b), col(name))
-            sketches.append(F.percentile_approx(values_in, grid, SKETCH_ACCURACY).alias(f"s{i}"))
-        row = values.agg(*sketches).first()
-        narrowed = {t: tuple(row[s][k:k + 2]) for t, (s, k) in ends.items()}
+        if narrowed is None:
+            narrowed = _sketched(values, {t: bracket[t] for t in wide})
         counts = []
         for i, t in enumerate(wide):
             lo, hi = narrowed[t]
@@ -105,6 +101,7 @@ def _values_at_ranks(values: DataFrame, sizes: dict[str, int], targets: list[tup
                 stuck.add(t)            # keep the last good bracket, finish from value counts
             else:
                 bracket[t] = (lo, hi, n_below, n_inside)
+        narrowed = None
     found = {t: a for t, (a, b, _, _) in bracket.items() if a == b}
     rest = [t for t in targets if t not in found]
     if rest:
@@ -124,6 +121,23 @@ def _values_at_ranks(values: DataFrame, sizes: dict[str, int], targets: list[tup
     return found
 
 
+def _sketched(values: DataFrame, brackets: dict) -> dict:
+    """{(column, rank): two values around it}, from one sketch per bracket."""
+    shared: dict = {}                    # one sketch serves all ranks inside a bracket
+    for t, place in brackets.items():
+        shared.setdefault((t[0], *place), []).append(t)
+    sketches, ends = [], {}
+    for i, ((name, a, b, below, inside), inner) in enumerate(shared.items()):
+        grid = []
+        for t in inner:
+            ends[t] = (f"s{i}", len(grid))
+            grid += _around((t[1] - below + 0.5) / inside)
+        values_in = F.when(col(name).between(a, b), col(name))
+        sketches.append(F.percentile_approx(values_in, grid, SKETCH_ACCURACY).alias(f"s{i}"))
+    row = values.agg(*sketches).first()
+    return {t: tuple(row[s][k:k + 2]) for t, (s, k) in ends.items()}
+
+
 def row_hash(keys: list[str], seed: int | str) -> Column:
     """Hex md5 over the key columns and a seed: the pseudo-random order of all splits."""
     return F.md5(F.concat_ws("|", *[col(k).cast("string") for k in keys], F.lit(str(seed))))

@@ -52,26 +52,42 @@ def impute_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.coalesce(col(c), F.lit(v)) for c, v in fill.items()}) if fill else df
 
 
-def _inside(df: DataFrame, name: str, q1: float, q3: float):
+def _inside(df: DataFrame, name: str, quartiles: list[float | None]):
+    q1, q3 = quartiles
+    if q1 is None:
+        return F.lit(False)
     reach = FENCE * (q3 - q1)
     return present(df, name).between(q1 - reach, q3 + reach)
 
 
 def iqr_filter(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Drop rows outside the quartile fences, column after column: each column's quartiles
-    come from the rows that the columns before it left over."""
+    come from the rows that the columns before it left over.
+
+    Columns are looked at together, as a column that drops no row leaves the quartiles of the next as they
+    are; behind one that does, the rest starts anew, with one column first, then two, four and so on.
+    """
     n = df.count()
-    for c in numeric_columns(df, exclude) if columns is None else columns:
-        q1, q3 = exact_quantiles(df, [c], [0.25, 0.75], at_most=n)[c]
-        df = df.filter(_inside(df, c, q1, q3)) if q1 is not None else df.filter(F.lit(False))
+    left = list(numeric_columns(df, exclude) if columns is None else columns)
+    together = len(left)
+    while left:
+        some = left[:together]
+        found = exact_quantiles(df, some, [0.25, 0.75], at_most=n * len(some))      # one pass holds the values of all
+        fences = [_inside(df, c, found[c]) for c in some]
+        drops = df.agg(*[F.bool_or(~F.coalesce(fence, F.lit(False))).alias(f"d{i}") for i, fence in enumerate(fences)]).first()
+        first = next((i for i in range(len(some)) if drops[i]), None)
+        if first is None:
+            left, together = left[len(some):], 2 * together
+        else:
+            df, left, together = df.filter(fences[first]), left[first + 1:], 1
     return df
 
 
 def iqr_filter_joint(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
     """The one-pass form: all fences come from the same input."""
     columns = list(numeric_columns(df, exclude) if columns is None else columns)
-    for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75]).items():
-        df = df.filter(_inside(df, c, q1, q3)) if q1 is not None else df.filter(F.lit(False))
+    for c, quartiles in exact_quantiles(df, columns, [0.25, 0.75]).items():
+        df = df.filter(_inside(df, c, quartiles))
     return df
 
 

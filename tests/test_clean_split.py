@@ -24,6 +24,24 @@ def test_outliers_go_column_after_column(spark):
     assert C.iqr_filter_joint(df).count() == 10
 
 
+def test_columns_that_drop_no_row_share_their_passes(spark, monkeypatch):
+    calls, found = [], C.exact_quantiles
+    monkeypatch.setattr(C, "exact_quantiles", lambda df, columns, *a, **k: calls.append(columns) or found(df, columns, *a, **k))
+    calm = spark.range(100).select(*[((F.col("id") * (i + 3)) % 101).alias(f"c{i}") for i in range(6)])
+    assert C.iqr_filter(calm).count() == 100 and len(calls) == 1
+
+
+@pytest.mark.parametrize("wild", [(), (0,), (3,), (1, 2), (0, 2, 5), (0, 1, 2, 3, 4, 5)])
+def test_fences_are_those_of_one_column_after_the_other(spark, wild):
+    far = lambda i: F.when(F.col("id") % 17 == i, F.lit(None) if i == 2 else F.col("id") * 40).otherwise((F.col("id") * (i + 3)) % 101)
+    df = spark.range(200).select(*[(far(i) if i in wild else (F.col("id") * (i + 3)) % 101).alias(f"c{i}") for i in range(6)]).cache()
+    rows = df.toPandas().astype("float64")
+    for c in rows.columns:
+        q1, q3 = rows[c].quantile(0.25), rows[c].quantile(0.75)
+        rows = rows[rows[c].between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))]
+    assert sorted(map(tuple, C.iqr_filter(df).toPandas().astype("float64").values.tolist())) == sorted(map(tuple, rows.values.tolist()))
+
+
 def test_clean_counts(spark):
     df = spark.createDataFrame([(1.0, "a")] * 5 + [(2.0, None), (float("nan"), "b"), (3.0, "a")], "x double, y string")
     summary = C.clean_summary(df, C.clean(df)).first()
