@@ -54,11 +54,32 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def nunique(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(column, position, distinct): distinct non-missing values."""
     columns = list(columns or df.columns)
-    count = F.approx_count_distinct if approx else F.count_distinct
-    wide = df.agg(*[count(present(df, c)).alias(f"d{i}") for i, c in enumerate(columns)])
+    if approx:
+        wide = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(columns)])
+    else:
+        wide = _exact_distinct(df, columns)
     return one_row_per_column(wide, columns, {c: {"distinct": F.col(f"d{i}")} for i, c in enumerate(columns)})
 
 
+def _exact_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with ``d0``, ``d1``, ...: distinct values of each column.
+
+    Columns of one type travel together as (column, value), so a value is shuffled by itself and not
+    in a row with an empty place for every other column.
+    """
+    alike: dict = {}
+    for i, c in enumerate(columns):
+        kind = df.schema[c].dataType
+        alike.setdefault(T.LongType() if isinstance(kind, T.IntegralType) else kind, []).append((i, c))
+    found = None
+    for kind, some in alike.items():
+        cells = df.select(F.posexplode(F.array(*[present(df, c).cast(kind) for _, c in some])).alias("p", "v"))
+        values = cells.filter("v IS NOT NULL").distinct().groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+        values = values.select(F.get(F.lit([i for i, _ in some]), F.col("p")).alias("i"), "n")
+        found = values if found is None else found.unionByName(values)
+    return found.agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0).cast("bigint")).alias(f"d{i}") for i in range(len(columns))])
+
+
 def few_distinct(df: DataFrame, columns: list[str] | None = None) -> dict[str, int | None]:
     """Exact distinct counts where they are small; None where a sketch shows many values.
 

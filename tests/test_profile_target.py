@@ -72,3 +72,19 @@ def test_model_choice(spark):
                                    ("regression", 50), ("clustering", 0), ("nlp", 2)], "task_type string, n_classes bigint")
     assert [r["selected_model"] for r in T.select_model(tasks).collect()] == [
         "LogisticRegression", "KNeighborsClassifier", "RandomForestClassifier", "RandomForestRegressor", "KMeans", "RandomForestClassifier"]
+
+
+def test_distinct_values_travel_one_by_one(spark):
+    import datetime
+    from contextlib import redirect_stdout
+    from io import StringIO
+    nan, day = float("nan"), datetime.date(2024, 1, 1)
+    rows = [(1, 1, 0.0, 0.5, "a", True, day, None, [1]), (1, 2, -0.0, nan, "", None, day, None, [1]), (2, None, nan, None, None, False, None, None, [2])]
+    df = spark.createDataFrame(rows, "a int, `b.c` bigint, d double, f float, s string, t boolean, day date, gone double, many array<int>")
+    expected = [("a", 0, 2), ("b.c", 1, 2), ("d", 2, 1), ("f", 3, 1), ("s", 4, 2), ("t", 5, 2), ("day", 6, 1), ("gone", 7, 0), ("many", 8, 2)]
+    assert sorted(map(tuple, P.nunique(df).collect()), key=lambda r: r[1]) == expected
+    assert [r["distinct"] for r in P.nunique(df.limit(0)).collect()] == [0] * 9
+    plan = StringIO()
+    with redirect_stdout(plan):
+        P.nunique(df).explain()
+    assert "Expand" not in plan.getvalue()      # that step sends every value in a row as wide as the table
