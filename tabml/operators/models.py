@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabml.operators.bayes import MultinomialBayes
 from tabml.operators.boost import Boosting, Settings
+from tabml.operators.forest import RandomForest
 from tabml.operators.knn import knn_classify, knn_regress
 from tabml.operators.svm import LANDMARKS, SupportVectors
 from tabml.operators.ward import WardClusters
@@ -144,7 +145,7 @@ BUILDERS = {
     "MultinomialNB": lambda f, p: MultinomialBayes(p.get("alpha", 1.0)),
     "LinearRegression": lambda f, p: R.LinearRegression(regParam=0.0, solver="normal"),
     "Ridge": _ridge,
-    "RandomForestRegressor": lambda f, p: _forest(R.RandomForestRegressor, p, "all"),
+    "RandomForestRegressor": lambda f, p: RandomForest(p.get("n_estimators", 100), p.get("max_depth", FOREST_DEPTH), MAX_BINS),
     "DecisionTreeRegressor": lambda f, p: _tree(R.DecisionTreeRegressor, p),
     "XGBRegressor": lambda f, p: _newton("squared", 1, p),
     "SVR": lambda f, p: SupportVectors("number", 1, p.get("C", 1.0), p.get("epsilon", 0.1), p.get("landmarks", LANDMARKS)),

@@ -17,6 +17,7 @@ from tabml.functions.columns import col, kind_of, present, require_columns
 from tabml.operators import evaluate as E
 from tabml.operators.bayes import BayesModel
 from tabml.operators.boost import Boosted
+from tabml.operators.forest import Forest
 from tabml.operators.svm import KernelMachine
 from tabml.operators.models import NearestNeighbours, build, resolve, training_facts
 from tabml.operators.prep import LABEL, Prep, class_list, encode, fit_prep
@@ -118,7 +119,7 @@ class Trained:
     def save(self, path: str) -> None:
         self.prep.save(f"{path}/prep")
         self.model.save(f"{path}/model")
-        kind = "knn" if isinstance(self.model, NearestNeighbours) else "ward" if isinstance(self.model, WardModel) else "boosted" if isinstance(self.model, Boosted) else \
+        kind = "knn" if isinstance(self.model, NearestNeighbours) else "ward" if isinstance(self.model, WardModel) else "forest" if isinstance(self.model, Forest) else "boosted" if isinstance(self.model, Boosted) else \
             "kernel" if isinstance(self.model, KernelMachine) else "bayes" if isinstance(self.model, BayesModel) else "spark"
         write_json(f"{path}/about", [kind, self.name, self.task, self.target, self.features, self.labels, self.params])
 
@@ -129,8 +130,8 @@ def load_trained(spark: SparkSession, path: str) -> Trained:
         model = NearestNeighbours.load(f"{path}/model", spark)
     elif kind == "ward":
         model = WardModel.load(f"{path}/model")
-    elif kind in ("boosted", "kernel", "bayes"):
-        model = {"boosted": Boosted, "kernel": KernelMachine, "bayes": BayesModel}[kind].load(f"{path}/model")
+    elif kind in ("forest", "boosted", "kernel", "bayes"):
+        model = {"forest": Forest, "boosted": Boosted, "kernel": KernelMachine, "bayes": BayesModel}[kind].load(f"{path}/model")
     else:
         model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
     return Trained(name, task, target, features, labels, Prep.load(f"{path}/prep"), model, params)
