@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import ceil
 
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from tabml.llm.common import fresh, own_columns, spread_join
 from tabml.llm.components import components
+from tabml.llm.files import open_folder
 from tabml.session import materialize, release
 
 #: shingle hashes that are counted at once, which bounds the memory of a very long text
@@ -125,6 +127,8 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
 
 #: shingles are counted in one text of SAMPLE, in SLOTS counters that shingles share by their hash
 SAMPLE, SLOTS = 16, 1 << 21
+#: counters that lie in one row of the shared folder
+BLOCK = 1 << 15
 #: a shingle counted OFTEN more than chance tells is common; entries of other shingles that a task brings together, about
 OFTEN, ENTRIES = 4, 1 << 18
 #: heads that a bucket has in the first rounds: each round has MORE times as many as the one before
@@ -206,7 +210,7 @@ def _prefix(hashes, counts, similarity: float):
 
     if not len(hashes):
         return hashes, hashes
-    count = counts[hashes.view(np.uint64) % np.uint64(SLOTS)]
+    count = counts[hashes.view(np.uint64) % np.uint64(len(counts))]
     order = np.lexsort((hashes, count))[:len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1]
     return hashes[order], count[order]
 
@@ -214,15 +218,19 @@ def _prefix(hashes, counts, similarity: float):
 ENTRY = [("print", "<i8"), ("node", "<i8"), ("size", "<u2"), ("left", "<u2")]
 
 
-def _entries(shingle: int, similarity: float, counts, groups: int):
+def _entries(shingle: int, similarity: float, counted: str, groups: int):
     """(group, entries): a text's rarest shingles, packed by range of their hash. Common shingles are in
-    buckets of their own for certain or nearly so: they take no part in looking for those that occur once."""
+    buckets of their own for certain or nearly so: they take no part in looking for those that occur once.
+    ``counted`` is where the counts lie."""
+    slots, block = SLOTS, BLOCK
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         seen: set = set()
+        counts, chance = _read_counts(counted, slots, block)
         turn = TaskContext.get().partitionId() << 20
 
         def packed(held):
@@ -243,9 +251,9 @@ def _entries(shingle: int, similarity: float, counts, groups: int):
                     continue
                 if len(seen) < SEEN:
                     seen.add(node)
-                rare, count = _prefix(hashes, counts.value[0], similarity)
+                rare, count = _prefix(hashes, counts, similarity)
                 entry = np.zeros(len(rare), [*ENTRY, ("common", "?")])
-                entry["print"], entry["node"], entry["common"] = rare, node, count >= counts.value[1]
+                entry["print"], entry["node"], entry["common"] = rare, node, count >= chance + OFTEN
                 entry["size"], entry["left"] = min(len(hashes), LARGE), np.minimum(len(hashes) - np.arange(len(rare)), LARGE)
                 held.append(entry)
                 size += len(rare)
@@ -290,20 +298,41 @@ def _shared(table):
     return pa.table({name: pa.array(x[~alone].astype(np.int64)) for name, x in whole.items()})
 
 
-def _counts(docs: DataFrame, shingle: int):
-    """(counts, common): how often the shingles of each slot occur in a sample of the distinct texts, and from which
-    count on one of them must be common, as rare ones hardly fill a slot so much. Counts only say in which
-    order shingles are tried, so the result does not depend on them."""
-    import numpy as np
-
+def _counts(docs: DataFrame, shingle: int) -> DataFrame:
+    """(block, counts) in the shared folder: how often the shingles of each slot occur in a sample of the distinct texts,
+    BLOCK slots a row, blocks without any left out. Counts only say in which order shingles are tried, so the result
+    does not depend on them. Tasks read them for themselves (``_read_counts``); the driver never holds them."""
     sample = docs.where(F.pmod("mark", F.lit(SAMPLE)) == 0).groupBy("mark").agg(F.min("text").alias("text"))
     found = sample.select("mark", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>")
     slots = found.select(F.explode("shingles").alias("shingle")).groupBy(F.call_function("mod", _unsigned("shingle"), F.lit(SLOTS)).cast("int").alias("slot"))
-    told = slots.agg(F.count("*").alias("n")).toArrow()               # at most SLOTS rows
-    counts = np.zeros(SLOTS, np.uint32)
-    counts[told["slot"].to_numpy()] = np.minimum(told["n"].to_numpy(), np.iinfo(np.uint32).max)
+    size = BLOCK
+
+    def packed(table):
+        import numpy as np
+        import pyarrow as pa
+
+        counts = np.zeros(size, "<u4")
+        counts[table["slot"].to_numpy() % size] = np.minimum(table["n"].to_numpy(), np.iinfo(np.uint32).max)
+        return pa.table({"block": table["block"][:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+    blocks = slots.agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("slot") / size).cast("int"))
+    return materialize(blocks.groupBy("block").applyInArrow(packed, "block int, counts binary"), "simhash-counts")
+
+
+@lru_cache(maxsize=1)
+def _read_counts(uri: str, slots: int, size: int) -> tuple:
+    """(counts, chance) of what ``_counts`` wrote: rare shingles hardly fill a slot beyond chance. A worker keeps
+    them for its next task."""
+    import numpy as np
+    from pyarrow import dataset
+
+    store, path = open_folder(uri)
+    counts = np.zeros(-(-slots // size) * size, "<u4")
+    for batch in dataset.dataset(path, filesystem=store, format="parquet").to_batches():
+        for block, cells in zip(batch.column("block").to_pylist(), batch.column("counts")):
+            counts[block * size:(block + 1) * size] = np.frombuffer(cells.as_buffer(), "<u4")
+    counts = counts[:slots]
     usual = float(np.median(counts))
-    return counts, usual + 6 * usual ** 0.5 + OFTEN
+    return counts, usual + 6 * usual ** 0.5
 
 
 def _unsigned(name: str) -> Column:
@@ -436,10 +465,11 @@ def _by_similarity(df: DataFrame, id: str, text: str, shingle: int, similarity:
         release(pairs)
         total = one.agg(F.sum("size")).first()[0] or 0
         groups = max(1, int(total * (1 - similarity)) // ENTRIES)
-        counts = df.sparkSession.sparkContext.broadcast(_counts(docs, shingle))
-        entries = docs.select("text").mapInArrow(_entries(shingle, similarity, counts, groups), "bundle long, entries binary")
+        counts = _counts(docs, shingle)
+        entries = docs.select("text").mapInArrow(_entries(shingle, similarity, counts.scratch, groups), "bundle long, entries binary")
         members = entries.groupBy("bundle").applyInArrow(_shared, "print long, node long, size long, left long")
         members = materialize(_with_roots(members, near).select("print", "node", "size", "left", "root"), "simhash-members")
+        release(counts)
         found = _similar_links(members, confirmed, similarity, near)
         release(one)
         return found

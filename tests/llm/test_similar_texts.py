@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import plain
 
 from tabml.llm import simhash
@@ -132,3 +133,21 @@ def test_simhash_joins_near_copies_before_prefixes_are_looked_at(spark, monkeypa
     close = [(3 * b, 3 * b + 1) for b in range(12) if (prints[3 * b] ^ prints[3 * b + 1]).bit_count() <= 2]
     assert close and all(any({found[i][0], found[j][0]} == set(p) for p in given) for i, j in close)
     assert all(a > b for a, b in given)
+
+
+def test_the_driver_does_not_hold_the_counts(spark, monkeypatch):
+    rows = block_edits(seed=13, bases=3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def refuse(self):
+        raise AssertionError("the counts came to the driver")
+    monkeypatch.setattr(type(df), "toArrow", refuse)
+    assert star(spark, rows) == plain.similar_groups(rows, 0.8)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    docs = df.selectExpr("xxhash64(text) AS mark", "text")
+    wanted = np.zeros(simhash.SLOTS, np.int64)
+    for _, text in set((0, t) for _, t in rows):
+        hashes = simhash._shingles(text.encode(), 5)[1]
+        np.add.at(wanted, (hashes.view(np.uint64) % np.uint64(simhash.SLOTS)).astype(np.int64), 1)
+    counts, _ = simhash._read_counts(simhash._counts(docs, 5).scratch, simhash.SLOTS, simhash.BLOCK)
+    assert (counts == wanted).all()
