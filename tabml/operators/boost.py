@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tabml.functions.ranks import exact_quantiles
-from tabml.session import read_json, write_json
+from tabml.session import read_json, shallow, write_json
 
 MISSING = 255              # the bin of missing values, behind all others
 BITS, HEADROOM = 38, 8     # bits of a single gradient, and by how much gradients may outgrow those of the start
@@ -415,16 +415,19 @@ class Boosting:
         n, base, largest = self._start(rows)
         first = rows.first()
         edges = _edges(rows, len(first["values"]), s.bins) if first else []
+        if not n or not edges:                             # nothing to cut
+            rows.unpersist()
+            return Boosted(s, base, edges, [])
         tasks = max(prepared.sparkSession.sparkContext.defaultParallelism, n * len(edges) // TASK_CELLS)     # a pass is short: few tasks
         bins = rows.mapInArrow(_to_bins(edges), "bins binary, label binary").coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
         bins.count()
         rows.unpersist()
         model, bits = Boosted(s, base, edges, []), (_bits(n, largest), _bits(n, 1.0))
         state = None
-        for turn in range(s.rounds if n and edges else 0):
+        for turn in range(s.rounds):
             anew = turn % KEPT_ROUNDS == 0                 # from the bins, so that lineage stays bounded
             trees, before = model.trees if anew else model.trees[-1:], state
-            state = (bins if anew else before).mapInArrow(_with_margins(list(trees), base, len(edges)), "bins binary, label binary, margins binary")
+            state = shallow(bins if anew else before).mapInArrow(_with_margins(list(trees), base, len(edges)), "bins binary, label binary, margins binary")
             state = state.persist(StorageLevel.MEMORY_AND_DISK)
             model.trees.append(self._round(state, n, len(edges), bits))
             if before is not None:

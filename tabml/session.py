@@ -58,6 +58,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def shallow(df: DataFrame) -> DataFrame:
+    """The same rows read from their RDD, with its lineage. Plans made from it end here: adaptive execution prints
+    the plan below each kept table twice, so that the text of a chain of kept tables doubles with each."""
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), session)
+
+
 def release(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote, when nothing will read it again."""
     path = getattr(df, "scratch", None)

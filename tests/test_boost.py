@@ -156,3 +156,21 @@ def test_a_pass_has_few_tasks_whatever_the_input_is_split_into(spark, monkeypatc
     assert Boosting(Settings("squared", rounds=4, depth=3)).fit(rows.repartition(50)).trees == want
     cores = spark.sparkContext.defaultParallelism
     assert all(n <= cores for n, _ in seen) and seen[0][1] <= 2 < 3000 // 7 <= seen[-1][1] < 3000
+
+
+def test_plans_do_not_grow_from_round_to_round(spark, monkeypatch):
+    x, y = drawn("squared")
+    seen, own = [], Boosting._round
+
+    def spied(self, state, *rest):
+        trees = own(self, state, *rest)
+        seen.append(len(state._jdf.queryExecution().toString()))
+        return trees
+    monkeypatch.setattr(Boosting, "_round", spied)
+    Boosting(Settings("squared", rounds=7, depth=1)).fit(rows(spark, x, y))
+    assert len(seen) == 7 and max(seen) < 1.2 * min(seen)
+
+
+def test_rows_without_features_have_the_base_alone(spark):
+    model = Boosting(Settings("squared", rounds=2)).fit(rows(spark, [[], []], [1.0, 3.0], 1))
+    assert model.trees == [] and model.base == [2.0]
