@@ -197,9 +197,14 @@ def add_sums(sums: np.ndarray, slot: np.ndarray, bins: np.ndarray, g: np.ndarray
                 sums[s, j] += np.bincount(cell, weight, count * (MISSING + 1)).astype(np.int64).reshape(count, -1)
 
 
+def _number(units: int, bits: int) -> float:
+    """A sum in units as a number of Python, which tables and files take, not one of numpy."""
+    return float(np.ldexp(float(units), -bits))
+
+
 def _divide(tree: Tree, node: int, cut: dict, bits: tuple[int, int], settings: Settings, first: bool) -> int | None:
     """Splits a node by its best cut; the left child, or None where no cut gains enough."""
-    g, h = np.ldexp(float(cut["g"]), -bits[0]), np.ldexp(float(cut["h"]), -bits[1])
+    g, h = _number(cut["g"], bits[0]), _number(cut["h"], bits[1])
     factor = settings.step if settings.newton or settings.objective != "softmax" else settings.step * (settings.classes - 1) / settings.classes
 
     def settle(node, g, h, n):
@@ -209,7 +214,7 @@ def _divide(tree: Tree, node: int, cut: dict, bits: tuple[int, int], settings: S
     if cut["gain"] is None or cut["gain"] <= max(settings.least_gain, 1e-12):
         return None
     left = tree.split(node, cut["feature"], cut["cut"], cut["missing_left"], cut["gain"])
-    gl, hl = np.ldexp(float(cut["left_g"]), -bits[0]), np.ldexp(float(cut["left_h"]), -bits[1])
+    gl, hl = _number(cut["left_g"], bits[0]), _number(cut["left_h"], bits[1])
     settle(left, gl, hl, cut["left_n"])
     settle(left + 1, g - gl, h - hl, cut["n"] - cut["left_n"])
     return left

@@ -171,6 +171,15 @@ def test_plans_do_not_grow_from_round_to_round(spark, monkeypatch):
     assert len(seen) == 7 and max(seen) < 1.2 * min(seen)
 
 
+def test_trees_of_jobs_and_of_groups_hold_plain_numbers(spark, monkeypatch):
+    x, y = drawn("squared")
+    for cells in (0, 1 << 22):
+        monkeypatch.setattr(boost, "GROUP_CELLS", cells)
+        model = Boosting(Settings("squared", rounds=1, depth=2)).fit(rows(spark, x, y))
+        tree = model.trees[0][0]
+        assert len(tree.feature) > 3 and {type(v) for v in [*tree.value, *tree.cover, *tree.gain]} == {float}
+
+
 def test_rows_without_features_have_the_base_alone(spark):
     model = Boosting(Settings("squared", rounds=2)).fit(rows(spark, [[], []], [1.0, 3.0], 1))
     assert model.trees == [] and model.base == [2.0]
