@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
+from tabml.session import open_folder
 
-def open_folder(uri: str):
-    """(file system, path) of a folder's address, whatever store it names."""
-    from pyarrow import fs
-
-    if ":" not in uri:
-        uri = "file://" + uri
-    elif uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = uri.replace("file:/", "file:///", 1)
-    return fs.FileSystem.from_uri(uri)
+__all__ = ["open_folder"]

@@ -2,21 +2,23 @@
 
 ``calinski_harabasz`` and ``silhouette_squared`` are linear: they need only per-cluster
 sums. ``silhouette`` with plain Euclidean distance has no such closed form; it compares
-blocks of distinct points with blocks of distinct points and emits one row per point and
-cluster, never a row per pair.
+blocks of distinct points with all distinct points, read from the shared folder, and emits one
+row per point, never a row per pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabml.functions.columns import col
-from tabml.session import materialize
+from tabml.functions.columns import col, present
+from tabml.session import materialize, open_folder
 
 BLOCK_ROWS = 4_000          # points per block of the exact silhouette
 CHUNK_CELLS = 1_000_000     # doubles held at once while comparing two blocks
@@ -93,21 +95,14 @@ def silhouette(df: DataFrame, features: str = "features", cluster: str = "cluste
 
     Equal points of a cluster are counted once with a weight, so copies cost nothing.
     """
-    points = df.groupBy(as_array(df, features).alias("x"), col(cluster).alias("cluster")).agg(F.count(F.lit(1)).alias("w"))
-    points = materialize(points.withColumn("id", F.xxhash64(F.to_json("x"), "cluster")), "silhouette")
-    blocks = max(1, -(-points.count() // block_rows))
-    points = points.withColumn("block", F.pmod("id", F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("other")
-    here, there = points.select("*", every), points.select("*", every)
-    sums = here.groupBy("block", "other").cogroup(
-        there.select("*", F.col("block").alias("b2")).drop("block").withColumnRenamed("other", "o2").groupBy("o2", "b2")
-    ).applyInPandas(_block_sums, "id bigint, cluster string, w bigint, other_cluster string, total double, size bigint")
-    per = sums.groupBy("id", "cluster", "w", "other_cluster").agg(F.sum("total").alias("total"), F.sum("size").alias("size"))
-    same = F.col("cluster") == F.col("other_cluster")
-    each = per.groupBy("id", "cluster", "w").agg(
-        F.max(F.when(same, F.col("size"))).alias("n"),
-        F.max(F.when(same, F.col("total") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("a"),
-        F.min(F.when(~same, F.col("total") / F.col("size"))).alias("b"))
+    single = df.schema[features].dataType == T.ArrayType(T.FloatType())       # half as wide until they are compared
+    x, name = col(features) if single else as_array(df, features), present(df, cluster).cast("string")
+    points = df.groupBy(x.alias("x"), name.alias("cluster")).agg(F.count(F.lit(1)).alias("w"))
+    points = materialize(points.orderBy("cluster", F.xxhash64("x")), "silhouette")
+    n = points.count()
+    blocks = max(1, -(-n // block_rows))
+    numbers = df.sparkSession.range(0, blocks, 1, blocks)
+    each = numbers.mapInArrow(_against(points.scratch, n, block_rows), "w bigint, n bigint, a double, b double")
     value = _silhouette(F.col("n"), F.col("a"), F.col("b"))
     return each.agg((F.sum(value * F.col("w")) / F.sum("w")).alias("silhouette_score"))
 
@@ -124,22 +119,75 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(squared)
 
 
-def _block_sums(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-    """Summed distances from every point of one block to each cluster of another block."""
-    if here.empty or there.empty:
-        return pd.DataFrame({"id": [], "cluster": [], "w": [], "other_cluster": [], "total": [], "size": []})
-    a, b = np.stack(here["x"].to_numpy()), np.stack(there["x"].to_numpy())
-    middle = b.mean(axis=0)                                              # products lose the less the smaller the numbers are
-    a, b = a - middle, b - middle
-    out = []
-    for name, rows in there.groupby("cluster").indices.items():
-        weights, total = there["w"].to_numpy()[rows], np.zeros(len(a))
-        step = max(1, CHUNK_CELLS // len(rows))
-        for start in range(0, len(a), step):
-            total[start:start + step] = _distances(a[start:start + step], b[rows]) @ weights
-        out.append(pd.DataFrame({"id": here["id"], "cluster": here["cluster"].astype(str), "w": here["w"],
-                                 "other_cluster": str(name), "total": total, "size": weights.sum()}))
-    return pd.concat(out)
+def _rows(folder: str, start: int, stop: int, step: int) -> Iterator:
+    """(points, names, weights), up to ``step`` at once, of the rows from ``start`` to before ``stop`` of a folder's files in their order."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    store, path = open_folder(folder)
+    files = [f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+    for name in sorted(files, key=lambda f: (len(f), f)):
+        with store.open_input_file(name) as source:
+            file, at = pq.ParquetFile(source), 0
+            rows = file.metadata.num_rows
+            for batch in file.iter_batches(step, columns=["x", "cluster", "w"]) if start < rows and stop > 0 else ():
+                low, high = max(start - at, 0), min(stop - at, batch.num_rows)
+                if low < high:
+                    x, names, weights = (c.to_numpy(zero_copy_only=False) for c in batch.slice(low, high - low).columns)
+                    yield np.stack(x).astype(float), names, weights
+                at += batch.num_rows
+        start, stop = start - rows, stop - rows
+
+
+def _against(folder: str, n: int, block_rows: int):
+    """(w, n, a, b) of the points of numbered blocks: weight, size of their cluster, mean distance in it and to the nearest other
+    one. The ``n`` points of ``folder``, ordered by cluster, are read through for every block and never dealt out."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for block in (k for batch in batches for k in batch.column(0).to_pylist()):
+            own = list(_rows(folder, block * block_rows, min(n, (block + 1) * block_rows), block_rows))
+            if not own:
+                continue
+            x, names, weights = (np.concatenate(c) for c in zip(*own))
+            size, a, b, lone = _block_sums(x, names, _rows(folder, 0, n, max(1, CHUNK_CELLS // len(x))))
+            columns = [pa.array(weights), pa.array(size, mask=size == 0), pa.array(a, mask=size == 0), pa.array(b, mask=lone)]
+            yield pa.RecordBatch.from_arrays(columns, ["w", "n", "a", "b"])
+    return run
+
+
+def _block_sums(here: np.ndarray, own: np.ndarray, chunks: Iterator) -> tuple:
+    """Of points and their clusters' names: size of the cluster, mean distance in it, least mean distance to another, and
+    whether there is no other. ``chunks`` (points, names, weights) are ordered by name, so that one cluster is open at a time."""
+    n, a, b, lone = np.zeros(len(here), np.int64), np.zeros(len(here)), np.full(len(here), np.nan), np.ones(len(here), bool)
+
+    def close(names, totals, sizes):
+        mine = own[:, None] == names
+        row, at = np.nonzero(mine)
+        n[row], a[row] = sizes[at], totals[row, at] / np.maximum(sizes[at] - 1, 1)
+        if len(names):
+            b[:] = np.fmin(b, np.fmin.reduce(np.where(mine, np.nan, totals / sizes), axis=1))
+            lone[:] &= mine.all(axis=1)
+
+    names, totals, sizes = np.empty(0, object), np.zeros((len(here), 0)), np.zeros(0, np.int64)
+    for there, clusters, weights in chunks:
+        known = np.array([c is not None for c in clusters])                  # points of no cluster count in none
+        there, clusters, weights = there[known], clusters[known], weights[known]
+        if not len(there):
+            continue
+        middle = there.mean(axis=0)                                      # products lose the less the smaller the numbers are
+        starts = np.flatnonzero(np.append(True, clusters[1:] != clusters[:-1]))
+        found = np.add.reduceat(_distances(here - middle, there - middle) * weights, starts, axis=1)
+        more = np.add.reduceat(weights, starts)
+        if len(names) and names[0] == clusters[0]:
+            found[:, 0] += totals[:, 0]
+            more[0] += sizes[0]
+        else:
+            close(names, totals, sizes)
+        close(clusters[starts[:-1]], found[:, :-1], more[:-1])
+        names, totals, sizes = clusters[starts[-1:]], found[:, -1:], more[-1:]
+    close(names, totals, sizes)
+    return n, a, b, lone
 
 
 def evaluate_clusters(df: DataFrame, features: str = "features", cluster: str = "cluster",

@@ -74,6 +74,17 @@ def release(df: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def open_folder(uri: str):
+    """(file system, path) of a folder's address, whatever store it names; for use inside tasks."""
+    from pyarrow import fs
+
+    if ":" not in uri:
+        uri = "file://" + uri
+    elif uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = uri.replace("file:/", "file:///", 1)
+    return fs.FileSystem.from_uri(uri)
+
+
 def write_json(path: str, value) -> None:
     """A small driver-side value (settings, class lists) as a one-line text file."""
     spark = SparkSession.getActiveSession()

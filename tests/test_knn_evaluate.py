@@ -168,3 +168,24 @@ def test_bounds_of_few_and_of_too_many():
     many = np.arange(500.0)[None, ::-1].copy()
     light = np.concatenate([np.ones(10, int), np.zeros(490, int)])        # weight lies in the farthest cells only
     assert knn._bound(many, light, 3)[0] == 492
+
+
+def test_silhouette_deals_points_out_once_and_writes_no_pairs_of_blocks(spark):
+    """Files in several parts, clusters that end inside a chunk, more blocks than rows of shuffles could take."""
+    rng = np.random.RandomState(6)
+    x, c = rng.normal(size=(300, 2)), np.sort(rng.randint(0, 40, 300))
+    df = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, c)], "features array<double>, cluster int").repartition(7)
+    found = K.silhouette(df, block_rows=10)
+    assert abs(found.first()[0] - silhouette(x, c)) < 1e-9
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CoGroup" not in plan
+
+
+def test_silhouette_of_one_cluster_of_gaps_and_of_no_rows(spark):
+    rows = lambda names: spark.createDataFrame([([float(i)], n) for i, n in enumerate(names)], "features array<double>, cluster double")
+    assert K.silhouette(rows([1.0, 1.0, 1.0])).first()[0] is None
+    assert K.silhouette(rows([])).first()[0] is None
+    nan = float("nan")
+    known = silhouette(np.array([[0.0], [1.0], [4.0]]), np.array([1, 1, 2]))
+    assert abs(K.silhouette(rows([1.0, 1.0, None, nan, 2.0]).filter("cluster IS NOT NULL AND NOT isnan(cluster)")).first()[0] - known) < 1e-9
+    assert abs(K.silhouette(rows([1.0, 1.0, None, nan, 2.0])).first()[0] - known * 3 / 5) < 1e-9
